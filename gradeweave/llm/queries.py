@@ -29,6 +29,43 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids.drop("text"), ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe)}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = [r.kind for r in secrets.BASE]
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    plain = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *(count(k) for k in base), F.sha2(shown(plain), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.decide(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import mixing
+
+    plan = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    first = mixing.position(F.least(F.lit(1.0), F.col("done")), F.col("begin"), F.col("end"))
+    return plan.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.when(F.col("copies") > 0, first).alias("first_position"))
+
+
+#: The rules of the url query, as verdict, host and path.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter)}
 
 ORACLES: dict[str, str] = {}
