@@ -66,6 +66,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import repeats
+
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
