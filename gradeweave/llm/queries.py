@@ -66,12 +66,34 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import topk
+
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import repeats
 
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter, op10_substring_dedup)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op9_kd_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5
+""",
+}
