@@ -48,6 +48,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import jaccard
+
+    return jaccard.link(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import mixing
 
@@ -79,7 +85,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_kd_topk": """
