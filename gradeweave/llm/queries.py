@@ -29,6 +29,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids.drop("text"), ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import ngrams
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    return ngrams.score(docs, ngrams.fit(docs.where("not held_out"), order=3))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import secrets
 
@@ -85,7 +93,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op3_ngram_scores, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_kd_topk": """
