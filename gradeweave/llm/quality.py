@@ -68,19 +68,23 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     p = F.col("__p")
     covers = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda k: F.least(F.lit(WINDOW), F.get(p, k + 1) - F.get(p, k)))
     covered = F.when(p.isNotNull(), F.aggregate(covers, F.lit(0), lambda a, x: a + x)).otherwise(0)
-    return df.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": _count(t, "#*$%&|<>"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_distinct": F.size(F.array_distinct("__w")).cast("long"),
-            "n_upper": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long"),
-            "n_marks": _count(t, ".,;:!?"),
-        }
-    ).drop("__w", "__lines", "__h", "__s", "__p")
+    stats = {
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": _count(t, "#*$%&|<>"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": covered.cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_distinct": F.size(F.array_distinct("__w")).cast("long"),
+        "n_upper": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long"),
+        "n_marks": _count(t, ".,;:!?"),
+    }
+    # A generator of one row: filters on the statistics aren't pushed below it,
+    # where they would repeat these expressions inside each other.
+    once = F.explode(F.array(F.struct(*(e.alias(k) for k, e in stats.items()))))
+    clash = {k.lower() for k in stats}
+    kept = [F.col(c) for c in df.columns if c.lower() not in clash and c not in ("__w", "__lines", "__h", "__s", "__p")]
+    return df.select(*kept, once.alias("__stats")).select(*kept, "__stats.*")
 
 
 @dataclass(frozen=True)
