@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeweave.functions.scalar import SCORES, argmax_score, binary_label, clean_text, entropy, margin, softmax
 from gradeweave.functions.text import prompt
@@ -51,7 +52,7 @@ def predict(df: DataFrame, scorer: Callable[[], Scorer], system_prompt: str, thr
     prompts and gives five logits each.
     """
     df = df.withColumn("__prompt", prompt(F.col("question"), F.col("reference_answer"), F.col("response"), system_prompt))
-    schema = df.schema.add("__logits", "array<double>")
+    schema = T.StructType(df.schema.fields + [T.StructField("__logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()

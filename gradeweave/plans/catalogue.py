@@ -132,11 +132,11 @@ def _counted(name: str) -> bool:
 
 
 def _pick(names) -> str:
-    return ", ".join(f"cast({METRIC_SQL[n]} as bigint) as {n}" if _counted(n) else f"round({METRIC_SQL[n]}, 6) as {n}" for n in names)
+    return ", ".join(f"cast({METRIC_SQL[n]} as bigint) as {n}" if _counted(n) else f"round({METRIC_SQL[n]}, 9) as {n}" for n in names)
 
 
 def _rounded(df: DataFrame, names, *keys) -> DataFrame:
-    return df.select(*keys, *(F.col(n).cast("long").alias(n) if _counted(n) else F.round(n, 6).alias(n) for n in names))
+    return df.select(*keys, *(F.col(n).cast("long").alias(n) if _counted(n) else F.round(n, 9).alias(n) for n in names))
 
 
 # --- sources, targets, lengths, filters
