@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gradeweave.llm import hashing
 from gradeweave.llm.common import SLICE_BYTES, rows_by_bytes
 
 
@@ -87,40 +88,119 @@ def local_tokenizer(definition: str):
     return made
 
 
-#: Unicode's White_Space: no match of a byte-level pattern goes on from a
-#: character outside it to one inside it.
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LAST = np.zeros(256, bool)  # last bytes of white space beyond ASCII
+_LAST[[*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Where units begin, as a mask over bytes; the first two and the last byte never do."""
+    white = _WHITE[data]
+    other = np.zeros(len(data), bool)
+    if len(at := np.flatnonzero(_LAST[data[2:]]) + 2):  # white space beyond ASCII, or taken for it: no unit ends there
+        other[at] = (data[at - 1] == 0xC2) | ((data[at - 2] >= 0xE1) & (data[at - 2] <= 0xE3))
+    out = np.zeros(len(data), bool)
+    out[1:] = white[1:] & ~white[:-1] & ~other[:-1]
+    letter = _LETTER[data]
+    letter[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
+    out[1:-1] |= _MARK[data[1:-1]] & letter[:-2] & white[2:]
+    return out
 
 
 class Encoder:
     """Texts to ids, as bytes, with a bounded memory of units already encoded.
 
-    A unit is a run of white space and the run of other characters after it.
-    Byte-level patterns match within units only, so a text's ids are its
-    units' ids in order, and the library encodes each new unit once. Tokenizers
-    of other kinds get whole texts.
+    Byte-level patterns never match across the begin of a unit: a run of white
+    space and what follows it, or a single mark between a letter and white
+    space. So a text's ids are its units' ids in order. The units of a slice
+    are told apart by 64-bit hashes, and the library encodes each new one
+    once; units of letters alone go straight to its merges. Tokenizers of
+    other kinds get whole texts.
     """
 
-    def __init__(self, definition: str, by_units: bool = True, dtype: str = "<u4", most: int = 1 << 19):
-        self.tokenizer, self.by_units, self.dtype, self.most, self.known = local_tokenizer(definition), by_units, dtype, most, {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in made]
+    def __init__(self, definition: str, by_units: bool = True, dtype: str = "<u4", most: int = 1 << 20):
+        self.tokenizer, self.by_units, self.dtype, self.most = local_tokenizer(definition), by_units, dtype, most
+        if by_units:
+            d = json.loads(definition)
+            d |= {"pre_tokenizer": None, "post_processor": None, "normalizer": None, "added_tokens": []}
+            self.merges = local_tokenizer(json.dumps(d))
+            from tokenizers import pre_tokenizers
+
+            self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.characters = {b: c for b, c in enumerate(byte_characters()) if b != 10}
+            vocabulary = self.merges.get_vocab()
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character stands for one byte
+            self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _learn(self, hashes: list[int], units: list[bytes]) -> None:
+        texts = [u.decode() for u in units]
+        plain = [i for i, t in enumerate(texts) if _PLAIN(t)]
+        rest = sorted({*range(len(texts))}.difference(plain))
+        size, parts = np.zeros(len(units), np.int64), []
+        for lo in range(0, len(plain), 2048):
+            some = plain[lo : lo + 2048]
+            # many units in one call; their tokens part where their bytes do
+            one = b"\n".join([units[i] for i in some]).decode("latin-1").translate(self.characters)
+            ids = np.array(self.merges.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(units[i]) for i in some])) + 1
+            size[some] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
+            size[some] = [len(x) for x in made]
+            parts.append(np.fromiter(chain.from_iterable(made), np.int64, sum(map(len, made))))
+        order = np.array(plain + rest, np.int64)
+        at = np.zeros(len(units), np.int64)
+        at[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self.known.update(zip(hashes, range(len(self.at), len(self.at) + len(units))))
+        self.at, self.size = np.concatenate((self.at, at)), np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, *(x.astype(self.dtype) for x in parts)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_units:
-            return self.ids(texts)
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > self.most:
-            self.known.clear()
-        units = [_UNIT.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(units)) - self.known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self.ids(part)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+            self._forget()
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"\n\n" + b"\n".join(raw) + b"\n", np.uint8)
+        edges = 2 + np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+        begins = unit_starts(data)
+        begins[edges[:-1]] = True
+        begins[edges[1:] - 1] = False  # what parts the texts
+        start = np.flatnonzero(begins)
+        if not len(start):
+            return [b""] * len(texts)
+        bounds = np.searchsorted(start, edges)
+        end = np.append(start[1:], len(data))
+        end = np.minimum(end, np.repeat(edges[1:] - 1, np.diff(bounds)))
+        unique, first, inverse = np.unique(hashing.spans(data, start, end), return_index=True, return_inverse=True)
+        names = unique.tolist()
+        get = self.known.get
+        slot = np.array([get(x, -1) for x in names])
+        if len(new := np.flatnonzero(slot < 0)):
+            whole = data.tobytes()
+            self._learn([names[i] for i in new.tolist()], [whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            slot[new] = np.arange(len(self.at) - len(new), len(self.at))
+        slot = slot[inverse]
+        size = self.size[slot]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.at[slot] - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def splits_by_units(definition: str) -> bool:
@@ -170,7 +250,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         definition, pieces = shared.value
         encoder = Encoder(definition)
         for whole in batches:
-            for batch in rows_by_bytes(whole, text):
+            for batch in rows_by_bytes(whole, text, 2 * SLICE_BYTES):
                 texts = [x or "" for x in batch.column(text).to_pylist()]
                 ids = encoder(texts)
                 made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}

@@ -48,6 +48,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, max(8, (n - 1).bit_length()))[:n]
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from start to end, for each pair."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
+    value = (sums[end] - sums[start]) * powers(_BASE_INV, len(data))[start]
+    return mix(value + (end - start).astype(np.uint64) * _U(_RUN))
+
+
 def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, first, data, start, end): the words' hashes; word index at which each text begins (and a last end); the joined bytes and where each word lies in them."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -57,10 +65,7 @@ def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.
     white = _WHITE[data]
     turn = np.flatnonzero(white[1:] != white[:-1]) + 1
     start, end = turn[0::2], turn[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(_BASE_INV, len(data))[start]
-    hashes = mix(value + (end - start).astype(np.uint64) * _U(_RUN))
+    hashes = spans(data, start, end)
     edges = 1 + np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
     return hashes, np.searchsorted(start, edges), data, start, end
 

@@ -209,7 +209,7 @@ def write(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=MANIFEST.names)
 
         for whole in batches:
-            for batch in rows_by_bytes(whole, "__text"):
+            for batch in rows_by_bytes(whole, "__text", 2 << 20):
                 for k, ids in zip(batch.column("__key").to_pylist(), encoder([x or "" for x in batch.column("__text").to_pylist()])):
                     keys.append(k)
                     chunks.append(ids + end)
