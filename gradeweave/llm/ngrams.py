@@ -354,7 +354,7 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
     for level in range(2, order + 1):
         shared = spark.sparkContext.broadcast((level1, levels, total, distinct))  # names of files
         parts = max(least, int(total // NODES)) if total else 1
-        starts = _cuts(contexts, min(parts, contexts))
+        starts = _cuts(contexts, max(1, min(parts, contexts)))
         blocks = docs.mapInArrow(_count_grams(shared, level, starts), "part int, block binary").repartition(len(starts), "part")
         files = materialize(blocks.mapInArrow(_level_files(starts, contexts, level, out_dir), MANIFEST), "ngram-manifest").orderBy("part").collect()
         made, base = [], 0
