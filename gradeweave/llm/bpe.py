@@ -98,7 +98,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LATIN = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
 _LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
-_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch  # letters, as UTF-8
 
 
 def unit_starts(data: np.ndarray) -> np.ndarray:
@@ -146,9 +146,9 @@ class Encoder:
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _learn(self, hashes: list[int], units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        plain = [i for i, t in enumerate(texts) if _PLAIN(t)]
-        rest = sorted({*range(len(texts))}.difference(plain))
+        match = [_PLAIN(u) is not None for u in units]
+        plain = [i for i, m in enumerate(match) if m]
+        rest = [i for i, m in enumerate(match) if not m]
         size, parts = np.zeros(len(units), np.int64), []
         for lo in range(0, len(plain), 2048):
             some = plain[lo : lo + 2048]
@@ -160,7 +160,7 @@ class Encoder:
             parts.append(ids)
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([units[i].decode() for i in some], add_special_tokens=False)]
             size[some] = [len(x) for x in made]
             parts.append(np.fromiter(chain.from_iterable(made), np.int64, sum(map(len, made))))
         order = np.array(plain + rest, np.int64)

@@ -46,7 +46,7 @@ def build(ids: np.ndarray, keys: pa.Array, lengths: np.ndarray) -> bytes:
     zeros, ranks, sizes, blocks = [], [], [], []
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for level in range(levels):
-        ones = ((now >> (levels - 1 - level)) & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << (levels - 1 - level))) != 0
         plane = np.packbits(ones, bitorder="little")
         low, high = now[~ones], now[ones]
         zeros.append(len(low))
@@ -167,7 +167,9 @@ class WaveletMatrix:
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
             out[~ones] = now[: self.zeros[level]]
-            out[ones] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
+            high = now[self.zeros[level] :]
+            high |= now.dtype.type(1 << (self.levels - 1 - level))
+            out[ones] = high
             now = out
         return now
 
@@ -244,6 +246,6 @@ def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(start + at[lo:hi], pa.int64()), pa.array(n[lo:hi], pa.int64()), pa.array(data, pa.binary())], names=["key", "start", "n_tokens", "ids"])
 
     files = manifest.count()
-    dealt = manifest.select("path", "start").repartition(max(1, min(files, 20_000)))
+    dealt = manifest.select("path", "start").repartition(max(1, min(-(-files // 6), 20_000)))  # a few files a task
     return dealt.mapInArrow(run, f"key {key_type}, start bigint, n_tokens bigint, ids binary")
 
