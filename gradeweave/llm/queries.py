@@ -95,7 +95,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op3_ngram_scores, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard": f"""
+with recursive d as (
+  select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g
+  from d
+), c as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from o join c x on x.doc_id = a join c y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.reach = e.a)
+select r.doc_id, coalesce(max(c.n), 0) as n_shingles, min(r.reach) as component_id from r left join c on c.doc_id = r.doc_id group by r.doc_id
+""",
+    "op10_substring_dedup": f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+v as (select doc_id, i, md5(array_to_string(w[i:i+49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+f as (select h, min(doc_id) as least from v group by h),
+g as (select distinct doc_id, unnest(range(i, i + 50)) as p from v join f using (h) where doc_id > least),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (select x.doc_id, string_agg(word, ' ' order by x.p) as kept, count(*) as n from x left join g on g.doc_id = x.doc_id and g.p = x.p where g.p is null group by x.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join k on k.doc_id = d.doc_id
+""",
     "op9_kd_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
