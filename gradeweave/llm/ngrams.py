@@ -40,7 +40,7 @@ from gradeweave.llm.common import attempt_name, materialize, new_dir, read_buffe
 
 _U = np.uint64
 BOS, END, FIRST = 0, 1, 2  # ids; words follow
-SLICE = 8 << 20
+SLICE = 3 << 20
 NODES = 2_000_000  # of a file, about
 CODES = 4096  # quantised probabilities: steps of the logarithm
 LEAST = 1e-12
@@ -145,13 +145,17 @@ class Trie:
             c = context[at] - int(files.low[k])
             inside = c < file["pointer"].n - 1
             at, c = at[inside], c[inside]
-            start, end = (file["pointer"][c + d].astype(np.int64) for d in (0, 1))
-            seen = end > start
-            at, c, start, end = at[seen], c[seen], start[seen], end[seen]
-            rest[at] = DECODE[file["rest"][c]]
-            wanted = np.flatnonzero(word[at] >= 0)
-            at, start, end = at[wanted], start[wanted], end[wanted]
-            before = np.where(start > 0, file["next"][np.maximum(start - 1, 0)], _U(0))
+            if not len(at):
+                continue
+            # contexts come in order: each is looked up once
+            new = np.concatenate(([True], c[1:] != c[:-1]))
+            each, of = c[new], np.cumsum(new) - 1
+            begin, stop = (file["pointer"][each + d].astype(np.int64) for d in (0, 1))
+            base = np.where(begin > 0, file["next"][np.maximum(begin - 1, 0)] if file["next"].n else _U(0), _U(0))
+            rest[at] = np.where(stop > begin, DECODE[file["rest"][each]], 1.0)[of]
+            wanted = np.flatnonzero((word[at] >= 0) & (stop > begin)[of])
+            at, of = at[wanted], of[wanted]
+            start, end, before = begin[of], stop[of], base[of]
             place = file["next"].find(before + word[at].astype(np.uint64))
             hit = (place >= start) & (place < end)
             at, place = at[hit], place[hit]
