@@ -43,16 +43,27 @@ def build(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"meta": np.array([n, bits], np.int64), "low": _pack(values & _U((1 << bits) - 1), bits), "high": packed, "ones": before.astype(np.uint32), "zeros": (np.arange(words) * 64 - before).astype(np.uint32)}
 
 
+_EACH = _U(0x0101010101010101)  # a one in every byte
+_TOPS = _U(0x8080808080808080)
+_M1, _M2, _M4 = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
+
+
 def _nth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each word."""
-    place = np.zeros(len(words), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(words & _U((1 << half) - 1)).astype(np.int64)
-        up = k >= count
-        k = k - np.where(up, count, 0)
-        words = np.where(up, words >> _U(half), words)
-        place += np.where(up, half, 0)
-    return place
+    """Place of the k-th (from 0) set bit of each word: its byte by running counts, the bit in it by a table."""
+    k = k.astype(np.uint64)
+    upto = words - (words >> _ONE & _M1)
+    upto = (upto & _M2) + (upto >> _U(2) & _M2)
+    upto = (upto + (upto >> _U(4)) & _M4) * _EACH  # ones in the bytes up to each
+    byte = np.bitwise_count(((k * _EACH | _TOPS) - upto) & _TOPS).astype(np.uint64) << _U(3)
+    k = k - (upto << _U(8) >> byte & _U(255))
+    return (byte + _IN_BYTE[(words >> byte & _U(255)) << _U(3) | k]).astype(np.int64)
+
+
+def _gap(words: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros between each word's bit and its next set one, whether there is one)."""
+    rest = words >> bit.astype(np.uint64) >> _ONE
+    return np.bitwise_count(~rest & (rest - _ONE)).astype(np.int64), rest != 0
 
 
 class EliasFano:
@@ -69,27 +80,63 @@ class EliasFano:
         upper = np.where(shift == 0, _U(0), self.low[word + 1] << ((_U(64) - shift) & _U(63)))
         return (self.low[word] >> shift | upper) & self.mask
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """The values at places i."""
+    def _one(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, its bits, bit) of the i-th ones."""
         word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
-        place = word * 64 + _nth_bit(self.high[word], i - self.ones[word].astype(np.int64))
+        bits = self.high[word]
+        return word, bits, _nth_bit(bits, i - self.ones[word].astype(np.int64))
+
+    def _zero(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, its bits turned over, bit) of the k-th zeros."""
+        word = np.searchsorted(self.zeros, k.astype(np.uint32), "right") - 1
+        bits = ~self.high[word]
+        return word, bits, _nth_bit(bits, k - self.zeros[word].astype(np.int64))
+
+    def _value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
         return (place - i).astype(np.uint64) << _U(self.bits) | self._lows(i)
 
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        word, _, bit = self._one(i)
+        return self._value(word * 64 + bit, i)
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1; the second is mostly in the first's word."""
+        word, bits, bit = self._one(i)
+        place = word * 64 + bit
+        gap, inside = _gap(bits, bit)
+        after = place + 1 + gap
+        far = np.flatnonzero(~inside)
+        if len(far):
+            word, _, bit = self._one(i[far] + 1)
+            after[far] = word * 64 + bit
+        return self._value(place, i), self._value(after, i + 1)
+
     def _after_zeros(self, k: np.ndarray) -> np.ndarray:
         """Values before the k-th (from 0) zero of the high parts; all of them beyond the last."""
         total = len(self.high) * 64 - self.n
         inside = np.minimum(k, total - 1)
-        word = np.searchsorted(self.zeros, inside.astype(np.uint32), "right") - 1
-        place = word * 64 + _nth_bit(~self.high[word], inside - self.zeros[word].astype(np.int64))
-        return np.where(k >= total, self.n, place - inside)
+        word, _, bit = self._zero(inside)
+        return np.where(k >= total, self.n, word * 64 + bit - inside)
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values with these high parts: between two zeros, mostly of one word."""
+        total = len(self.high) * 64 - self.n
+        k = np.clip(high - 1, 0, total - 1)
+        word, bits, bit = self._zero(k)
+        run, inside = _gap(bits, bit)
+        at = np.where(high > 0, word * 64 + bit - k, 0)
+        at = np.where(high > total, self.n, at)
+        end = at + run
+        far = np.flatnonzero(~inside | (high <= 0) | (high >= total))
+        end[far] = self._after_zeros(high[far])
+        return at, end
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value (the first, if repeated), or -1."""
-        high = (values >> _U(self.bits)).astype(np.int64)
-        end = self._after_zeros(high)
-        at = np.where(high > 0, self._after_zeros(np.maximum(high - 1, 0)), 0)
         if not self.n:
             return np.full(len(values), -1)
+        at, end = self._bucket((values >> _U(self.bits)).astype(np.int64))
         want, last = values & self.mask, end
         while len(open_ := np.flatnonzero(at < end)):
             mid = (at[open_] + end[open_]) >> 1

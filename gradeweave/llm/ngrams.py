@@ -83,6 +83,15 @@ def _sequence(arrays: dict[str, np.ndarray], name: str) -> eliasfano.EliasFano:
     return eliasfano.EliasFano({k.split(".", 1)[1]: v for k, v in arrays.items() if k.startswith(f"{name}.")})
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Places of unsigned keys in ascending order; keys and places are sorted as one number where they fit."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (64 - bits) == 0:
+        both = np.sort(keys << _U(bits) | np.arange(len(keys), dtype=np.uint64))
+        return (both & _U((1 << bits) - 1)).astype(np.int64)
+    return np.argsort(keys)
+
+
 class Files:
     """The files of a level, opened (mapped) when first asked for."""
 
@@ -102,7 +111,7 @@ class Files:
         if not len(self.low) or not len(keys):
             return
         file = np.searchsorted(self.low, keys, "right") - 1
-        order = np.argsort(keys, kind="stable")
+        order = _places(keys)
         file = file[order]
         starts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(file)).tolist()):
@@ -150,7 +159,7 @@ class Trie:
             # contexts come in order: each is looked up once
             new = np.concatenate(([True], c[1:] != c[:-1]))
             each, of = c[new], np.cumsum(new) - 1
-            begin, stop = (file["pointer"][each + d].astype(np.int64) for d in (0, 1))
+            begin, stop = (x.astype(np.int64) for x in file["pointer"].pair(each))
             base = np.where(begin > 0, file["next"][np.maximum(begin - 1, 0)] if file["next"].n else _U(0), _U(0))
             rest[at] = np.where(stop > begin, DECODE[file["rest"][each]], 1.0)[of]
             wanted = np.flatnonzero((word[at] >= 0) & (stop > begin)[of])
@@ -171,8 +180,9 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(texts)), sizes)
     out = np.zeros(starts[-1], np.uint64)
-    ends = starts[1:] - 1
-    out[np.setdiff1d(np.arange(len(out)), ends, assume_unique=True)] = np.where(hashes == 0, _U(1), hashes)
+    inside = np.ones(len(out), bool)
+    inside[starts[1:] - 1] = False
+    out[inside] = np.where(hashes == 0, _U(1), hashes)
     return out, owner, starts
 
 
@@ -252,6 +262,16 @@ def _cuts(contexts: int, parts: int) -> np.ndarray:
     return (np.arange(parts, dtype=np.float64) * contexts / parts).astype(np.int64)
 
 
+def _order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places in order of context, then word: by one number of both where it fits."""
+    if not len(context):
+        return np.zeros(0, np.int64)
+    low, span = int(context.min()), int(word.max()) + 1
+    if (int(context.max()) - low + 1) * span < 1 << 63:
+        return _places(((context - low) * span + word).astype(np.uint64))
+    return np.lexsort((word, context))
+
+
 def _count_grams(shared, level: int, cuts: np.ndarray):
     """Blocks of (context, successor, count), sorted, one for each slice and part."""
 
@@ -266,7 +286,7 @@ def _count_grams(shared, level: int, cuts: np.ndarray):
                 context, word = context[ok], ids[ok]
                 if not len(context):
                     continue
-                order = np.lexsort((word, context))
+                order = _order(context, word)
                 context, word = context[order], word[order]
                 at = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
                 count = np.diff(np.append(at, len(context)))
@@ -291,7 +311,7 @@ def _columns_back(data: bytes, k: int) -> list[np.ndarray]:
 
 def _level_file(low: int, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
     """One file of a level: contexts low to low + contexts."""
-    order = np.lexsort((word, context))
+    order = _order(context, word)
     context, word, count = context[order], word[order], count[order]
     at = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
     count = np.add.reduceat(count, at)
