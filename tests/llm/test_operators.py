@@ -117,6 +117,11 @@ def test_elias_fano():
     assert (e[np.arange(len(v))] == v).all() and (e.find(v) == np.arange(len(v))).all()
     other = np.setdiff1d(v + np.uint64(1), v)
     assert (e.find(other) == -1).all()
+    for many in (v, np.sort(v % np.uint64(900)), v[::50] << np.uint64(20)):  # neighbours in one word and far apart
+        f = eliasfano.EliasFano(eliasfano.build(many))
+        one, two = f.pair(np.arange(len(many) - 1))
+        assert (one == many[:-1]).all() and (two == many[1:]).all()
+        assert (f.find(many) == np.searchsorted(many, many)).all()
     for few in (np.zeros(0, np.uint64), np.array([0, 0, 5], np.uint64), np.array([1 << 63], np.uint64)):
         f = eliasfano.EliasFano(eliasfano.build(few))
         assert (f[np.arange(len(few))] == few).all() and f.find(np.array([7], np.uint64)).tolist() == [-1]
