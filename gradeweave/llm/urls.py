@@ -3,9 +3,12 @@
 Rules name a host and a path; they fit the host and its subdomains where the
 url's path starts with theirs, and the longest wins. Hosts whose pages the
 rules allow or block are seeds, by the share of their pages. Trust runs along
-the links (personalised PageRank), distrust runs against them (a host that
-links to blocked hosts earns distrust). A page without a rule is blocked where
-its host's distrust reaches ``threshold`` and is above its trust.
+the links, distrust against them (a host that links to blocked hosts earns
+distrust). Both are normalised per host, so that ``threshold`` means the same
+in any graph: trust is a damped mean over the links a host gets, distrust over
+the links it gives, and what a host only heard of others counts half when it
+is passed on. A page without a rule is blocked where its host's distrust
+reaches ``threshold`` and is above its trust.
 
 Links are absolute urls in the pages' ``href``s; edges are counted by host
 pair before any shuffle of ranks, so a hot host costs as many rows as it has
@@ -53,24 +56,28 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, score): score = (1-d) * seed + d * what flows in along the edges.
-
-    A host's whole score flows out, by link counts; a host without links
-    keeps it (a link to itself). Seeds are shares in [0, 1], so scores are
-    too, whatever the number of hosts.
+    """(host, score): score = max(seed, d * the mean, over the host's own incoming edges, of what their sources pass on).
+
+    A host passes on the mean of its seed and its score: a seeded host its
+    seed at least, one that only heard of others half of what it heard. The
+    mean is over the edges that come in, by link counts, so however many hosts
+    share a source, none takes another's part; a seed never sinks, a host
+    without incoming edges has its seed alone, and nothing gathers where edges
+    end. A host's links to itself tell nothing and leave. Scores are in
+    [0, 1], as seeds are.
     """
-    bare = seeds.select("host").join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti")
-    links = edges.unionByName(bare.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1).cast("long").alias("n")))
-    totals = links.groupBy("src").agg(F.sum("n").alias("all"))
-    links = materialize(links.join(totals, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "host-links")
-    now = seeds.select("host", F.col("seed").alias("score"))
-    if links.where("src <> dst").limit(1).count() == 0:
-        return now  # every host only keeps what it has
+    links = edges.where("src <> dst")
+    totals = links.groupBy("dst").agg(F.sum("n").alias("all"))
+    links = materialize(links.join(totals, "dst").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "host-links")
+    now = seeds.select("host", "seed", F.col("seed").alias("score"))
+    if links.limit(1).count() == 0:
+        return now.select("host", "score")  # every host only keeps what it has
     for _ in range(rounds):
-        flow = links.join(now, links.src == now.host).groupBy("dst").agg(F.sum(F.col("w") * F.col("score")).alias("flow"))
-        both = seeds.join(flow, seeds.host == flow.dst, "full_outer")
-        now = materialize(both.select(F.coalesce("host", "dst").alias("host"), ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("flow", F.lit(0.0))).alias("score")), "host-scores")
-    return now
+        heard = links.join(now, links.src == now.host).groupBy("dst").agg(F.sum(F.col("w") * (F.col("seed") + F.col("score")) / 2).alias("heard"))
+        both = seeds.join(heard, seeds.host == heard.dst, "full_outer")
+        seed = F.coalesce("seed", F.lit(0.0))
+        now = materialize(both.select(F.coalesce("host", "dst").alias("host"), seed.alias("seed"), F.greatest(seed, damping * F.coalesce("heard", F.lit(0.0))).alias("score")), "host-scores")
+    return now.select("host", "score")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 10, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -288,6 +288,26 @@ def test_distrust_runs_against_links(spark):
     assert got[3].trust > 0 and got[3].distrust == 0 and got[3].verdict == "allow"
 
 
+def test_distrust_of_many_linkers_and_chains(spark):
+    page = lambda u, *to: (u, " ".join(f'<a href="{x}">' for x in to))
+    rows = [page("http://bad.net/es/1"), page("http://bad.net/de/1")]
+    rows += [page(f"http://l{i}.org/1", f"http://l{i}.org/2", f"http://l{i}.org/3", "http://bad.net/es/1") for i in range(10)]
+    rows += [page("http://hub.org/1", "http://l0.org/1"), page("http://far.org/1", "http://hub.org/1")]
+    rows += [page("http://mostly.org/1", "http://bad.net/es/1", *(f"http://x{i}.org/" for i in range(9)))]
+    rows += [page("http://good.com/", "http://friend.org/"), page("http://friend.org/", "http://next.org/"), page("http://next.org/")]
+    got = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, html string"), RULES, key="url").collect()}
+    assert got["http://bad.net/es/1"].distrust == 0.5 and got["http://bad.net/de/1"].verdict == "block"  # half of its pages are blocked
+    assert all(got[f"http://l{i}.org/1"].distrust == pytest.approx(0.85 * 0.5) for i in range(10))
+    rows[1] = page("http://bad.net/es/2")
+    got = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, html string"), RULES, key="url").collect()}
+    assert got["http://bad.net/es/1"].distrust == 1
+    assert all(got[f"http://l{i}.org/1"].distrust == pytest.approx(0.85) and got[f"http://l{i}.org/1"].verdict == "block" for i in range(10))
+    assert got["http://hub.org/1"].distrust == pytest.approx(0.85 * 0.85 / 2) and got["http://hub.org/1"].verdict == "allow"
+    assert 0 < got["http://far.org/1"].distrust < got["http://hub.org/1"].distrust
+    assert got["http://mostly.org/1"].distrust == pytest.approx(0.085) and got["http://mostly.org/1"].verdict == "allow"
+    assert got["http://good.com/"].trust == 1 and got["http://good.com/"].trust > got["http://friend.org/"].trust > got["http://next.org/"].trust > 0
+
+
 # --- top-k
 
 
