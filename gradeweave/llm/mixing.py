@@ -18,8 +18,9 @@ due by t; inverting it at a copy's running sum gives the copy's position.
 Documents are range-sorted by position.
 
 All of it is DataFrame operations. Defined results: a null text has size 0 and
-a size of 0 is taken 0 times; a null source is a source, last in order; equal
-rows share a place in the order and are told apart by a row number; an empty
+a size of 0 is taken 0 times; a null source is a source, last in order; rows
+with equal keys, or null ones, are told apart by a hash of all their columns,
+and rows that are equal in all columns are each taken as planned; an empty
 table gives an empty result.
 """
 
@@ -32,6 +33,11 @@ from pyspark.sql import functions as F
 
 from gradeweave.llm.common import materialize, n_words_col
 
+def row_id(docs: DataFrame) -> Column:
+    """64-bit hash of a row's columns; nulls count by their place."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
 #: Rows of a bucket of the order, about.
 BUCKET_ROWS = 2048
 
@@ -69,16 +75,17 @@ def position(done: Column, begin: Column, end: Column) -> Column:
 
 
 def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, share: float = 1.0, ramps: Sequence[tuple[float, float]] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: key, source, size, source_size, weight, target, copies, taken, done, begin, end.
+    """One row per document: key, row_id, source, size, source_size, weight, target, copies, taken, done, begin, end.
 
     ``copies`` is how often the mix takes it, ``done`` the share of its
     source's target that stands before its first copy.
     """
     spark = docs.sparkSession
-    sized = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_col(F.col(text)).alias("size")), "mix-sizes")
+    sized = materialize(docs.select(F.col(key).alias("key"), row_id(docs).alias("row_id"), F.col(source).alias("source"), n_words_col(F.col(text)).alias("size")), "mix-sizes")
     rows = sized.count()
     buckets = max(1, rows // BUCKET_ROWS)
     order = F.xxhash64(F.lit(seed), F.col("key"))
+    order = F.when(F.col("key").isNull(), F.xxhash64(F.lit(seed), "row_id")).otherwise(order)
     sized = sized.withColumn("__order", order).withColumn("__bucket", F.pmod(F.shiftright("__order", 17), F.lit(buckets)))
     sums = materialize(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most, share)
@@ -90,20 +97,26 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     joined = offsets.alias("o").join(plan.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source"))).select("p.*", "o.__bucket", "o.__before")
     joined = joined.withColumnRenamed("source", "__source").withColumnRenamed("__bucket", "__b")
     d = sized.join(joined, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("source", "__bucket").orderBy("__order", "key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("source", "__bucket").orderBy("__order", "key", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("__at", F.col("__before") + inner)
     passes = F.floor(F.col("target") / F.col("source_size"))
     rest = F.col("target") - passes * F.col("source_size")
     more = (F.col("__at") + F.col("size") / 2.0 < rest) & (passes < most)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce(passes, F.lit(0)) + F.when(more, 1).otherwise(0)).cast("int")
-    return d.select("key", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, F.col("__at") / F.col("target")).otherwise(0.0).alias("done"), "begin", "end")
+    return d.select("key", "row_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, F.col("__at") / F.col("target")).otherwise(0.0).alias("done"), "begin", "end")
 
 
 def mix(docs: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents' columns, one row for each copy taken, range-sorted by training position."""
+    """The documents' columns, one row for each copy taken, range-sorted by training position.
+
+    ``planned`` is the schedule of the same ``docs``. Rows that are equal in
+    all columns meet their places as one row, so r of them give r times their
+    copies.
+    """
     step = F.col("source_size") / F.col("target")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy")
-    places = planned.where("copies > 0").select(F.col("key").alias("__key"), "done", "begin", "end", step.alias("__step"), copy)
-    places = places.select("__key", position(F.least(F.lit(1.0), F.col("done") + F.col("__copy") * F.col("__step")), F.col("begin"), F.col("end")).alias("__position"))
-    out = docs.join(places, F.col(key).eqNullSafe(F.col("__key")))
-    return out.repartitionByRange("__position", key).sortWithinPartitions("__position", key).select(*docs.columns)
+    places = planned.where("copies > 0").select(F.col("row_id").alias("__planned"), "done", "begin", "end", step.alias("__step"), copy)
+    places = places.select("__planned", position(F.least(F.lit(1.0), F.col("done") + F.col("__copy") * F.col("__step")), F.col("begin"), F.col("end")).alias("__position"))
+    one = docs.withColumn("__row", row_id(docs)).dropDuplicates(["__row"])
+    out = one.join(places, F.col("__row") == F.col("__planned"))
+    return out.repartitionByRange("__position", key, "__row").sortWithinPartitions("__position", key, "__row").select(*docs.columns)

@@ -257,6 +257,27 @@ def test_mixing(spark, docs, none):
     assert mixing.schedule(docs).count() == docs.count() and mixing.mix(none, mixing.schedule(none)).count() == 0
 
 
+def test_mixing_repeated_and_null_keys(spark):
+    from collections import Counter
+
+    rows = [(i, f"t{i} " * 20, "a", "en", 1) for i in range(40)]
+    rows += [(5, "another text under five " * 5, "a", "en", 1), (5, "a third text under five " * 5, "b", "en", 1), (7, "t7 " * 20, "a", "en", 1)]
+    rows += [(None, f"null {i} " * 10, "a", "en", 1) for i in range(30)] + [(None, "null 0 " * 10, "a", None, 1), (None, "null 0 " * 10, "a", None, 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    p = mixing.schedule(d, share=1.7)
+    out = mixing.mix(d, p).collect()
+    assert len(out) == p.agg(F.sum("copies")).first()[0] > len(rows)
+    given, got = Counter(rows), Counter(map(tuple, out))
+    assert set(got) <= set(given) and all(n <= 3 * given[r] for r, n in got.items())
+    sized = {}
+    for r in p.collect():
+        sized[r.source] = (sized.get(r.source, (0,))[0] + r.taken, r.target)
+    words = Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    assert all(words[k] == t and abs(t - g) <= 20 for k, (t, g) in sized.items())
+
+
 def test_positions(spark):
     for begin, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)):
         r = spark.range(11).select((F.col("id") / 10).alias("x"), mixing.position(F.col("id") / 10, F.lit(begin), F.lit(end)).alias("t")).collect()
