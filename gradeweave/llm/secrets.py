@@ -45,8 +45,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+#: A key block through its END line; without one, through the header lines and the base64 that follow. Line ends may be escaped.
+_LINE_END = r"(?:\s|\\[nr])"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_LINE_END}++(?:Proc-Type|DEK-Info|Comment|Version): ?[^\r\n\\]*+)*+"
+    rf"(?:{_LINE_END}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{16}}){_LINE_END}++(?:[A-Za-z0-9+/]{{1,15}}+={{1,2}}+|[A-Za-z0-9+/]{{1,15}}+(?=[\r\n\\\"'<]|\Z)))?)"
+)
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),

@@ -166,6 +166,29 @@ def test_secrets(docs, none):
     assert r.redacted == "[assign] [access]"
 
 
+def test_private_keys_go_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/x" * 3 for _ in range(25))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n"
+    cases = {
+        f"a {head}\n{body}\nq8w=\n{end} z": "a [private_key] z",
+        f"a {head}\n{info}\n{body}\nq8w=\n{end}\n{head}\n{body}\n{end} z": "a [private_key]\n[private_key] z",
+        f"a {head}\r\n{body}\r\n{end}".replace("\n", "\r\n").replace("\r\r", "\r") + " z": "a [private_key] z",
+        (f'"{head}\n{body}\nq8w=\n{end}\n"').replace("\n", "\\n"): '"[private_key]\\n"',
+        f"a {head}\n{body}\nq8w=\n": "a [private_key]\n",
+        f"a {head}\n{info}\n{body}\nq8w=\n\nSome prose, then.": "a [private_key]\n\nSome prose, then.",
+        f"a {head}\n{body}\nSome prose, then.": "a [private_key]\nSome prose, then.",
+        (f"'{head}\n{body}\nq8w='").replace("\n", "\\n"): "'[private_key]'",
+        f"a {head} is how such a file begins - see -----BEGIN CERTIFICATE-----": "a [private_key] is how such a file begins - see -----BEGIN CERTIFICATE-----",
+        f"{head}\n{body}\n{head}\n{body}\n{end}": "[private_key]\n[private_key]",
+        f"{head} {body} {end}".replace("\n", " "): "[private_key]",
+    }
+    d = spark.createDataFrame([(t,) for t in cases], "text string")
+    for r in secrets.scan(d, redacted=True).collect():
+        assert r.redacted == cases[r.text], r.text
+    assert secrets.trigram_query(secrets.PRIVATE_KEY) is not None
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") is not None
