@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Sets of five-word shingles at a Jaccard similarity of 0.8.
     """
-    linked = jaccard.link(docs, width=5, percent=80)
+    linked = jaccard.link(docs, width=5, percent=80, degrees=False)
     gone = linked.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 

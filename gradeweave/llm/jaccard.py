@@ -21,7 +21,9 @@ a few hubs, exact verification turns ties into links and components follow; a
 second pass then compares, by a 128-bin histogram whose L1 distance is a lower
 bound of the difference, only sets of a bucket that are still in different
 components, in blocks, and verifies what the bound leaves. So no link between
-different texts is lost: pairs not verified are already connected.
+different texts is lost: pairs not verified are already connected. Where the
+number of links is asked for, the second pass takes all pairs of a bucket,
+connected or not; that work grows with the square of a group of near copies.
 
 Defined results: without words a set is empty and linked with nothing; a null
 key takes no part and has itself (null) as component; repeated rows and exact
@@ -322,13 +324,17 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
     return materialize(links, "jaccard-links")
 
 
-def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable), n_links (verified ties of its set)."""
+def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True) -> DataFrame:
+    """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable) and, with ``degrees``, n_links.
+
+    ``n_links`` is how many other rows the row links with, its exact copies
+    among them. Without it, pairs that others connect are not compared.
+    """
     spark = df.sparkSession
     given = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = given.where("key is not null")
     table = materialize(given.mapInArrow(_sizes(width), "key bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
-    sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.first("bins").alias("bins"))
+    sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
     sets = materialize(sets, "jaccard-distinct")
     largest = sets.agg(F.max("n")).first()[0] or 0
     plan = bands(largest, percent)
@@ -349,8 +355,8 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     reps = sets.select("sid", "key")
     links = _verified(docs, reps, ties, width, percent)
     roots = components(links)
-    # what hubs left apart: buckets of three or more sets, in more than one component
-    named = members.where("k > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    # what hubs left apart: buckets of three or more sets, in more than one component; for degrees each set counts as its own
+    named = members.where("k > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.col("sid") if degrees else F.coalesce("root", "sid"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     named = materialize(named.join(mixed, "bucket", "left_semi"), "jaccard-mixed")
     cells = F.ceil(F.col("k") / BLOCK)
@@ -366,9 +372,14 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     if more.limit(1).count():
         links = links.unionByName(_verified(docs, reps, more, width, percent))
         roots = components(links)
-    degree = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count("*").alias("n_links"))
     named = sets.select("sid", "key").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("key").alias("component"))
-    named = materialize(named.join(least, "root").join(degree, "sid", "left").select("sid", "component", "n_links"), "jaccard-components")
+    named = named.join(least, "root").select("sid", "component")
+    if degrees:
+        copies = sets.select("sid", "copies")
+        ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
+        others = ends.join(copies.select(F.col("sid").alias("other"), "copies"), "other").groupBy("sid").agg(F.sum("copies").alias("others"))
+        named = named.join(copies, "sid").join(others, "sid", "left").select("sid", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = materialize(named, "jaccard-components")
     out = table.select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("sid")).alias("sid")).join(named, "sid", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if degrees else []))

@@ -59,7 +59,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import jaccard
 
-    return jaccard.link(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard.link(table(spark, sf_dir, "documents"), width=3, percent=90, degrees=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,26 @@ def test_jaccard_edges(docs, none):
     assert jaccard.link(none).count() == 0
 
 
+def test_jaccard_numbers_of_links(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(1000 + i, " ".join([*base, f"tail{i}"])) for i in range(14)]  # all link with one another
+    for i in range(12):
+        w = [f"t{rng.randrange(900)}" for _ in range(50)]
+        rows += [(10 * i + c, " ".join(w if c == 0 else [*w[:-c], *(f"c{i}_{k}" for k in range(c))])) for c in range(4)]
+    rows += [(2000, rows[0][1]), (2001, rows[0][1].upper()), (2002, ""), (2003, None), (None, rows[0][1])]
+    sets = [jaccard.shingle_sets([t], 3)[0] for _, t in rows]
+    both = lambda a, b: len(a) and len(b) and 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    want = {k: sum(1 for j, (o, _) in enumerate(rows) if j != i and k is not None and o is not None and both(sets[i], sets[j])) for i, (k, _) in enumerate(rows)}
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.link(d, 3, 90)
+    assert {r.doc_id: r.n_links for r in got.collect()} == want and want[1000] == 15
+    plain = jaccard.link(d, 3, 90, degrees=False)
+    assert "n_links" not in plain.columns and {tuple(r) for r in plain.collect()} == {tuple(r) for r in got.drop("n_links").collect()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (200, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
