@@ -27,11 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest key.
 
-    Sets of five-word shingles at a Jaccard similarity of 0.8.
+    Sets of five-word shingles at a Jaccard similarity of 0.8. Documents are
+    told apart by key and text, so different texts under one key are decided
+    one by one.
     """
     linked = jaccard.link(docs, width=5, percent=80, degrees=False)
-    gone = linked.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    first = (F.col("component_id") == F.col("doc_id")) & (F.col("first_text_id") == F.col("text_id"))
+    gone = linked.where(F.col("first_text_id").isNotNull() & ~first).select(F.col("doc_id").alias("__gone"), F.col("text_id").alias("__text")).distinct()
+    same = (docs.doc_id == gone["__gone"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == gone["__text"])
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

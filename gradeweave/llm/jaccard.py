@@ -158,7 +158,7 @@ def _sizes(width: int):
             for batch in rows_by_bytes(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], names=["key", "n", "sid", "bins"]
+                    [batch.column("key"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], names=["key", "text_id", "n", "sid", "bins"]
                 )
 
     return run
@@ -325,7 +325,12 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
 
 
 def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True) -> DataFrame:
-    """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable) and, with ``degrees``, n_links.
+    """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable), text_id, first_text_id and, with ``degrees``, n_links.
+
+    Keys may repeat: ``text_id`` is a hash of the row's text, and key and
+    ``text_id`` tell rows apart. The least such pair of a component, which is
+    ``component_id`` and ``first_text_id``, is of one text of that component
+    only; ``first_text_id`` is null where a row takes no part.
 
     ``n_links`` is how many other rows the row links with, its exact copies
     among them. Without it, pairs that others connect are not compared.
@@ -333,8 +338,10 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     spark = df.sparkSession
     given = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = given.where("key is not null")
-    table = materialize(given.mapInArrow(_sizes(width), "key bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
-    sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
+    named_texts = given.select("key", F.xxhash64("text").alias("text_id"), "text")
+    table = materialize(named_texts.mapInArrow(_sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
+    sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min(F.struct("key", "text_id")).alias("first"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
+    sets = sets.select("sid", "first.key", "first", "n", "bins", "copies")
     sets = materialize(sets, "jaccard-distinct")
     largest = sets.agg(F.max("n")).first()[0] or 0
     plan = bands(largest, percent)
@@ -372,14 +379,14 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     if more.limit(1).count():
         links = links.unionByName(_verified(docs, reps, more, width, percent))
         roots = components(links)
-    named = sets.select("sid", "key").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("key").alias("component"))
-    named = named.join(least, "root").select("sid", "component")
+    named = sets.select("sid", "first").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least, "root").select("sid", F.col("component.key").alias("component"), F.col("component.text_id").alias("first_text_id"))
     if degrees:
         copies = sets.select("sid", "copies")
         ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
         others = ends.join(copies.select(F.col("sid").alias("other"), "copies"), "other").groupBy("sid").agg(F.sum("copies").alias("others"))
-        named = named.join(copies, "sid").join(others, "sid", "left").select("sid", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        named = named.join(copies, "sid").join(others, "sid", "left").select("sid", "component", "first_text_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = materialize(named, "jaccard-components")
-    out = table.select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("sid")).alias("sid")).join(named, "sid", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if degrees else []))
+    out = table.select("key", "text_id", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("sid")).alias("sid")).join(named, "sid", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), "text_id", "first_text_id", *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if degrees else []))
