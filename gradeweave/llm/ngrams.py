@@ -13,6 +13,8 @@ of the next level, so no level repeats its keys.
 Probabilities are interpolated absolute discounting: each level keeps the
 discounted share of a successor and the weight its context leaves to the
 level below; the lowest level is add-one over the vocabulary and one unknown.
+The discount is one a level, from its n-grams of all files that occur once and
+twice: files are written with counts first, and again with probabilities.
 
 Counts never meet as rows of n-grams: tasks count within slices and ship
 sorted, packed blocks by file; a file's task merges the blocks. Its memory
@@ -309,23 +311,46 @@ def _columns_back(data: bytes, k: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<u8").ravel().astype(np.int64) for p in planes]
 
 
-def _level_file(low: int, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-    """One file of a level: contexts low to low + contexts."""
+def _counted(low: int, contexts: int, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """One file of a level, with counts: contexts low to low + contexts."""
     order = _order(context, word)
     context, word, count = context[order], word[order], count[order]
     at = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
     count = np.add.reduceat(count, at)
     context, word = context[at] - low, word[at]
-    once, twice = int((count == 1).sum()), int((count == 2).sum())
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     kinds = np.bincount(context, minlength=contexts)
-    totals = np.bincount(context, count, contexts)
-    share = np.maximum(count - discount, 0) / totals[context]
-    rest = discount * kinds / np.maximum(totals, 1)
     pointer = np.concatenate(([0], np.cumsum(kinds)))
     last = np.where(kinds > 0, word[np.maximum(pointer[1:] - 1, 0)], 0)
     base = np.concatenate(([0], np.cumsum(last)))[:-1]
-    return pack(_named("pointer", eliasfano.build(pointer)) | _named("next", eliasfano.build(base[context] + word)) | {"share": quantise(share), "rest": quantise(rest)})
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return _named("pointer", eliasfano.build(pointer)) | _named("next", eliasfano.build(base[context] + word)) | {"count": small(count), "kinds": small(kinds)}
+
+
+def _discount(once: int, twice: int) -> float:
+    """Of a level, by how many of its n-grams occur once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def _discounted(parts: dict[str, np.ndarray], discount: float) -> dict[str, np.ndarray]:
+    """The file with probabilities in place of counts."""
+    parts = dict(parts)
+    count, kinds = parts.pop("count").astype(np.int64), parts.pop("kinds").astype(np.int64)
+    context = np.repeat(np.arange(len(kinds)), kinds)
+    totals = np.bincount(context, count, len(kinds))
+    share = np.maximum(count - discount, 0) / totals[context]
+    rest = discount * kinds / np.maximum(totals, 1)
+    return parts | {"share": quantise(share), "rest": quantise(rest)}
+
+
+def _discounted_files(discount: float, level: int, out_dir: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                path = f"{out_dir}/level{level}-{r['part']}-{attempt_name()}.ef"
+                write_bytes(path, pack(_discounted(unpack(read_buffer(r["path"])), discount)))
+                yield _manifest_row((r["part"], path, r["n"], r["total"]))
+
+    return run
 
 
 def _level_files(cuts: np.ndarray, contexts: int, level: int, out_dir: str):
@@ -343,25 +368,22 @@ def _level_files(cuts: np.ndarray, contexts: int, level: int, out_dir: str):
                 parts.append((np.cumsum(delta) + cuts[p], word, count))
             context, word, count = (np.concatenate(x) for x in zip(*parts))
             del parts
-            data = _level_file(int(cuts[p]), int(ends[p] - cuts[p]), context, word, count)
-            path = f"{out_dir}/level{level}-{p}-{attempt_name()}.ef"
-            write_bytes(path, data)
-            n = eliasfano_size(data)
-            yield _manifest_row((p, path, n, int(count.sum())))
+            made = _counted(int(cuts[p]), int(ends[p] - cuts[p]), context, word, count)
+            path = f"{out_dir}/counts{level}-{p}-{attempt_name()}.ef"
+            write_bytes(path, pack(made))
+            row = _manifest_row((p, path, len(made["count"]), int(count.sum())))
+            for name, times in (("once", 1), ("twice", 2)):
+                row = row.append_column(name, pa.array([int((made["count"] == times).sum())], pa.int64()))
+            yield row
 
     return run
 
 
-def eliasfano_size(data: bytes) -> int:
-    """Nodes of a level's file."""
-    return len(unpack(memoryview(data))["share"])
-
-
 def fit(docs: DataFrame, order: int = 3, text: str = "text"):
     """Count, build and write the levels; returns what ``Trie`` takes (a row a file)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out_dir, least = new_dir(spark, "ngrams"), shuffle_partitions(spark)
+    out_dir, counts_dir, least = new_dir(spark, "ngrams"), new_dir(spark, "ngram-counts"), shuffle_partitions(spark)
     words = materialize(docs.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "ngram-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n = max(1, distinct // NODES)
@@ -380,7 +402,10 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
         parts = max(least, int(total // NODES)) if total else 1
         starts = _cuts(contexts, max(1, min(parts, contexts)))
         blocks = docs.mapInArrow(_count_grams(shared, level, starts), "part int, block binary").repartition(len(starts), "part")
-        files = materialize(blocks.mapInArrow(_level_files(starts, contexts, level, out_dir), MANIFEST), "ngram-manifest").orderBy("part").collect()
+        counted = materialize(blocks.mapInArrow(_level_files(starts, contexts, level, counts_dir), f"{MANIFEST}, once bigint, twice bigint"), "ngram-counted")
+        once, twice = counted.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+        final = counted.drop("once", "twice").repartition(len(starts), "part").mapInArrow(_discounted_files(_discount(once, twice), level, out_dir), MANIFEST)
+        files = materialize(final, "ngram-manifest").orderBy("part").collect()
         made, base = [], 0
         for f in files:
             made.append((int(starts[f.part]), base, f.path))

@@ -152,6 +152,23 @@ def test_ngram_probabilities_sum_to_one(spark):
     assert (share + rest * p1).sum() + rest[0] / (total + distinct + 1) == pytest.approx(1, abs=0.02)
 
 
+def test_ngram_scores_keep_over_partitions(spark):
+    import random
+
+    rng = random.Random(8)
+    d = spark.createDataFrame([(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30))) for i in range(60)], "doc_id int, text string")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = ngrams.fit(d)
+            assert len(model[1][0]) == n
+            got.append({r.doc_id: r.score for r in ngrams.score(d, model).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == pytest.approx(got[1], abs=1e-9)
+
+
 # --- secrets
 
 
