@@ -10,7 +10,8 @@ the links it gives, and what a host only heard of others counts half when it
 is passed on. A page without a rule is blocked where its host's distrust
 reaches ``threshold`` and is above its trust.
 
-Links are absolute urls in the pages' ``href``s; edges are counted by host
+Links are the urls in the pages' ``href``s that name a host (absolute, or
+beginning with ``//``); edges are counted by host
 pair before any shuffle of ranks, so a hot host costs as many rows as it has
 neighbours. Every round's table is written to the shared folder. DataFrame
 operations only.
@@ -50,9 +51,10 @@ def rule_col(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(src, dst, n): absolute links between hosts, from rows with ``host`` and the page."""
-    urls = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s<>]+)"""), F.lit(1))
-    return pages.select(F.col("host").alias("src"), F.explode(urls).alias("u")).select("src", host_col(F.col("u")).alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): links between hosts, absolute or protocol-relative (``//host``), from rows with ``host`` and the page."""
+    urls = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""), F.lit(1))
+    url = F.when(F.col("u").startswith("//"), F.concat(F.lit("http:"), "u")).otherwise(F.col("u"))
+    return pages.select(F.col("host").alias("src"), F.explode(urls).alias("u")).select("src", host_col(url).alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:

@@ -389,6 +389,12 @@ def test_distrust_of_many_linkers_and_chains(spark):
     assert got["http://good.com/"].trust == 1 and got["http://good.com/"].trust > got["http://friend.org/"].trust > got["http://next.org/"].trust > 0
 
 
+def test_protocol_relative_links(spark):
+    html = """<a href="//B.org/x"> <a HREF = '//c.org'> <a href=//b.org?y> <a href="https://b.org/"> <a href="/a//d.org"> <a href="d//e.org"> <a href="///">"""
+    got = urls.host_edges(spark.createDataFrame([("a.org", html), ("a.org", None)], "host string, html string")).collect()
+    assert {tuple(r) for r in got} == {("a.org", "b.org", 3), ("a.org", "c.org", 1)}
+
+
 # --- top-k
 
 
