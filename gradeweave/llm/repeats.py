@@ -1,17 +1,19 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by shared anchors and exact window keys.
 
 1. Seeds: winnowing picks anchors (runs of ``gram`` words with the smallest
    hash in a row), so that any two places that share ``window`` words share an
    anchor. Anchors are joined across documents; those in one document only
    leave.
-2. Extend: around each shared anchor the match can reach ``window - gram``
-   words to either side. Every window of that reach is compared with the same
-   windows of the other documents; windows that agree and touch or overlap are
-   one maximal repeat, as long as it goes. Comparing windows by key instead of
-   document pairs keeps the work linear: a passage in k documents costs k
-   rows, not k*k pairs. A slice of documents settles its own repeats first and
-   sends one row per window, so a passage in a third of all documents costs at
-   most a row a slice in any task.
+2. Windows, in place of extension: around each shared anchor a match of
+   ``window`` words can reach ``window - gram`` words to either side. Every
+   window that starts in that reach is hashed and grouped with the equal
+   windows of other documents. No match is extended word by word and no maximal
+   repeat is formed or returned; the words removed are those that extending
+   matches of ``window`` words or more would cover. Comparing windows by key
+   instead of document pairs keeps the work linear: a passage in k documents
+   costs k rows, not k*k pairs. A slice of documents settles its own repeats
+   first and sends one row per window, so a passage in a third of all documents
+   costs at most a row a slice in any task.
 3. Words covered by a window that also starts in a document with a smaller key
    go.
 
