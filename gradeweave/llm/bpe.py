@@ -16,8 +16,8 @@ from __future__ import annotations
 import base64
 import json
 import os
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gradeweave.llm import hashing
-from gradeweave.llm.common import SLICE_BYTES, rows_by_bytes
+from gradeweave.llm.common import SLICE_BYTES, arrow_map, rows_by_bytes
 
 
 def byte_characters() -> list[str]:
@@ -92,17 +92,16 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LAST = np.zeros(256, bool)  # last bytes of white space beyond ASCII
 _LAST[[*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+_MARK = np.zeros(256, bool)  # printable ASCII beside letters, digits and the apostrophe, which begins contractions
+_MARK[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LATIN = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
 _LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
-_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch  # letters, as UTF-8
 
 
-def unit_starts(data: np.ndarray) -> np.ndarray:
-    """Where units begin, as a mask over bytes; the first two and the last byte never do."""
+def unit_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over bytes: where units begin (the first two and the last byte never do), and what belongs to no letter from A to U+00FF."""
     white = _WHITE[data]
     other = np.zeros(len(data), bool)
     if len(at := np.flatnonzero(_LAST[data[2:]]) + 2):  # white space beyond ASCII, or taken for it: no unit ends there
@@ -110,75 +109,118 @@ def unit_starts(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), bool)
     out[1:] = white[1:] & ~white[:-1] & ~other[:-1]
     letter = _LETTER[data]
-    letter[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
-    out[1:-1] |= _MARK[data[1:-1]] & letter[:-2] & white[2:]
-    return out
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[_LATIN[data[at + 1]]]
+    letter[at + 1] = True
+    out[1:-1] |= _MARK[data[1:-1]] & letter[:-2]
+    letter[at] = True
+    return out, ~letter
+
+
+class _Growing:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1 << 10, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if (need := self.n + len(values)) > len(self.room):
+            wider = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            wider[: self.n] = self.room[: self.n]
+            self.room = wider
+        self.room[self.n : need] = values
+        self.n = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class _Places:
+    """Hashes to places: a large sorted table and a small one that takes what is new."""
+
+    def __init__(self):
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.tables = [none, none]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        for known, place in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = place[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, first: int) -> None:
+        new = (hashes, np.arange(first, first + len(hashes), dtype=np.int32))
+        large, small = self.tables
+        small = self._merged(small, new)
+        if len(small[0]) * 4 > len(large[0]):
+            large, small = self._merged(large, small), (small[0][:0], small[1][:0])
+        self.tables = [large, small]
+
+    @staticmethod
+    def _merged(a, b):
+        keys, places = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], places[order]
 
 
 class Encoder:
-    """Texts to ids, as bytes, with a bounded memory of units already encoded.
+    """Texts to ids, as bytes, with a memory of units already encoded that takes ``most`` bytes, about.
 
     Byte-level patterns never match across the begin of a unit: a run of white
-    space and what follows it, or a single mark between a letter and white
-    space. So a text's ids are its units' ids in order. The units of a slice
-    are told apart by 64-bit hashes, and the library encodes each new one
-    once; units of letters alone go straight to its merges. Tokenizers of
-    other kinds get whole texts.
+    space and what follows it, or a mark after a letter. So a text's ids are
+    its units' ids in order. The units of a slice are told apart by 64-bit
+    hashes, and the library encodes each new one once; units of letters alone
+    go straight to its merges. Tokenizers of other kinds get whole texts.
     """
 
-    def __init__(self, definition: str, by_units: bool = True, dtype: str = "<u4", most: int = 1 << 20):
+    def __init__(self, definition: str, by_units: bool = True, dtype: str = "<u4", most: int = 64 << 20):
         self.tokenizer, self.by_units, self.dtype, self.most = local_tokenizer(definition), by_units, dtype, most
         if by_units:
             d = json.loads(definition)
             d |= {"pre_tokenizer": None, "post_processor": None, "normalizer": None, "added_tokens": []}
-            self.merges = local_tokenizer(json.dumps(d))
-            from tokenizers import pre_tokenizers
-
-            self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-            self.characters = {b: c for b, c in enumerate(byte_characters()) if b != 10}
-            vocabulary = self.merges.get_vocab()
-            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character stands for one byte
-            self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+            self.merges = local_tokenizer(json.dumps(d)).model
+            self.characters = np.array([ord(c) for c in byte_characters()], "<u4")
+            self.characters[10] = 10  # parts the units
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
-
-    def _learn(self, hashes: list[int], units: list[bytes]) -> None:
-        match = [_PLAIN(u) is not None for u in units]
-        plain = [i for i, m in enumerate(match) if m]
-        rest = [i for i, m in enumerate(match) if not m]
-        size, parts = np.zeros(len(units), np.int64), []
-        for lo in range(0, len(plain), 2048):
-            some = plain[lo : lo + 2048]
-            # many units in one call; their tokens part where their bytes do
-            one = b"\n".join([units[i] for i in some]).decode("latin-1").translate(self.characters)
-            ids = np.array(self.merges.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(units[i]) for i in some])) + 1
-            size[some] = np.diff(ends, prepend=0)
-            parts.append(ids)
+        self.known, self.at, self.size, self.ids = _Places(), _Growing(np.int64), _Growing(np.int32), _Growing(self.dtype)
+
+    def _bytes(self) -> int:
+        return self.at.n * (8 + 4 + 8 + 4) + self.ids.n * self.ids.room.itemsize
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes], plain: np.ndarray) -> None:
+        """Encode new units; those of letters alone (and a space before) need no splitting."""
+        made: list = [None] * len(units)
+        alone, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        if alone:
+            shown = self.characters[np.frombuffer(b"\n".join([units[i] for i in alone]), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+            merge = self.merges.tokenize
+            for i, text in zip(alone, shown):
+                made[i] = [t.id for t in merge(text)]
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([units[i].decode() for i in some], add_special_tokens=False)]
-            size[some] = [len(x) for x in made]
-            parts.append(np.fromiter(chain.from_iterable(made), np.int64, sum(map(len, made))))
-        order = np.array(plain + rest, np.int64)
-        at = np.zeros(len(units), np.int64)
-        at[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
-        self.known.update(zip(hashes, range(len(self.at), len(self.at) + len(units))))
-        self.at, self.size = np.concatenate((self.at, at)), np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, *(x.astype(self.dtype) for x in parts)))
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([units[i].decode() for i in some], add_special_tokens=False)):
+                made[i] = e.ids
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        self.known.add(hashes, self.at.n)
+        self.at.extend(self.ids.n + np.cumsum(size) - size)
+        self.size.extend(size)
+        self.ids.extend(np.fromiter(chain.from_iterable(made), self.dtype, int(size.sum())))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_units:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > self.most:
+        if self._bytes() > self.most:
             self._forget()
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b"\n\n" + b"\n".join(raw) + b"\n", np.uint8)
         edges = 2 + np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-        begins = unit_starts(data)
+        begins, other = unit_starts(data)
         begins[edges[:-1]] = True
         begins[edges[1:] - 1] = False  # what parts the texts
         start = np.flatnonzero(begins)
@@ -188,21 +230,28 @@ class Encoder:
         end = np.append(start[1:], len(data))
         end = np.minimum(end, np.repeat(edges[1:] - 1, np.diff(bounds)))
         unique, first, inverse = np.unique(hashing.spans(data, start, end), return_index=True, return_inverse=True)
-        names = unique.tolist()
-        get = self.known.get
-        slot = np.array([get(x, -1) for x in names])
+        slot = self.known.find(unique)
         if len(new := np.flatnonzero(slot < 0)):
+            slot[new] = np.arange(self.at.n, self.at.n + len(new))
             whole = data.tobytes()
-            self._learn([names[i] for i in new.tolist()], [whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            slot[new] = np.arange(len(self.at) - len(new), len(self.at))
+            a, b = start[first[new]], end[first[new]]
+            letters = a + (data[a] == 0x20)
+            others = np.concatenate(([0], np.cumsum(other, dtype=np.int32)))
+            self._learn(unique[new], [whole[i:j] for i, j in zip(a.tolist(), b.tolist())], (others[b] == others[letters]) & (letters < b))
         slot = slot[inverse]
-        size = self.size[slot]
+        size = self.size.values[slot].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.at[slot] - upto[:-1], size) + np.arange(upto[-1])]
+        ids = self.ids.values[np.repeat(self.at.values[slot] - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[bounds].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(definition: str, by_units: bool = True, dtype: str = "<u4") -> Encoder:
+    """The Python worker's encoder: tasks that follow each other in a worker share what it knows."""
+    return Encoder(definition, by_units, dtype)
+
+
 def splits_by_units(definition: str) -> bool:
     """Whether a tokenizer leaves its text as it is and splits it by the byte-level pattern."""
     d = json.loads(definition)
@@ -234,21 +283,28 @@ def char_offsets(data: bytes, offsets: np.ndarray) -> np.ndarray:
     return before[offsets] - ~inside
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
+def _joined(pieces: list[bytes], ids: bytes | None) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """Add ``ids`` (little-endian uint32 ids as binary) and ``n_tokens``.
 
     With ``offsets`` also ``byte_offsets`` and ``char_offsets``: one start per
-    token and a last end, in bytes and in code points.
+    token and a last end, in bytes and in code points. With ``decoded`` also
+    the bytes that the ids decode to, in the same pass: what ``decode`` gives.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((tokenizer_json(ranks, pattern), sorted(ranks, key=ranks.get) if offsets else None))
+    shared = spark.sparkContext.broadcast((tokenizer_json(ranks, pattern), sorted(ranks, key=ranks.get) if offsets or decoded else None))
     more = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     if offsets:
         more += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("byte_offsets", "char_offsets")]
+    if decoded:
+        more.append(T.StructField("decoded", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, pieces = shared.value
-        encoder = Encoder(definition)
+        encoder = worker_encoder(definition)
         for whole in batches:
             for batch in rows_by_bytes(whole, text, 2 * SLICE_BYTES):
                 texts = [x or "" for x in batch.column(text).to_pylist()]
@@ -258,29 +314,34 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                     at = [byte_offsets(pieces, np.frombuffer(x, "<u4").tolist()) for x in ids]
                     made["byte_offsets"] = pa.array(at, pa.list_(pa.int64()))
                     made["char_offsets"] = pa.array([char_offsets(t.encode(), a) for t, a in zip(texts, at)], pa.list_(pa.int64()))
+                if decoded:
+                    made["decoded"] = pa.array([_joined(pieces, x) for x in ids], pa.binary())
                 yield _batch(batch, made)
 
-    return df.mapInArrow(run, _with(df.schema, *more))
+    return df.transform(arrow_map, run, _with(df.schema, *more))
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """Add ``decoded`` (the exact bytes) and ``decoded_text``.
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", as_text: bool = False) -> DataFrame:
+    """Add ``decoded`` (the exact bytes) and, if asked for, ``decoded_text``.
 
     Bytes are joined before they become characters, so characters that tokens
     split come back whole; bytes that are no UTF-8 show as U+FFFD in
     ``decoded_text`` only. Null ids decode as no bytes.
     """
     shared = df.sparkSession.sparkContext.broadcast(sorted(ranks, key=ranks.get))
-    more = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
+    more = [T.StructField("decoded", T.BinaryType()), *([T.StructField("decoded_text", T.StringType())] if as_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        pieces = shared.value
         for whole in batches:
             for batch in rows_by_bytes(whole, ids, 4 * SLICE_BYTES):
-                data = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids).to_pylist()]
-                yield _batch(batch, {"decoded": pa.array(data, pa.binary()), "decoded_text": pa.array([x.decode("utf-8", "replace") for x in data], pa.string())})
+                data = [_joined(pieces, x) for x in batch.column(ids).to_pylist()]
+                made = {"decoded": pa.array(data, pa.binary())}
+                if as_text:
+                    made["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in data], pa.string())
+                yield _batch(batch, made)
 
-    return df.mapInArrow(run, _with(df.schema, *more))
+    return df.transform(arrow_map, run, _with(df.schema, *more))
 
 
 def definition_of(path: str) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +53,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker, and the session's setting for it.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches; workers give back the memory they freed when a task ends.
+
+    Both the executor and its worker hold whole batches, so the session's
+    limit is lowered to ``BATCH_BYTES``; a lower one stays.
+    """
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _bytes(text: str) -> int:
+    number = text.strip().lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(number[-1:], 1)
+    return int(number.rstrip("kmg")) * unit
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers otherwise keep it for the application's life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path in it) for a URI or a plain local path."""
     from pyarrow import fs
@@ -87,12 +130,13 @@ def attempt_name() -> str:
 
 
 def rows_by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """Slices of ``batch`` with about ``limit`` bytes in ``column`` (one row at least)."""
+    """Slices of ``batch``, about even, with some ``limit`` bytes in ``column`` at most (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
 
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     end = np.cumsum(size)
+    limit = -(-int(end[-1]) // max(1, -(-int(end[-1]) // limit))) if len(end) else limit
     at = 0
     while at < len(size):
         done = end[at - 1] if at else 0

@@ -36,23 +36,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.ones(1 << bits, np.uint64)
-    for k in range(bits):
-        out[1 << k : 2 << k] = out[: 1 << k] * _U(pow(base, 1 << k, 1 << 64))
-    return out
+_BLOCK = 1 << 14  # powers are held for so many places; the rest follows from the block's number
+
+
+@lru_cache(maxsize=None)
+def _within(base: int) -> np.ndarray:
+    return _geometric(base, _BLOCK)
+
+
+def _geometric(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1."""
+    out = np.ones(max(1, n), np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * _U(pow(base, have, 1 << 64))
+        have += more
+    return out[:n]
+
+
+def _across(base: int, n: int) -> np.ndarray:
+    """The powers at which the blocks of n places begin."""
+    return _geometric(pow(base, _BLOCK, 1 << 64), -(-n // _BLOCK))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(8, (n - 1).bit_length()))[:n]
+    return (_across(base, n)[:, None] * _within(base)).ravel()[:n]
+
+
+def _sums(values: np.ndarray, base: int, look: np.ndarray | None = None) -> np.ndarray:
+    """Running sums, from 0, of values times powers of the base, block by block; ``look`` gives the values of codes."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    for k, first in enumerate(_across(base, n).tolist()):
+        lo, hi = k * _BLOCK, min(n, (k + 1) * _BLOCK)
+        part = values[lo:hi] if look is None else look[values[lo:hi]]
+        part = part * _within(base)[: hi - lo]
+        part *= _U(first)
+        part[:1] += sums[lo : lo + 1]
+        np.cumsum(part, out=sums[lo + 1 : hi + 1])
+    return sums
 
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes from start to end, for each pair."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(_BASE_INV, len(data))[start]
+    sums = _sums(data, _BASE, _BYTE)
+    value = sums[end] - sums[start]
+    value *= _across(_BASE_INV, len(data) + 1)[start // _BLOCK]
+    value *= _within(_BASE_INV)[start % _BLOCK]
     return mix(value + (end - start).astype(np.uint64) * _U(_RUN))
 
 
@@ -75,8 +106,7 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes) * powers(_RUN, n), out=sums[1:])
+    sums = _sums(mix(hashes), _RUN)
     return mix((sums[width:] - sums[:-width]) * powers(_RUN_INV, n)[: n - width + 1] + _U(width))
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm import hashing
-from gradeweave.llm.common import materialize, rows_by_bytes, shuffle_partitions
+from gradeweave.llm.common import arrow_map, materialize, rows_by_bytes, shuffle_partitions
 from gradeweave.llm.graph import components
 
 BINS = 128
@@ -316,7 +316,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["sid", "tokens"])
 
-    sets = docs.join(need, "key", "left_semi").mapInArrow(run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
+    sets = docs.join(need, "key", "left_semi").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
     sets = materialize(sets, "jaccard-sets")
     a, b = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
@@ -339,7 +339,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     given = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = given.where("key is not null")
     named_texts = given.select("key", F.xxhash64("text").alias("text_id"), "text")
-    table = materialize(named_texts.mapInArrow(_sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
+    table = materialize(named_texts.transform(arrow_map, _sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
     sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min(F.struct("key", "text_id")).alias("first"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
     sets = sets.select("sid", "first.key", "first", "n", "bins", "copies")
     sets = materialize(sets, "jaccard-distinct")
@@ -352,13 +352,13 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     plan = [allocate(b, n, kinds) for b, n in zip(plan, held)]
     total = sum(b.signatures() * n for b, n in zip(plan, held) if b.most)
     parts = int(max(shuffle_partitions(spark), total // FULL))
-    blocks = docs.select("text").mapInArrow(_index(width, plan, parts), "part int, block binary").repartition(parts, "part")
-    buckets = materialize(blocks.mapInArrow(_buckets, "bucket bigint, sids array<bigint>"), "jaccard-buckets")
+    blocks = docs.select("text").transform(arrow_map, _index(width, plan, parts), "part int, block binary").repartition(parts, "part")
+    buckets = materialize(blocks.transform(arrow_map, _buckets, "bucket bigint, sids array<bigint>"), "jaccard-buckets")
     info = sets.select("sid", "n", "bins")
     members = buckets.dropDuplicates(["bucket"]).select("bucket", F.size("sids").alias("k"), F.explode("sids").alias("sid"))
     members = materialize(members.join(info, "sid"), "jaccard-members")
     dealt = members.repartition(parts, "bucket").sortWithinPartitions("bucket", "sid").select("bucket", "sid", "n", "bins")
-    ties = materialize(dealt.mapInArrow(_ties(percent), "a bigint, b bigint").distinct(), "jaccard-ties")
+    ties = materialize(dealt.transform(arrow_map, _ties(percent), "a bigint, b bigint").distinct(), "jaccard-ties")
     reps = sets.select("sid", "key")
     links = _verified(docs, reps, ties, width, percent)
     roots = components(links)
@@ -374,7 +374,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)
     cut = cut.withColumn("side", side.cast("int")).withColumn("bucket", F.xxhash64("bucket", "lo", "hi"))
     cut = cut.repartition(parts, "bucket").sortWithinPartitions("bucket", "sid").select("bucket", "sid", "n", "bins", "root", "side")
-    more = cut.mapInArrow(_across(percent), "a bigint, b bigint").distinct().join(ties, ["a", "b"], "left_anti")
+    more = cut.transform(arrow_map, _across(percent), "a bigint, b bigint").distinct().join(ties, ["a", "b"], "left_anti")
     more = materialize(more, "jaccard-across")
     if more.limit(1).count():
         links = links.unionByName(_verified(docs, reps, more, width, percent))

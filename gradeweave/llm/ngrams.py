@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm import eliasfano, hashing
-from gradeweave.llm.common import attempt_name, materialize, new_dir, read_buffer, rows_by_bytes, shuffle_partitions, write_bytes
+from gradeweave.llm.common import arrow_map, attempt_name, materialize, new_dir, read_buffer, rows_by_bytes, shuffle_partitions, write_bytes
 
 _U = np.uint64
 BOS, END, FIRST = 0, 1, 2  # ids; words follow
@@ -384,12 +384,12 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     out_dir, counts_dir, least = new_dir(spark, "ngrams"), new_dir(spark, "ngram-counts"), shuffle_partitions(spark)
-    words = materialize(docs.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "ngram-words")
+    words = materialize(docs.transform(arrow_map, _count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "ngram-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n = max(1, distinct // NODES)
     top = F.shiftrightunsigned("h", 40).cast("long")
     dealt = words.withColumn("part", F.shiftright(top * n, 24).cast("int")).repartition(n, "part")
-    files = materialize(dealt.mapInArrow(_word_files(n, out_dir), MANIFEST), "ngram-manifest").orderBy("part").collect()
+    files = materialize(dealt.transform(arrow_map, _word_files(n, out_dir), MANIFEST), "ngram-manifest").orderBy("part").collect()
     cuts = [-(-(p << 24) // n) << 40 for p in range(n)]
     level1, base = [], 0
     for f in files:
@@ -401,10 +401,10 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
         shared = spark.sparkContext.broadcast((level1, levels, total, distinct))  # names of files
         parts = max(least, int(total // NODES)) if total else 1
         starts = _cuts(contexts, max(1, min(parts, contexts)))
-        blocks = docs.mapInArrow(_count_grams(shared, level, starts), "part int, block binary").repartition(len(starts), "part")
-        counted = materialize(blocks.mapInArrow(_level_files(starts, contexts, level, counts_dir), f"{MANIFEST}, once bigint, twice bigint"), "ngram-counted")
+        blocks = docs.transform(arrow_map, _count_grams(shared, level, starts), "part int, block binary").repartition(len(starts), "part")
+        counted = materialize(blocks.transform(arrow_map, _level_files(starts, contexts, level, counts_dir), f"{MANIFEST}, once bigint, twice bigint"), "ngram-counted")
         once, twice = counted.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
-        final = counted.drop("once", "twice").repartition(len(starts), "part").mapInArrow(_discounted_files(_discount(once, twice), level, out_dir), MANIFEST)
+        final = counted.drop("once", "twice").repartition(len(starts), "part").transform(arrow_map, _discounted_files(_discount(once, twice), level, out_dir), MANIFEST)
         files = materialize(final, "ngram-manifest").orderBy("part").collect()
         made, base = [], 0
         for f in files:
@@ -439,4 +439,4 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
                 made = [pa.array(np.diff(starts), pa.int64()), pa.array(np.bincount(owner, counts > 0, n).astype(np.int64)), pa.array(np.full(n, trie.total), pa.int64()), pa.array(sums[0]), pa.array(sums[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + made, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(arrow_map, run, schema)

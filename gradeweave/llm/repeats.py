@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeweave.llm import hashing
-from gradeweave.llm.common import materialize, rows_by_bytes
+from gradeweave.llm.common import arrow_map, materialize, rows_by_bytes
 
 GRAM = 8
 SLICE = 4 << 20
@@ -174,16 +174,16 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, key: str =
     that lost words; null: nothing was removed.
     """
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scanned = materialize(docs.mapInArrow(_scan(window, gram), "key bigint, uid bigint, n_words bigint, sha string, anchors array<bigint>"), "repeat-anchors")
+    scanned = materialize(docs.transform(arrow_map, _scan(window, gram), "key bigint, uid bigint, n_words bigint, sha string, anchors array<bigint>"), "repeat-anchors")
     seeds = scanned.where("key is not null").select("key", "uid", F.explode("anchors").alias("anchor"))
     shared = materialize(seeds.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor"), "repeat-shared")
     wanted = materialize(seeds.join(shared, "anchor", "left_semi").groupBy("uid").agg(F.collect_set("anchor").alias("seeds")), "repeat-seeds")
     reach = materialize(docs.where("key is not null").join(wanted, "uid"), "repeat-texts")
-    rows = materialize(reach.mapInArrow(_windows(window, gram), "h bigint, key bigint, uid bigint, start int, more binary"), "repeat-windows")
+    rows = materialize(reach.transform(arrow_map, _windows(window, gram), "h bigint, key bigint, uid bigint, start int, more binary"), "repeat-windows")
     least = F.first("key").over(Window.partitionBy("h").orderBy("key"))
     found = rows.where("h is not null").withColumn("least", least).where("key > least").select("uid", "start", "more")
     found = found.unionByName(rows.where("h is null").select("uid", "start", "more"))
     starts = found.groupBy("uid").agg(F.collect_list(F.when(F.col("more").isNull(), F.col("start"))).alias("starts"), F.collect_list("more").alias("more"))
-    cut = reach.select("uid", "text").dropDuplicates(["uid"]).join(starts, "uid").mapInArrow(_drop(window), "uid bigint, n_removed bigint, kept string")
+    cut = reach.select("uid", "text").dropDuplicates(["uid"]).join(starts, "uid").transform(arrow_map, _drop(window), "uid bigint, n_removed bigint, kept string")
     out = scanned.select("key", "uid", "n_words", "sha").join(cut, "uid", "left")
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.sha2("kept", 256), F.col("sha")).alias("kept_sha256"), "kept")

@@ -30,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeweave.llm import bpe
-from gradeweave.llm.common import attempt_name, materialize, new_dir, read_buffer, rows_by_bytes, write_bytes
+from gradeweave.llm.common import arrow_map, attempt_name, materialize, new_dir, read_buffer, rows_by_bytes, write_bytes
 
 MAGIC = b"GWWM0001"
 BLOCK = 4096  # bytes of a plane in a block
@@ -191,13 +192,13 @@ def write(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "
     wide = Tokenizer.from_str(definition).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     shared = spark.sparkContext.broadcast(definition)
     width = 4 if wide else 2
-    kind = pa.int64() if df.schema[key].dataType == T.LongType() else None
+    kind = to_arrow_type(df.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = bpe.Encoder(shared.value, by_units, f"<u{width}")
+        encoder = bpe.worker_encoder(shared.value, by_units, f"<u{width}")
         end = np.array([end_id], f"<u{width}").tobytes()
         keys, chunks, held = [], [], 0
 
@@ -222,7 +223,7 @@ def write(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "
             yield flush()
 
     ordered = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).repartitionByRange("__key").sortWithinPartitions("__key", "__text")
-    made = materialize(ordered.mapInArrow(run, MANIFEST), "wavelet-manifest")
+    made = materialize(ordered.transform(arrow_map, run, MANIFEST), "wavelet-manifest")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task of the writing stage
     parts = made.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -230,7 +231,10 @@ def write(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "
 
 
 def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Each document's key, start and ids (little-endian uint32 as binary), from the files."""
+    """Each document's key, start and ids (little-endian uint32 as binary), from the files.
+
+    ``key_type`` is the type that the key had when it was written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,5 +251,5 @@ def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
 
     files = manifest.count()
     dealt = manifest.select("path", "start").repartition(max(1, min(-(-files // 6), 20_000)))  # a few files a task
-    return dealt.mapInArrow(run, f"key {key_type}, start bigint, n_tokens bigint, ids binary")
+    return dealt.transform(arrow_map, run, f"key {key_type}, start bigint, n_tokens bigint, ids binary")
 

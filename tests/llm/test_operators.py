@@ -46,7 +46,7 @@ def plain(ranks):
 
 
 def test_bpe_round_trip(docs, ranks, plain):
-    got = bpe.decode(bpe.encode(docs.withColumn("ids", F.lit("clash")), ranks, P.PATTERN, offsets=True), ranks).collect()
+    got = bpe.decode(bpe.encode(docs.withColumn("ids", F.lit("clash")), ranks, P.PATTERN, offsets=True), ranks, as_text=True).collect()
     assert len(got) == docs.count()
     for r in got:
         ids = np.frombuffer(r.ids, "<u4").tolist()
