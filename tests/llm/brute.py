@@ -125,14 +125,14 @@ def repeats(rows, width=50):
     return out
 
 
-def topk(vectors, every=50, k=5):
-    """{vec_id: vector} to {(query, rank): (vec_id, score)}."""
-    ok = {i: [math.floor(256.0 * float(x)) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = {}
-    for q in ok:
+def topk(rows, every=50, k=5):
+    """(vec_id, vector) rows to (query, rank, vec_id, score) rows."""
+    ok = [(i, [math.floor(256.0 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, own) in enumerate(ok):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
-            out |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(own))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
 

@@ -403,8 +403,10 @@ def test_top_k(spark):
     v = {i: rng.normal(size=6).astype("f4").tolist() for i in range(300)}
     v |= {i: v[7] for i in range(300, 340)} | {400: None, 450: [float("nan")] * 6, 500: [float("inf")] + [0.0] * 5, 550: [None] * 6, 600: [1.0, 2.0]}
     df = spark.createDataFrame([(k, x, 0) for k, x in v.items()] + [(7, v[7], 0)], "vec_id bigint, embedding array<float>, score int")
-    got = {(r.query_id, r["rank"]): (r.key, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block=3, trees_a_task=2).collect()}
-    assert got == brute.topk(v)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()] + [(50, v[50]), (50, v[51]), (3, v[50]), (None, v[50])]
+    df = spark.createDataFrame([(k, x, 0) for k, x in rows], "vec_id bigint, embedding array<float>, score int")
+    got = [(r.query_id, r["rank"], r.key, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block=3, trees_a_task=2).collect()]
+    assert sorted(got) == sorted(brute.topk(rows))
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
