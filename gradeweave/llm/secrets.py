@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gradeweave.llm.common import rows_by_bytes
+from gradeweave.llm.common import arrow_map, rows_by_bytes
 
 MOST_STRINGS = 48
 
@@ -126,22 +126,31 @@ def _either(parts: list[_Part]) -> _Part:
     return _Part(None, _cut(set().union(*(p.first for p in parts)), lambda x, n: x[:n]), _cut(set().union(*(p.last for p in parts)), lambda x, n: x[-n:]), demand)
 
 
-def _parse(tree) -> _Part:
+#: Letters that match some character beyond ASCII where case is ignored.
+_WIDE = frozenset("iksIKS")
+
+
+def _one_of(codes, ignore_case: bool) -> _Part:
+    chars = {chr(c) for c in codes}
+    if ignore_case and any(not c.isascii() or c in _WIDE for c in chars):
+        return _any()
+    return _strings({_fold(c) for c in chars})
+
+
+def _parse(tree, ignore_case: bool = False) -> _Part:
     out = _strings({b""})
     for op, arg in tree:
         if op is sre.LITERAL:
-            part = _strings({_fold(chr(arg))})
-        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-            part = _strings({_fold(chr(a)) for _, a in arg})
+            part = _one_of([arg], ignore_case)
         elif op is sre.IN and all(o is sre.RANGE and a[1] - a[0] < 12 or o is sre.LITERAL for o, a in arg):
-            part = _strings({_fold(chr(c)) for o, a in arg for c in (range(a[0], a[1] + 1) if o is sre.RANGE else [a])})
+            part = _one_of([c for o, a in arg for c in (range(a[0], a[1] + 1) if o is sre.RANGE else [a])], ignore_case)
         elif op is sre.SUBPATTERN and not arg[1] and not arg[2]:
-            part = _parse(arg[3])
+            part = _parse(arg[3], ignore_case)
         elif op is sre.BRANCH:
-            part = _either([_parse(x) for x in arg[1]])
+            part = _either([_parse(x, ignore_case) for x in arg[1]])
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
             least, most, inner = arg
-            one = _parse(inner)
+            one = _parse(inner, ignore_case)
             part = _strings({b""})
             for _ in range(min(int(least), 4)):
                 part = _then(part, one)
@@ -161,7 +170,8 @@ def _parse(tree) -> _Part:
 
 def trigram_query(pattern: str) -> object:
     """The Boolean trigram query of a regex, over lower-cased bytes; None: no mandatory trigram."""
-    part = _parse(sre_parse.parse(pattern))
+    tree = sre_parse.parse(pattern)
+    part = _parse(tree, bool(tree.state.flags & re.IGNORECASE))
     return _demand(part.all) if part.all is not None else part.demand
 
 
@@ -169,19 +179,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Bytes whose trigrams are told apart at once.
+CHUNK = 1 << 18
+
+
 class TrigramIndex:
-    """Posting lists of every trigram of some texts."""
+    """Posting lists of every trigram of some texts; built by chunks, so one long text takes little more than its distinct trigrams."""
 
     def __init__(self, texts: Sequence[bytes]):
         self.n = len(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)].astype(np.uint64)
-        doc = np.repeat(np.arange(self.n, dtype=np.uint64), sizes)
-        if len(data) > 2:
-            code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-            pairs = np.unique((code << 32 | doc[:-2])[doc[:-2] == doc[2:]])
-        else:
-            pairs = np.zeros(0, np.uint64)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        found = [np.zeros(0, np.uint64)]
+        for lo in range(0, len(data) - 2, CHUNK):
+            part = _LOWER[data[lo : lo + CHUNK + 2]].astype(np.uint32)
+            code = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+            at = np.arange(lo, lo + len(code))
+            doc = np.searchsorted(ends, at, "right")
+            code = code[at + 2 < ends[doc]].astype(np.uint64) << np.uint64(32) | doc[at + 2 < ends[doc]].astype(np.uint64)
+            found.append(np.unique(code))
+        pairs = np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
         codes = pairs >> np.uint64(32)
         self.codes, self.starts = np.unique(codes, return_index=True)
         self.starts = np.append(self.starts, len(pairs))
@@ -266,4 +283,4 @@ def scan(df: DataFrame, rules: Sequence[Rule] = BASE + MORE, text: str = "text",
                     made.append(pa.array([None if t is None else redact(t, x, kinds) if x else t for t, x in zip(given, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + made, names=[f.name for f in kept] + [f.name for f in more])
 
-    return df.mapInArrow(run, T.StructType(kept + more))
+    return df.transform(arrow_map, run, T.StructType(kept + more))

@@ -216,6 +216,20 @@ def test_trigram_queries():
     assert secrets.TrigramIndex([]).candidates(b"abc").tolist() == []
 
 
+def test_trigrams_of_long_texts_and_ignored_case(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abAB1 é") for _ in range(rng.choice([0, 2, 3, 300]))).encode() for _ in range(30)]
+    monkeypatch.setattr(secrets, "CHUNK", 41)
+    index = secrets.TrigramIndex(texts)
+    for gram in {t.lower()[i : i + 3] for t in texts for i in range(len(t) - 2)} | {b"zzz"}:
+        assert index.postings(gram).tolist() == [i for i, t in enumerate(texts) if gram in t.lower()]
+    for pattern, text in (("(?i)mykey", "MY\u212aEY"), ("(?i)sesam", "\u017fesam"), ("(?i)öl99", "ÖL99"), ("(?i)abcd", "aBCd")):
+        assert secrets.TrigramIndex([text.encode()]).candidates(secrets.trigram_query(pattern)).tolist() == [0]
+    assert secrets.trigram_query("(?i)abcd") is not None
+
+
 # --- quality
 
 
