@@ -73,8 +73,9 @@ def argmax_score(logits: Column) -> Column:
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    # the sum is bound once, not written into each element's expression
+    both = F.transform(F.array(F.struct(e.alias("e"))), lambda s: F.struct(s["e"].alias("e"), F.aggregate(s["e"], F.lit(0.0), lambda a, x: a + x).alias("z")))
+    return F.flatten(F.transform(both, lambda s: F.transform(s["e"], lambda x: x / s["z"])))
 
 
 def margin(logits: Column) -> Column:
@@ -86,6 +87,14 @@ def entropy(probs: Column) -> Column:
     return -F.aggregate(probs, F.lit(0.0), lambda a, p: a + p * F.log(F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0))))
 
 
+def entropy_of(probs: Sequence[Column]) -> Column:
+    """The same over columns."""
+    out = F.lit(0.0)
+    for p in probs:
+        out = out + p * F.log(F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0)))
+    return -out
+
+
 def logsumexp(*parts: Column) -> Column:
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]
     total = F.exp(parts[0] - top)

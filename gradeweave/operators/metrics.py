@@ -1,10 +1,17 @@
-"""Ordinal, binary and calibration metrics: one aggregate for any grouping."""
+"""Ordinal, binary and calibration metrics for any grouping.
+
+A first aggregate counts rows and sums confidences by group and cell (scores,
+labels, calibration bin): at most some hundred rows a group and task leave for
+the shuffle. All metrics derive from these cells. Percentiles come apart, in
+two passes: counts in fine bins say which bins hold the wanted places, and only
+those bins' values are put in order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeweave.functions.scalar import CORRECT, INCORRECT, SCORES, ratio
@@ -13,6 +20,7 @@ BINS = 10
 #: Edges as numpy.linspace gives them: 0.3, 0.6 and 0.7 lie just below theirs.
 EDGES = [i * 0.1 if i < BINS else 1.0 for i in range(BINS + 1)]
 LABELS = (INCORRECT, CORRECT)
+CELL = ("target_score", "pred_score", "target_binary", "pred_binary")
 
 
 def prepared(df: DataFrame, threshold: int = 3) -> DataFrame:
@@ -26,12 +34,12 @@ def prepared(df: DataFrame, threshold: int = 3) -> DataFrame:
         more["confidence"] = F.greatest(*probs) if len(probs) > 1 else F.col(probs[0])
     df = df.withColumns(more) if more else df
     if probs:
-        c = F.col("confidence")
-        b = F.lit(None).cast("int")
-        for k in range(BINS):
-            upper = (c <= EDGES[k + 1]) if k == BINS - 1 else (c < EDGES[k + 1])
-            b = F.when((c >= EDGES[k]) & upper, k).otherwise(b)
-        df = df.withColumn("bin", b)
+        c, near = F.col("confidence"), F.col("__near")
+        edge = lambda k: F.get(F.array(*map(F.lit, EDGES)), k)
+        # the tenth, put right where its edges are not the decimal ones
+        df = df.withColumn("__near", F.least(F.floor(c * BINS), F.lit(BINS - 1)).cast("int"))
+        b = near - F.when(c < edge(near), 1).otherwise(0) + F.when((near < BINS - 1) & (c >= edge(near + 1)), 1).otherwise(0)
+        df = df.withColumn("bin", F.when(c.between(0.0, 1.0), b)).drop("__near")
     return df
 
 
@@ -39,18 +47,82 @@ def _hit() -> Column:
     return F.col("target_score") == F.col("pred_score")
 
 
-def aggregates(calibrated: bool = True) -> list[Column]:
-    """The sums that all metrics derive from."""
+def cells(df: DataFrame, keys: Sequence[str], calibrated: bool = True) -> DataFrame:
+    """Rows and sums by keys and cell: the only pass over the rows that the metrics need."""
+    sums = [F.count("*").alias("n")]
+    if calibrated:
+        sums += [f(c).alias(f"{name}_{c}") for c in ("confidence", "score_margin", "score_entropy") for name, f in (("sum", F.sum), ("of", F.count))]
+    return df.groupBy(*keys, *CELL, *(["bin"] if calibrated else [])).agg(*sums)
+
+
+def summed(parts: DataFrame, keys: Sequence[str], calibrated: bool = True) -> DataFrame:
+    """From cells to the sums that all metrics derive from, a row for each value of the keys."""
+    n = F.col("n")
     d = F.abs(F.col("target_score") - F.col("pred_score"))
-    yes = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    out = [F.count("*").alias("num_examples"), yes(_hit()).alias("ordinal_accuracy"), F.avg(d.cast("double")).alias("ordinal_mae"), yes(d <= 1).alias("within_1_accuracy"), yes(F.col("target_binary") == F.col("pred_binary")).alias("binary_accuracy")]
-    out += [F.count_if((F.col("target_score") == i) & (F.col("pred_score") == j)).alias(f"c_{i}_{j}") for i in SCORES for j in SCORES]
-    out += [F.count_if((F.col("target_binary") == a) & (F.col("pred_binary") == b)).alias(f"b_{a}_{b}") for a in LABELS for b in LABELS]
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+    share = lambda cond: F.try_divide(count(cond).cast("double"), F.sum("n"))
+    mean = lambda c: F.try_divide(F.sum(f"sum_{c}"), F.sum(f"of_{c}"))
+    out = [F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("num_examples"), share(_hit()).alias("ordinal_accuracy"), F.try_divide(F.sum(n * d).cast("double"), F.sum(F.when(d.isNotNull(), n))).alias("ordinal_mae"), share(d <= 1).alias("within_1_accuracy"), share(F.col("target_binary") == F.col("pred_binary")).alias("binary_accuracy")]
+    out += [count((F.col("target_score") == i) & (F.col("pred_score") == j)).alias(f"c_{i}_{j}") for i in SCORES for j in SCORES]
+    out += [count((F.col("target_binary") == a) & (F.col("pred_binary") == b)).alias(f"b_{a}_{b}") for a in LABELS for b in LABELS]
     if calibrated:
-        out += [F.avg("confidence").alias("confidence_mean"), F.percentile("confidence", F.lit(0.5)).alias("confidence_p50"), F.percentile("confidence", F.lit(0.9)).alias("confidence_p90"), F.avg("score_margin").alias("score_margin_mean"), F.avg("score_entropy").alias("score_entropy_mean")]
-        gap = F.col("confidence") - _hit().cast("double")
+        out += [mean(c).alias(f"{c}_mean") for c in ("confidence", "score_margin", "score_entropy")]
+        gap = F.col("sum_confidence") - _hit().cast("double") * n
         out += [F.coalesce(F.sum(F.when(F.col("bin") == k, gap)), F.lit(0.0)).alias(f"gap_{k}") for k in range(BINS)]
-    return out
+    return parts.groupBy(*keys).agg(*out)
+
+
+FINE = 1 << 16
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], fine: int = FINE) -> DataFrame:
+    """Exact, interpolated percentiles of a column that lies in [0, 1] (values outside fall into the end bins), a row for each value of the keys.
+
+    Two passes, each combined before its shuffle: counts by fine bin, then the
+    distinct values of the bins that hold a wanted place. Nulls don't count.
+    """
+    slot = F.least(F.greatest(F.floor(F.col(value) * fine), F.lit(0)), F.lit(fine)).cast("int")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), slot.alias("__slot"))
+    counts = rows.groupBy(*keys, "__slot").agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__n": F.sum("__c").over(group), "__before": F.coalesce(F.sum("__c").over(upto), F.lit(0))})
+    place = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    ends = [f(place(p)) for p in wanted.values() for f in (F.floor, F.ceil)]
+    holds = lambda first, n: [(first <= e) & (e < first + n) for e in ends]
+    some = holds(F.col("__before"), F.col("__c"))
+    hit = some[0]
+    for h in some[1:]:
+        hit = hit | h
+    renamed = {k: f"__k{i}" for i, k in enumerate(keys)}
+    chosen = counts.where(hit).select(*(F.col(k).alias(r) for k, r in renamed.items()), F.col("__slot").alias("__s"), "__n", "__before")
+    on = rows["__slot"] == chosen["__s"]
+    for k, r in renamed.items():
+        on = on & rows[k].eqNullSafe(chosen[r])
+    values = rows.join(chosen, on).groupBy(*keys, "__slot", "__n", "__before", "__v").agg(F.count("*").alias("__c"))
+    inside = Window.partitionBy(*keys, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("__first", F.col("__before") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    at = holds(F.col("__first"), F.col("__c"))
+    found = [F.max(F.when(h, F.col("__v"))).alias(f"__e{i}") for i, h in enumerate(at)]
+    out = values.groupBy(*keys, "__n").agg(*found)
+    made = []
+    for i, (name, p) in enumerate(wanted.items()):
+        low, high, x = F.col(f"__e{2 * i}"), F.col(f"__e{2 * i + 1}"), place(p)
+        made.append(F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name))
+    return out.select(*keys, *made)
+
+
+def _with_percentiles(sums: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    p = percentiles(df, keys, "confidence", {"confidence_p50": 0.5, "confidence_p90": 0.9})
+    p = p.select(*(F.col(k).alias(f"__p_{k}") for k in keys), "confidence_p50", "confidence_p90")
+    on = [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys]
+    return sums.join(p, on, "left").drop(*(f"__p_{k}" for k in keys))
+
+
+def _metrics(df: DataFrame, keys: Sequence[str], calibrated: bool) -> DataFrame:
+    """All metrics of prepared rows, a row for each value of the keys."""
+    sums = summed(cells(df, keys, calibrated), keys, calibrated)
+    return derived(_with_percentiles(sums, df, keys) if calibrated else sums, calibrated)
 
 
 def _prf(df: DataFrame, prefix: str, domain: Sequence, suffix) -> DataFrame:
@@ -96,9 +168,13 @@ def _calibrated(df: DataFrame) -> bool:
 
 
 def all_metrics(df: DataFrame, threshold: int = 3) -> DataFrame:
-    """One row of metrics over all rows."""
+    """One row of metrics over all rows, also over none."""
     df = prepared(df, threshold)
-    return derived(df.agg(*aggregates(_calibrated(df))), _calibrated(df))
+    calibrated = _calibrated(df)
+    sums = summed(cells(df, [], calibrated), [], calibrated).withColumn("__all", F.lit(0))
+    if calibrated:
+        sums = _with_percentiles(sums, df.withColumn("__all", F.lit(0)), ["__all"])
+    return derived(sums.drop("__all"), calibrated)
 
 
 def grouped_metrics(df: DataFrame, column: str, threshold: int = 3) -> DataFrame:
@@ -106,23 +182,17 @@ def grouped_metrics(df: DataFrame, column: str, threshold: int = 3) -> DataFrame
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], f"{column} string, num_examples bigint")
     df = prepared(df, threshold)
-    return derived(df.withColumn("__g", F.col(column)).groupBy(F.col("__g").alias(f"group_{column}")).agg(*aggregates(_calibrated(df))), _calibrated(df))
+    return _metrics(df.withColumn(f"group_{column}", F.col(column)), [f"group_{column}"], _calibrated(df))
 
 
 def metrics_by(df: DataFrame, columns: Sequence[str], threshold: int = 3) -> DataFrame:
-    """Metrics for several groupings at once: dimension, value, metrics. One shuffle of partial sums."""
+    """Metrics for several groupings at once: dimension, value, metrics. Rows are made slim before they are counted once for each grouping."""
     df = prepared(df, threshold)
-    names = {c: F.col(c).cast("string").alias(f"g_{c}") for c in columns}
-    df = df.select("*", *names.values())
-    g = [F.col(f"g_{c}") for c in columns]
-    sums = df.groupingSets([[x] for x in g], *g).agg(F.grouping_id().alias("__id"), *aggregates(_calibrated(df)))
-    full = (1 << len(columns)) - 1
-    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, c in enumerate(columns):
-        here = F.col("__id") == full - (1 << (len(columns) - 1 - i))
-        dimension, value = F.when(here, c).otherwise(dimension), F.when(here, F.col(f"g_{c}")).otherwise(value)
-    sums = sums.withColumns({"dimension": dimension, "value": value}).drop("__id", *(f"g_{c}" for c in columns))
-    return derived(sums, _calibrated(df))
+    calibrated = _calibrated(df)
+    kept = [*CELL, *(["bin", "confidence", "score_margin", "score_entropy"] if calibrated else [])]
+    slim = df.select(*kept, *(F.col(c).cast("string").alias(f"__g_{c}") for c in columns))
+    long = slim.unpivot(kept, [f"__g_{c}" for c in columns], "dimension", "value").withColumn("dimension", F.substring("dimension", 5, 1 << 30))
+    return _metrics(long, ["dimension", "value"], calibrated)
 
 
 def confusion(df: DataFrame, target: str, pred: str, labels: Sequence) -> DataFrame:
@@ -135,7 +205,8 @@ def confusion(df: DataFrame, target: str, pred: str, labels: Sequence) -> DataFr
 
 def ece_bins(df: DataFrame, threshold: int = 3) -> DataFrame:
     """bin, n, mean_confidence, accuracy."""
-    return prepared(df, threshold).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(_hit().cast("double")).alias("accuracy"))
+    out = prepared(df, threshold).groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(_hit().cast("double")).alias("accuracy"), F.max("bin").alias("__has"))
+    return out.where("__has is not null").drop("__has")  # on an aggregate, so that the bin's expression isn't repeated below it
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -155,7 +226,7 @@ def majority_binary(train: DataFrame, eval_: DataFrame, threshold: int = 3, orde
     labelled = train.withColumn("__y", F.when(F.col("target_score") >= threshold, CORRECT).otherwise(INCORRECT))
     label = majority(labelled, "__y", order)
     rows = eval_.withColumns({"pred_binary": F.lit(label), "pred_score": F.col("target_score")})
-    m = derived(prepared(rows, threshold).agg(*aggregates(False)), False)
+    m = derived(summed(cells(prepared(rows, threshold), [], False), [], False), False)
     keep = ["binary_accuracy", "binary_macro_f1", "false_positive_rate_correct", "false_negative_rate_correct", *(f"{k}_{x.lower()}" for x in LABELS for k in ("precision", "recall", "f1"))]
     return m.select(F.lit(label).alias("majority_class"), F.lit(train.count()).cast("long").alias("num_train"), F.col("num_examples").alias("num_eval"), *keep)
 
@@ -163,6 +234,6 @@ def majority_binary(train: DataFrame, eval_: DataFrame, threshold: int = 3, orde
 def majority_ordinal(train: DataFrame, eval_: DataFrame, order: str = "example_id") -> DataFrame:
     score = majority(train, "target_score", order)
     rows = eval_.withColumns({"pred_score": F.lit(score), "pred_binary": F.col("target_binary")})
-    m = derived(prepared(rows).agg(*aggregates(False)), False)
+    m = derived(summed(cells(prepared(rows), [], False), [], False), False)
     keep = ["ordinal_accuracy", "ordinal_mae", "within_1_accuracy", "ordinal_macro_f1", *(f"{k}_score_{s}" for s in SCORES for k in ("precision", "recall", "f1", "support"))]
     return m.select(F.lit(score).alias("majority_score"), F.lit(train.count()).cast("long").alias("num_train"), F.col("num_examples").alias("num_eval"), *keep)
