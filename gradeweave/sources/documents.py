@@ -24,15 +24,54 @@ def jsonable(data):
     return data.item() if hasattr(data, "item") else data
 
 
-def write_json(path, data) -> None:
+def _hadoop(path: str):
+    """(file system, path) of Hadoop where the path is a URI; none for local paths."""
+    if "://" not in path and not path.startswith("file:"):
+        return None
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"{path} needs a Spark session")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_text(path, text: str) -> None:
+    """A small document, in any file system that Spark knows."""
+    if found := _hadoop(str(path)):
+        fs, p = found
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return
     os.makedirs(os.path.dirname(str(path)) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(jsonable(data), f, indent=2, sort_keys=True)
+        f.write(text)
 
 
-def read_json(path):
+def read_text(path) -> str:
+    if found := _hadoop(str(path)):
+        fs, p = found
+        stream = fs.open(p)
+        data = bytes(stream.readAllBytes())
+        stream.close()
+        return data.decode()
     with open(path, encoding="utf-8") as f:
-        return json.load(f)
+        return f.read()
+
+
+def exists(path) -> bool:
+    found = _hadoop(str(path))
+    return found[0].exists(found[1]) if found else os.path.exists(path)
+
+
+def write_json(path, data) -> None:
+    write_text(path, json.dumps(jsonable(data), indent=2, sort_keys=True))
+
+
+def read_json(path):
+    return json.loads(read_text(path))
 
 
 class _Both:

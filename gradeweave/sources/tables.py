@@ -24,6 +24,17 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
 
 
+def listing(spark: SparkSession, path: str) -> list[list]:
+    """[path, bytes, time] of each file below a path: names alone, no content is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, out = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """Rows with ``split``, a folder each; Spark deals them, so a large split makes many files."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
