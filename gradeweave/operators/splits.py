@@ -50,21 +50,47 @@ def validation_size(pool: int, fraction: float = 0.05, most: int | None = None)
 
 
 def held_out_split(df: DataFrame, model: str, fraction: float = 0.05, most: int | None = None, seed: int = 42, key: str = "example_id") -> DataFrame:
-    """Add ``split``: the model's rows are the test, a sample of exact size of the others validates."""
+    """Add ``split``: the model's rows are the test, a sample of exact size of the others validates. One expression, no join."""
     pool = ~F.col("model_id").eqNullSafe(F.lit(model))
     n = df.where(pool).count()
     if n == 0 or df.where(~pool).limit(1).count() == 0:
         raise ValueError(f"nothing to train on, or no rows of {model}")
-    chosen = sample(df.where(pool), validation_size(n, fraction, most), seed, key).select(F.col(key).alias("__chosen"))
-    out = df.join(chosen, F.col(key) == F.col("__chosen"), "left")
-    split = F.when(~pool, "test").when(F.col("__chosen").isNotNull(), "validation").otherwise("train")
-    return out.withColumn("split", split).drop("__chosen")
+    inside = _up_to(cut(df.where(pool), validation_size(n, fraction, most), seed, key), seed, key)
+    return df.withColumn("split", F.when(~pool, "test").when(inside, "validation").otherwise("train"))
 
 
-def sample(df: DataFrame, n: int, seed: int = 42, key: str = "example_id") -> DataFrame:
-    """n rows in a reproducible order: a top-n, so each task keeps n rows and no global sort is needed."""
+#: Characters of the hash by which rows are counted before any is put in order.
+PREFIX = 4
+
+
+def cut(df: DataFrame, n: int, seed: int = 42, key: str = "example_id"):
+    """(rank, key) of the n-th row in sampling order; none if there are fewer.
+
+    Counts by the hash's first characters (65,536 at most) say where it lies;
+    only the rows of that one prefix are put in order. Keys are unique.
+    """
     rank = sample_rank(F.col(key), seed)
-    return df.withColumn("__rank", rank).orderBy("__rank", key).limit(n).drop("__rank")
+    rows = df.select(rank.alias("rank"), F.col(key).alias("key"))
+    counts = rows.groupBy(F.substring("rank", 1, PREFIX).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    left = n
+    for r in counts:
+        if left <= r.n:
+            return rows.where(F.col("rank").startswith(r.p)).orderBy("rank", "key").offset(left - 1).limit(1).first()
+        left -= r.n
+    return None
+
+
+def _up_to(last, seed: int, key: str):
+    """Whether a row stands at the cut or before it."""
+    if last is None:
+        return F.lit(True)
+    rank = sample_rank(F.col(key), seed)
+    return (rank < last.rank) | ((rank == last.rank) & (F.col(key) <= F.lit(last.key)))
+
+
+def sample(df: DataFrame, n: int, seed: int = 42, key: str = "example_id") -> DataFrame:
+    """n rows, always the same: those up to a cut of the order by hash, which no task has to sort."""
+    return df.limit(0) if n <= 0 else df.where(_up_to(cut(df, n, seed, key), seed, key))
 
 
 def leakage(df: DataFrame) -> DataFrame:
@@ -150,9 +176,17 @@ def stratified_subset(df: DataFrame, k: int, columns: Sequence[str], seed: int =
     for c in have:
         q = q.withColumnRenamed(c, f"__{c}")
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in have]
-    place = F.row_number().over(Window.partitionBy(*have).orderBy(sample_rank(F.col(key), seed), key))
-    joined = df.join(q, on).withColumn("__place", place)
-    return joined.where(F.col("__place") <= F.col("quota")).select(*df.columns)
+    joined = df.join(q, on).withColumn("__rank", sample_rank(F.col(key), seed)).withColumn("__p", F.substring("__rank", 1, 3))
+    # counts by stratum and prefix say which prefix holds the last row; only that one is put in order
+    counts = joined.groupBy(*have, "quota", "__p").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*have).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).where(F.col("__before") < F.col("quota"))
+    need = counts.select(*(F.col(c).alias(f"__s_{c}") for c in have), F.col("__p").alias("__s_p"), F.least("__c", F.col("quota") - F.col("__before")).alias("__need"), (F.col("__before") + F.col("__c") > F.col("quota")).alias("__edge"))
+    on = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in have] + [F.col("__p") == F.col("__s_p")]
+    found = joined.join(need, on)
+    place = F.row_number().over(Window.partitionBy(*have, "__p").orderBy("__rank", key))
+    edge = found.where("__edge").withColumn("__place", place).where(F.col("__place") <= F.col("__need"))
+    return found.where("not __edge").select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def eval_subset(df: DataFrame, k: int | None, strategy: str = "stratified", columns: Sequence[str] = ("model_id", "target_score"), seed: int = 42, key: str = "example_id") -> DataFrame:

@@ -2,11 +2,13 @@
 
 The code-point tokenizer is pure expressions. Any other tokenizer is a
 ``Tokenizer``: a picklable object with ``encode(texts) -> list of id lists``,
-run over Arrow batches.
+run over Arrow batches. A tokenizer that brings a chat template (``chat_template``
+and ``apply_chat_template``) renders its own prompts; others get the plain one.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -14,8 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeweave.functions.scalar import IGNORED_LABEL, clean_text
-from gradeweave.functions.text import prompt, prompt_overhead
+from gradeweave.functions.scalar import IGNORED_LABEL, class_id, clean_text
+from gradeweave.functions.text import ROLE, prompt, prompt_overhead, user_message
+from gradeweave.operators.filters import overflow_reason
+
+#: Fixed value: the template argument of the thinking mode.
+THINKING = "enable_thinking"
 
 
 class Tokenizer(Protocol):
@@ -37,13 +43,69 @@ class CodePoints:
         return "".join(map(chr, ids))
 
 
+class ChatTokenizer:
+    """A tokenizer with the thinking mode that its prompts are rendered in.
+
+    Takes tokenizers with ``encode(texts)`` and those that are called with
+    texts and return ``input_ids``.
+    """
+
+    def __init__(self, inner, enabled: bool | None = None, apply_if_supported: bool = True):
+        self.inner, self.arguments = inner, thinking_arguments(inner, enabled, apply_if_supported)
+        self.eos_token_id, self.pad_token_id = getattr(inner, "eos_token_id", None), getattr(inner, "pad_token_id", None)
+        self.chat_template = getattr(inner, "chat_template", None)
+        self.name_or_path = getattr(inner, "name_or_path", type(inner).__name__)
+
+    def encode(self, texts):
+        if callable(self.inner):
+            return self.inner(list(texts), add_special_tokens=False, truncation=False)["input_ids"]
+        return self.inner.encode(list(texts))
+
+    def apply_chat_template(self, messages, tokenize=False, add_generation_prompt=True):
+        return self.inner.apply_chat_template(messages, tokenize=tokenize, add_generation_prompt=add_generation_prompt, **self.arguments)
+
+
+def chat_tokenizer(tokenizer, config: dict):
+    """The tokenizer with the configured thinking mode; none stays none."""
+    mode = (config.get("model") or {}).get("thinking_mode") or {}
+    return tokenizer if tokenizer is None or isinstance(tokenizer, ChatTokenizer) else ChatTokenizer(tokenizer, mode.get("enabled"), mode.get("apply_if_supported", True))
+
+
+def has_template(tokenizer) -> bool:
+    return bool(getattr(tokenizer, "chat_template", None)) and hasattr(tokenizer, "apply_chat_template")
+
+
+def counts_characters(tokenizer) -> bool:
+    return tokenizer is None or isinstance(getattr(tokenizer, "inner", tokenizer), CodePoints)
+
+
+def render(messages: Sequence[dict], tokenizer=None, add_generation_prompt: bool = True) -> str:
+    """Messages as one text: by the tokenizer's template, else by the plain one."""
+    if has_template(tokenizer):
+        return tokenizer.apply_chat_template(list(messages), tokenize=False, add_generation_prompt=add_generation_prompt)
+    parts = [ROLE.format(m["role"]) + m["content"] for m in messages]
+    return "\n".join([*parts, ROLE.format("assistant")] if add_generation_prompt else parts)
+
+
+def rendered(user: Column, system_prompt: str, tokenizer: Tokenizer) -> Column:
+    """Prompts by the tokenizer's own template, in Arrow batches."""
+    system = {"role": "system", "content": system_prompt.strip()}
+
+    @F.pandas_udf("string")
+    def shown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([render([system, {"role": "user", "content": u}], tokenizer) for u in s])
+
+    return shown(user)
+
+
 def code_points(text: Column) -> Column:
     """array<int> of a text's code points; the empty text has none."""
     return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
 
 
 def encoded(text: Column, tokenizer: Tokenizer | None = None) -> Column:
-    if tokenizer is None or isinstance(tokenizer, CodePoints):
+    if counts_characters(tokenizer):
         return code_points(text)
 
     @F.pandas_udf("array<int>")
@@ -55,7 +117,7 @@ def encoded(text: Column, tokenizer: Tokenizer | None = None) -> Column:
 
 
 def token_count(text: Column, tokenizer: Tokenizer | None = None) -> Column:
-    if tokenizer is None or isinstance(tokenizer, CodePoints):
+    if counts_characters(tokenizer):
         return F.length(text).cast("long")
 
     @F.pandas_udf("bigint")
@@ -70,8 +132,9 @@ def with_response_lengths(df: DataFrame, tokenizer: Tokenizer | None = None) ->
     return df.withColumn("response_token_length", token_count(clean_text(F.col("response"), ""), tokenizer))
 
 
-def prompt_col(system_prompt: str) -> Column:
-    return prompt(F.col("question"), F.col("reference_answer"), F.col("response"), system_prompt)
+def prompt_col(system_prompt: str, tokenizer: Tokenizer | None = None, response: str = "response") -> Column:
+    texts = F.col("question"), F.col("reference_answer"), F.col(response)
+    return rendered(user_message(*texts), system_prompt, tokenizer) if has_template(tokenizer) else prompt(*texts, system_prompt)
 
 
 def with_sequence_lengths(df: DataFrame, system_prompt: str, objective: str = "causal_lm", tokenizer: Tokenizer | None = None) -> DataFrame:
@@ -80,13 +143,13 @@ def with_sequence_lengths(df: DataFrame, system_prompt: str, objective: str = "c
     A language-model row ends with its score's token and the end token; a
     classifier's row is the prompt alone.
     """
-    if tokenizer is None or isinstance(tokenizer, CodePoints):
+    if counts_characters(tokenizer) and not has_template(tokenizer):
         texts = sum((F.length(c) for c in (clean_text(F.col("question")), clean_text(F.col("reference_answer")), clean_text(F.col("response"), ""))), F.lit(prompt_overhead(system_prompt)))
-        length, target, end = texts.cast("long"), F.lit(1).cast("long"), 1
+        length = texts.cast("long")
     else:
-        length = token_count(prompt_col(system_prompt), tokenizer)
-        target = token_count(F.col("target_score").cast("string"), tokenizer)
-        end = int(tokenizer.eos_token_id is not None)
+        length = token_count(prompt_col(system_prompt, tokenizer), tokenizer)
+    target = F.lit(1).cast("long") if counts_characters(tokenizer) else token_count(F.col("target_score").cast("string"), tokenizer)
+    end = int((tokenizer or CodePoints()).eos_token_id is not None)
     if objective == "sequence_classification":
         target, end = F.lit(0).cast("long"), 0
     df = df.withColumns({"prompt_token_length": length, "target_token_length": target})
@@ -97,24 +160,30 @@ def token_rows(df: DataFrame, system_prompt: str, objective: str = "causal_lm",
     """Training rows: example_id, input_ids, attention_mask, labels, length, prompt_length, target_score.
 
     Labels of a language model are ignored on the prompt and the end token;
-    a classifier has its class. Overflowing rows leave, or raise.
+    a classifier has its class. Overflowing rows leave, or raise; so does a
+    classifier's score outside 1 to 5.
     """
     if on_overflow not in ("skip", "error"):
         raise ValueError(f"on_sequence_overflow: {on_overflow}")
+    classes = objective == "sequence_classification"
+    if counts_characters(tokenizer) and not has_template(tokenizer) and on_overflow == "skip":
+        # lengths are known before anything is encoded
+        df = with_sequence_lengths(df, system_prompt, objective, tokenizer).where(F.col("sequence_length") <= max_seq_length)
     eos = (tokenizer or CodePoints()).eos_token_id
     end = F.array(F.lit(eos)) if eos is not None else F.array().cast("array<int>")
-    df = df.withColumn("__p", encoded(prompt_col(system_prompt), tokenizer))
-    if objective == "sequence_classification":
-        rows = df.withColumns({"input_ids": F.col("__p"), "labels": (F.col("target_score") - 1).cast("int")})
+    df = df.withColumn("__p", encoded(prompt_col(system_prompt, tokenizer), tokenizer))
+    ids = lambda n, value: F.array_repeat(F.lit(value), n)
+    if classes:
+        rows = df.withColumns({"input_ids": F.col("__p"), "labels": class_id(F.col("target_score")), "__n": F.size("__p")})
     else:
         df = df.withColumn("__t", encoded(F.col("target_score").cast("string"), tokenizer))
-        hidden = F.transform(F.col("__p"), lambda _: F.lit(IGNORED_LABEL))
-        rows = df.withColumns({"input_ids": F.concat("__p", "__t", end), "labels": F.concat(hidden, "__t", F.transform(end, lambda _: F.lit(IGNORED_LABEL)))})
-    rows = rows.withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "length": F.size("input_ids"), "prompt_length": F.size("__p")})
+        hidden = IGNORED_LABEL
+        rows = df.withColumns({"input_ids": F.concat("__p", "__t", end), "labels": F.concat(ids(F.size("__p"), hidden), "__t", ids(F.lit(int(eos is not None)), hidden)), "__n": F.size("__p") + F.size("__t") + F.lit(int(eos is not None))})
+    rows = rows.withColumns({"attention_mask": ids(F.col("__n"), 1), "length": F.col("__n"), "prompt_length": F.size("__p")})
     if on_overflow == "error":
-        over = F.raise_error(F.concat(F.lit("sequence over the limit: "), F.col("length").cast("string"))).cast("boolean")
+        over = F.raise_error(F.concat(F.lit(overflow_reason(objective) + ": "), F.col("length").cast("string"))).cast("boolean")
         rows = rows.where(F.when(F.col("length") > max_seq_length, over).otherwise(F.lit(True)))
-    else:
+    elif not counts_characters(tokenizer) or has_template(tokenizer):
         rows = rows.where(F.col("length") <= max_seq_length)
     return rows.select("example_id", "input_ids", "attention_mask", "labels", "length", "prompt_length", "target_score")
 
@@ -145,16 +214,25 @@ def validate_score_tokens(tokenizer: Tokenizer, scores: Sequence[str], require_s
     return report
 
 
+def takes_thinking(tokenizer) -> bool:
+    """Whether the template can be called with a thinking mode."""
+    call = getattr(tokenizer, "apply_chat_template", None)
+    try:
+        given = inspect.signature(call).parameters if call else {}
+    except (TypeError, ValueError):  # no signature to see
+        return False
+    return THINKING in given or any(p.kind is p.VAR_KEYWORD for p in given.values())
+
+
+def supports_thinking(tokenizer) -> bool:
+    """Whether the template takes the mode and, by its text or the model's name, knows it."""
+    if not takes_thinking(tokenizer):
+        return False
+    more = getattr(tokenizer, "init_kwargs", None)
+    named = [getattr(tokenizer, k, None) for k in ("name_or_path", "_name_or_path", "model_name")] + ([more.get(k) for k in ("name_or_path", "tokenizer_file")] if isinstance(more, dict) else [])
+    return THINKING in str(getattr(tokenizer, "chat_template", "") or "") or any("qwen3" in str(n).lower() for n in named if n)
+
+
 def thinking_arguments(tokenizer, enabled: bool | None, apply_if_supported: bool = True) -> dict:
     """Template arguments for the thinking mode: none unless it is set and the tokenizer knows it."""
-    import inspect
-
-    template = str(getattr(tokenizer, "chat_template", "") or "")
-    call = getattr(tokenizer, "apply_chat_template", None)
-    takes = False
-    if call is not None:
-        ps = inspect.signature(call).parameters
-        takes = "enable_thinking" in ps or any(p.kind is p.VAR_KEYWORD for p in ps.values())
-    named = "qwen3" in str(getattr(tokenizer, "name_or_path", "")).lower()
-    supported = takes and ("enable_thinking" in template or named)
-    return {"enable_thinking": enabled} if enabled is not None and apply_if_supported and supported else {}
+    return {THINKING: bool(enabled)} if enabled is not None and apply_if_supported and supports_thinking(tokenizer) else {}
