@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from gradeweave.plans import config as C
 from gradeweave.plans import pipeline
-from gradeweave.sources import tables
+from gradeweave.sources import documents
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,10 +30,16 @@ def parser() -> argparse.ArgumentParser:
     add("predict", (["-s", "--split"], every), (["--scorer"], {"required": True, "help": "module:function that makes a scorer"}))
     add("evaluate", (["-s", "--split"], held), (["-p", "--predictions"], {"default": None}))
     add("debug-tokenization", (["-s", "--split"], {**every, "default": "train"}), (["-n", "--num-examples"], {"type": int, "default": 3}))
-    add("lomo", (["--prepare-only"], {"action": "store_true"}))
+    add("lomo", (["--prepare-only"], {"action": "store_true"}), (["--scorer"], {"default": None, "help": "module:function that makes a scorer"}))
     return p
 
 
+def _named(spec: str):
+    """module:name"""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv=None) -> int:
     a = parser().parse_args(argv)
     config = C.load_config(a.config, a.override)
@@ -45,25 +51,16 @@ def main(argv=None) -> int:
         pipeline.prepare(spark, config, force=True).groupBy("split").count().show()
     elif a.command == "train":
         done = pipeline.prepare(spark, config, force=a.force_prepare)
-        names = ["train", "validation", "test"] if a.finalist else ["train"]
-        n = sum(pipeline.token_table(spark, config, s).count() for s in names)
-        del done
-        print(json.dumps(C.trainer_arguments(config, C.run_dir(config), n), indent=2))
+        print(json.dumps(pipeline.train_data(spark, config, done, a.finalist), indent=2))
     elif a.command == "predict":
-        module, _, name = a.scorer.partition(":")
-        pipeline.predict(spark, config, a.split, getattr(importlib.import_module(module), name))
+        pipeline.predict(spark, config, a.split, _named(a.scorer))
     elif a.command == "evaluate":
-        print(json.dumps(pipeline.evaluate(spark, config, a.split, a.predictions), indent=2, sort_keys=True))
+        print(json.dumps(documents.jsonable(pipeline.evaluate(spark, config, a.split, a.predictions)), indent=2, sort_keys=True))
     elif a.command == "debug-tokenization":
         print("\n".join(pipeline.debug_tokens(spark, config, a.split, a.num_examples)))
     else:
-        for fold in pipeline.held_out_folds(spark, config):
-            if not a.prepare_only and not fold["error"]:
-                c = C.copy_config(config)
-                c["project"]["output_dir"] = fold["output_dir"]
-                c["data"]["prepared_dir"] = None
-                fold["train_rows"] = tables.read_split(spark, C.prepared_dir(c), "train").count()
-            print(json.dumps(fold))
+        for fold in pipeline.held_out_folds(spark, config, scorer=_named(a.scorer) if a.scorer and not a.prepare_only else None):
+            print(json.dumps(documents.jsonable(fold)))
     return 0
 
 

@@ -7,33 +7,41 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeweave.functions.digests import file_sha256, stable_json_hash
+from gradeweave.functions.digests import stable_json_hash
 from gradeweave.functions.scalar import length_bucket
 from gradeweave.operators import filters, metrics, scoring, splits, targets, tokens, training
 from gradeweave.plans import config as C
+from gradeweave.plans import trainer
+from gradeweave.plans.runtime import git_commit, package_versions, world_size
 from gradeweave.sources import documents, tables
 
 GROUPS = {"model": "model_id", "benchmark": "benchmark", "task": "task", "target_score": "target_score", "response_length_bucket": "response_length_bucket"}
 
 
-def fingerprint(spark: SparkSession, config: dict) -> dict:
-    """What the prepared rows depend on: configuration and content. Content is each file's hash where the source is local, else path, size and time of each file."""
+def tokenizer_identity(tokenizer) -> list:
+    """What tells tokenizers apart: class, name, template and arguments, end token and a probe's ids."""
+    t = tokenizer or tokens.CodePoints()
+    inner = getattr(t, "inner", t)
+    return [type(inner).__name__, str(getattr(inner, "name_or_path", "")), str(getattr(t, "chat_template", "") or ""), getattr(t, "arguments", {}), t.eos_token_id, [list(map(int, x)) for x in t.encode(["1 2 3 4 5", "### QUESTION\n"])]]
+
+
+def fingerprint(spark: SparkSession, config: dict, tokenizer=None, files: list | None = None) -> dict:
+    """What the prepared rows depend on: configuration, tokenizer and the source's files by path, size and time. Versions are noted, not hashed."""
     path = config["data"]["path"]
-    if os.path.exists(path):
-        files = sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names) if os.path.isdir(path) else [path]
-        content = [[os.path.relpath(f, path), file_sha256(f)] for f in files]
-    else:
-        listed = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").cast("string"))
-        content = sorted(map(list, listed.collect()))
-    parts = {"version": 1, "path": path, "content": content, "columns": config["data"]["columns"], "filters": config["data"]["filters"], "split": config["split"], "prompt": config["prompt"], "objective": config["training"]["objective"], "max_seq_length": config["training"]["max_seq_length"], "allowed_scores": scoring.sorted_scores(config["inference"]["allowed_scores"]), "binary_threshold": config["inference"]["binary_threshold"], "model": config["model"].get("model_name_or_path")}
-    return {"parts": parts, "hash": stable_json_hash(parts)}
+    files = tables.listing(spark, path) if files is None else files
+    parts = {
+        "version": 2, "path": path, "files": files, "columns": config["data"]["columns"], "filters": config["data"]["filters"], "split": config["split"], "prompt": config["prompt"], "objective": config["training"]["objective"],
+        "max_seq_length": config["training"]["max_seq_length"], "allowed_scores": scoring.sorted_scores(config["inference"]["allowed_scores"]), "binary_threshold": config["inference"]["binary_threshold"],
+        "model": config["model"].get("model_name_or_path"), "tokenizer": tokenizer_identity(tokenizer),
+    }
+    return {"parts": parts, "hash": stable_json_hash(parts), "package_versions": package_versions()}
 
 
 def measured(spark: SparkSession, config: dict, tokenizer=None) -> DataFrame:
     """Source to targets and lengths. Lengths of real tokenizers come after the cheap filter."""
     df = targets.load_targets(tables.read_source(spark, config["data"]["path"]), config["data"]["columns"], config["inference"]["binary_threshold"])
     df = tokens.with_response_lengths(df, tokenizer)
-    return tokens.with_sequence_lengths(df, config["prompt"]["system"], config["training"]["objective"], tokenizer)
+    return tokens.with_sequence_lengths(df, config["prompt"]["system_prompt"], config["training"]["objective"], tokenizer)
 
 
 def split(df: DataFrame, config: dict) -> DataFrame:
@@ -44,27 +52,32 @@ def split(df: DataFrame, config: dict) -> DataFrame:
         raise ValueError(f"split.mode: {s['mode']}")
     if not s.get("held_out_model"):
         raise ValueError("split.held_out_model must be given")
-    return splits.held_out_split(df, s["held_out_model"], s["lomo_validation_fraction"], s["lomo_validation_max_examples"], s["seed"])
+    return splits.held_out_split(df, s["held_out_model"], s["lomo_validation_fraction"], s["lomo_validation_max_examples"], s["lomo_validation_seed"])
+
 
+def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = False, rows: DataFrame | None = None, files: list | None = None) -> DataFrame:
+    """The prepared rows with ``split``, from the folder if its fingerprint still holds.
 
-def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = False) -> DataFrame:
-    """The prepared rows with ``split``, from the folder if its fingerprint still holds."""
+    ``rows`` and ``files``: measured rows of the same source and its listing,
+    where several folds share them.
+    """
     out, run = C.prepared_dir(config), C.run_dir(config)
-    mark, now = os.path.join(run, "prepared_fingerprint.json"), fingerprint(spark, config)
-    if not force and os.path.exists(mark) and tables.exists(spark, f"{out}/_SUCCESS") and documents.read_json(mark)["hash"] == now["hash"]:
+    tokenizer = tokens.chat_tokenizer(tokenizer, config)
+    mark, now = os.path.join(run, "prepared_fingerprint.json"), fingerprint(spark, config, tokenizer, files)
+    if not force and documents.exists(mark) and tables.exists(spark, f"{out}/_SUCCESS") and documents.read_json(mark)["hash"] == now["hash"]:
         return spark.read.parquet(out)
-    os.makedirs(run, exist_ok=True)
     C.save_config(config, os.path.join(run, "config.yaml"))
     documents.write_json(os.path.join(run, "score_tokenization_report.json"), tokens.validate_score_tokens(tokenizer or tokens.CodePoints(), list(map(str, config["inference"]["allowed_scores"]))))
     f, most = config["data"]["filters"], config["training"]["max_seq_length"]
-    rows = measured(spark, config, tokenizer)
+    rows = measured(spark, config, tokenizer) if rows is None else rows
     kept = filters.sequence_filter(filters.apply_filters(rows, f["max_disagreement"], f["max_response_tokens"]), most, f["on_sequence_overflow"])
     done = split(kept, config)
-    splits.validate_no_leakage(done)
+    splits.validate_no_leakage(done) if config["split"]["mode"] == "fixed_by_model" else splits.validate_held_out(done, config["split"]["held_out_model"])
     tables.write_splits(done, out)
     stored = spark.read.parquet(out)
     report = filters.funnel(rows, f["max_disagreement"], f["max_response_tokens"], most).first().asDict()
     report["warnings"] = filters.length_warnings(most, f["max_response_tokens"])
+    report["sequence_overflow_reason"] = filters.overflow_reason(config["training"]["objective"])
     documents.write_json(os.path.join(run, "dataset_filtering_report.json"), report)
     documents.write_json(os.path.join(run, "length_statistics.json"), [r.asDict() for r in filters.length_statistics(stored).collect()])
     documents.write_json(os.path.join(run, "split_report.json"), [r.asDict() for r in splits.split_report(stored).collect()])
@@ -72,23 +85,65 @@ def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = Fal
     return stored
 
 
+def eval_rows(spark: SparkSession, config: dict) -> DataFrame:
+    """The validation rows that training watches."""
+    tr = config["training"]
+    return splits.eval_subset(tables.read_split(spark, C.prepared_dir(config), "validation"), tr["eval_subset_size"], tr["eval_subset_strategy"], tr["eval_subset_stratify_columns"], tr["eval_subset_seed"])
+
+
 def token_table(spark: SparkSession, config: dict, name: str, tokenizer=None) -> DataFrame:
-    """Token rows of a split, kept by a fingerprint that covers the rows' content."""
+    """Token rows of a split, kept by a fingerprint that covers the rows' content; a table that can't be read is made anew."""
+    tokenizer = tokens.chat_tokenizer(tokenizer, config)
     rows = tables.read_split(spark, C.prepared_dir(config), name)
-    tr = config["training"]
+    tr, system = config["training"], config["prompt"]["system_prompt"]
     digest = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    key = stable_json_hash([name, digest.n, str(digest.h), config["prompt"], tr["objective"], tr["max_seq_length"], tr["packing"]])[:16]
+    key = stable_json_hash([name, digest.n, str(digest.h), config["prompt"], tr["objective"], tr["max_seq_length"], tr["packing"], tokenizer_identity(tokenizer)])[:16]
     path = f"{C.run_dir(config)}/tokenized/{name}_{key}"
-    if not tables.exists(spark, f"{path}/_SUCCESS"):
-        made = tokens.token_rows(rows, config["prompt"]["system"], tr["objective"], tr["max_seq_length"], config["data"]["filters"]["on_sequence_overflow"], tokenizer)
-        made = training.packed(made, tr["max_seq_length"]) if tr["packing"] else made
-        made.write.mode("overwrite").parquet(path)
+
+    def made() -> DataFrame:
+        out = tokens.token_rows(rows, system, tr["objective"], tr["max_seq_length"], config["data"]["filters"]["on_sequence_overflow"], tokenizer)
+        return training.packed(out, tr["max_seq_length"]) if tr["packing"] else out
+
+    if tr["cache_tokenized_datasets"] and tables.exists(spark, f"{path}/_SUCCESS"):
+        try:
+            kept = spark.read.parquet(path)
+            kept.write.format("noop").mode("overwrite").save()
+            return kept
+        except Exception:  # a file is damaged or gone
+            spark.catalog.refreshByPath(path)
+    made().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def predict(spark: SparkSession, config: dict, name: str, scorer) -> DataFrame:
+def train_data(spark: SparkSession, config: dict, prepared: DataFrame, finalist: bool = False, tokenizer=None) -> dict:
+    """The data half of training: token rows are written; arguments and record of the run come back and are kept."""
+    tr, run = config["training"], C.run_dir(config)
+    counts = {r["split"]: r["count"] for r in prepared.groupBy("split").count().collect()}
+    names = [s for s in splits.SPLITS if counts.get(s)] if finalist else ["train"]
+    if finalist:
+        splits.finalist_union(prepared)
+    examples = sum(token_table(spark, config, s, tokenizer).count() for s in names)
+    world = world_size()
+    report = tokens.validate_score_tokens(tokenizer or tokens.CodePoints(), scoring.sorted_scores(config["inference"]["allowed_scores"]), tr["objective"] == "restricted_score_ce")
+    record = {
+        "git_commit": git_commit(), "package_versions": package_versions(), "training_objective": tr["objective"], "training_loss": tr["loss"], "training_mode": "finalist" if finalist else "standard",
+        "score_token_ids": [r["token_ids"][0] for r in report] if tr["objective"] == "restricted_score_ce" else None,
+        "score_class_weights": training.class_weights(prepared.where(F.col("split").isin(names)), tr), "source_split_counts": counts, "training_examples": examples, "evaluation_enabled": not finalist,
+        "validation_monitor_examples": 0 if finalist else eval_rows(spark, config).count(), "validation_full_examples": counts.get("validation", 0),
+        "distributed": trainer.runtime_metadata(config, world), "warmup": trainer.warmup_metadata(config, examples, world),
+    }
+    documents.write_json(f"{run}/run_metadata.json", record)
+    arguments = trainer.trainer_arguments(config, run, examples, world, not finalist)
+    documents.write_json(f"{run}/resolved_training_args.json", arguments)
+    return arguments
+
+
+def predict(spark: SparkSession, config: dict, name: str, scorer, tokenizer=None) -> DataFrame:
     rows = tables.read_split(spark, C.prepared_dir(config), name)
-    out = scoring.predict(rows, scorer, config["prompt"]["system"], config["inference"]["binary_threshold"], config["inference"]["batch_size"], config["inference"]["method"])
+    inf = config["inference"]
+    tokenizer = tokens.chat_tokenizer(tokenizer, config)
+    ids = {r["score"]: r["token_ids"] for r in tokens.score_tokens(tokenizer or tokens.CodePoints(), scoring.sorted_scores(inf["allowed_scores"]))} if inf["method"] != C.CLASSIFIER else {}
+    out = scoring.predict(rows, scorer, config["prompt"]["system_prompt"], inf["binary_threshold"], inf["batch_size"], inf["method"], ids, tokenizer, [int(s) for s in inf["allowed_scores"]])
     path = f"{C.run_dir(config)}/predictions_{name}.parquet"
     out.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -120,31 +175,45 @@ def evaluate(spark: SparkSession, config: dict, name: str, path: str | None = No
 
 def _csv(df: DataFrame, *paths: str) -> None:
     """A report table: a row a label or group."""
-    table = df.toPandas()
+    text = df.toPandas().to_csv(index=False)
     for p in paths:
-        table.to_csv(p, index=False)
+        documents.write_text(p, text)
+
 
+def held_out_folds(spark: SparkSession, config: dict, tokenizer=None, scorer=None) -> list[dict]:
+    """Prepare every model's fold in a folder of its own and, with a scorer, predict and evaluate its test.
 
-def held_out_folds(spark: SparkSession, config: dict, tokenizer=None) -> list[dict]:
-    """Prepare every model's fold, each in a folder of its own; a fold whose model the filters removed is reported."""
-    source = targets.canonicalise(tables.read_source(spark, config["data"]["path"]), config["data"]["columns"])
-    out = []
-    for model in splits.models_of(source):
+    The folds share one table of measured rows. A fold that can't be made, as
+    its model's rows were filtered away, is reported with its error.
+    """
+    tokenizer = tokens.chat_tokenizer(tokenizer, config)
+    shared = f"{C.run_dir(config)}/lomo/measured"
+    measured(spark, config, tokenizer).write.mode("overwrite").parquet(shared)
+    rows, files, out = spark.read.parquet(shared), tables.listing(spark, config["data"]["path"]), []
+    for model in splits.models_of(rows):
         c = C.copy_config(config)
         c["split"] |= {"mode": "leave_one_model_out", "held_out_model": model}
         c["project"]["output_dir"] = f"{C.run_dir(config)}/lomo/{model.replace('/', '_').replace(' ', '_')}"
         c["data"]["prepared_dir"] = None
+        fold = {"model": model, "output_dir": c["project"]["output_dir"], "error": None}
         try:
-            prepare(spark, c, tokenizer)
-            out.append({"model": model, "output_dir": c["project"]["output_dir"], "error": None})
+            prepare(spark, c, tokenizer, rows=rows, files=files)
+            if scorer is not None:
+                predict(spark, c, "test", scorer, tokenizer)
+                fold["metrics"] = evaluate(spark, c, "test")
         except ValueError as e:
-            out.append({"model": model, "output_dir": c["project"]["output_dir"], "error": str(e)})
+            fold["error"] = str(e)
+        out.append(fold)
     return out
 
 
 def debug_tokens(spark: SparkSession, config: dict, name: str, n: int = 3, tokenizer=None) -> list[str]:
-    """Lines for the first n rows' tokens: place, SUP where supervised, id."""
+    """Lines for the first n rows' tokens: place, SUP where supervised, id, text; also written to the run's folder."""
+    shown = tokens.chat_tokenizer(tokenizer, config) or tokens.CodePoints()
     rows = tables.read_split(spark, C.prepared_dir(config), name).orderBy("example_id").limit(n)
-    made = tokens.token_rows(rows, config["prompt"]["system"], "causal_lm", config["training"]["max_seq_length"], "skip", tokenizer)
-    line = F.format_string("%05d %s %8d", "position", F.when(F.col("supervised"), "SUP").otherwise("   "), "token_id")
-    return [r[0] for r in tokens.token_debug(made).orderBy("example_id", "position").select(line).collect()]
+    made = tokens.token_rows(rows, config["prompt"]["system_prompt"], "causal_lm", config["training"]["max_seq_length"], "skip", shown)
+    found = tokens.token_debug(made).orderBy("example_id", "position").collect()  # n rows' tokens
+    decode = getattr(getattr(shown, "inner", shown), "decode", lambda ids: "")
+    lines = [f"{r.position:05d} {'SUP' if r.supervised else '   '} {r.token_id:>8d} {decode([r.token_id])!r}" for r in found]
+    documents.write_text(f"{C.run_dir(config)}/token_supervision_debug.txt", "\n".join(lines) + "\n")
+    return lines

@@ -126,7 +126,7 @@ def test_masks_one_supervised_token(rows):
 
 def test_overflow(rows):
     assert tokens.token_rows(rows, "S", max_seq_length=5).count() == 0
-    with pytest.raises(Exception, match="over the limit"):
+    with pytest.raises(Exception, match="longer than max_seq_length"):
         tokens.token_rows(rows, "S", max_seq_length=5, on_overflow="error").collect()
     with pytest.raises(ValueError):
         tokens.token_rows(rows, "S", on_overflow="else")
@@ -278,7 +278,7 @@ def test_scoring(spark):
     assert sum(r[0][f"prob_{k}"] for k in range(1, 6)) == pytest.approx(1)
     assert r[0].score_entropy == pytest.approx(-sum(r[0][f"prob_{k}"] * math.log(r[0][f"prob_{k}"]) for k in range(1, 6)))
     assert scoring.sorted_scores(["5", "1", "3", "2", "4"]) == list("12345")
-    assert set(scoring.empty_predictions(spark).columns) >= {"pred_score", "logit_1", "prob_5"}
+    assert set(scoring.empty_predictions(spark).columns) >= {"pred_score", "logprob_1", "prob_5"}
 
 
 def make_scorer():
@@ -327,3 +327,182 @@ def test_steps():
 
 def test_stable_hash():
     assert stable_json_hash({"b": 1, "a": [1]}) == stable_json_hash({"a": [1], "b": 1})
+
+
+# --- chat templates, models, evaluation logits
+
+
+class Bracketed(tokens.CodePoints):
+    """A tokenizer with a template of its own that knows a thinking mode."""
+
+    chat_template = "[role]content, enable_thinking"
+
+    def apply_chat_template(self, messages, tokenize=False, add_generation_prompt=True, enable_thinking=None):
+        text = "".join(f"[{m['role']}]{m['content']}" for m in messages)
+        return text + ("[assistant]" if add_generation_prompt else "") + ("<no_think>" if enable_thinking is False else "")
+
+
+def test_templates_of_tokenizers(rows):
+    chat = tokens.chat_tokenizer(Bracketed(), {"model": {"thinking_mode": {"enabled": False}}})
+    assert chat.arguments == {"enable_thinking": False} and tokens.chat_tokenizer(None, {}) is None
+    want = {}
+    for q, a, r, *_, i in RAW:
+        want[i] = f"[system]S[user]### QUESTION\n{q}\n\n### REFERENCE ANSWER\n{a}\n\n### MODEL RESPONSE\n{r}\n\n### SCORE\n[assistant]<no_think>"
+    got = {r.example_id: r for r in tokens.with_sequence_lengths(rows.withColumn("p", tokens.prompt_col(" S ", chat)), " S ", tokenizer=chat).collect()}
+    assert {k: r.p for k, r in got.items()} == want
+    assert all(got[k].prompt_token_length == len(w) and got[k].sequence_length == len(w) + 2 for k, w in want.items())
+    made = {r.example_id: r.input_ids for r in tokens.token_rows(rows, " S ", tokenizer=chat).collect()}
+    assert all("".join(map(chr, made[k][:-2])) == w for k, w in want.items())
+    assert tokens.render([{"role": "user", "content": "x"}]) == "<|user|>\nx\n<|assistant|>\n" and tokens.render([{"role": "user", "content": "x"}], add_generation_prompt=False) == "<|user|>\nx"
+    assert tokens.render([{"role": "user", "content": "x"}], chat) == "[user]x[assistant]<no_think>"
+
+
+def test_called_tokenizers():
+    class Called:
+        eos_token_id, name_or_path = 7, "Qwen3-x"
+
+        def __call__(self, texts, add_special_tokens, truncation):
+            assert not add_special_tokens and not truncation
+            return {"input_ids": [[len(t)] for t in texts]}
+
+        def apply_chat_template(self, messages, **more):
+            return str(more)
+
+    chat = tokens.ChatTokenizer(Called(), True)
+    assert chat.encode(["ab", ""]) == [[2], [0]] and chat.eos_token_id == 7 and chat.arguments == {"enable_thinking": True}
+    assert tokens.ChatTokenizer(Called(), True, False).arguments == {} and tokens.ChatTokenizer(tokens.CodePoints(), True).arguments == {}
+
+
+class Toy:
+    """Logits that depend on the last token and its place: vocabulary of 128."""
+
+    def __call__(self, input_ids, attention_mask):
+        import numpy as np
+
+        places = np.cumsum(attention_mask, axis=1)
+        return np.sin(input_ids[:, :, None] * 0.7 + places[:, :, None] + np.arange(128) * 1.3) * attention_mask[:, :, None]
+
+
+def test_scoring_with_models():
+    import numpy as np
+
+    from gradeweave.operators import inference
+
+    class Left(tokens.CodePoints):
+        padding_side = "left"
+
+    prompts, names = ["ab", "abcd", "x"], list("12345")
+    right = inference.score_prompts(Toy(), tokens.CodePoints(), prompts, names)
+    left = inference.score_prompts(Toy(), Left(), prompts, names)
+    slow = inference.score_prompts(Toy(), tokens.CodePoints(), prompts, names, "restricted_continuation_logprobs")
+    assert right.method == left.method == inference.SINGLE and slow.method == inference.MULTI and right.lengths == [2, 4, 1]
+    assert np.allclose(right.values, left.values) and np.allclose(right.values, slow.values)
+    assert inference.score_prompts(Toy(), tokens.CodePoints(), ["ab"], ["10", "2", "3", "4", "5"]).method == inference.MULTI
+    ids = np.array([[97, 49, 48]])
+    steps = inference.log_softmax(Toy()(ids, np.ones_like(ids))[0])
+    assert inference.continuation_logprob(Toy(), [97], [49, 48]) == pytest.approx(steps[0, 49] + steps[1, 48])
+    assert inference.continuation_logprob(Toy(), [97], []) == inference.continuation_logprob(Toy(), [], [49]) == float("-inf")
+    assert inference.last_places(np.array([[1, 1, 0], [0, 1, 1]])).tolist() == [1, 2]
+    with pytest.raises(ValueError):
+        inference.score_prompts(Toy(), tokens.CodePoints(), [""], names)
+    with pytest.raises(ValueError, match="3 classes"):
+        inference.classify_prompts(lambda i, m: np.zeros((len(i), 3)), tokens.CodePoints(), ["a"], names)
+    assert inference.classify_prompts(lambda i, m: np.arange(5.0)[None].repeat(len(i), 0), tokens.CodePoints(), ["a", "b"], names).values == [[0, 1, 2, 3, 4]] * 2
+
+
+def test_predictions_of_models(rows):
+    from gradeweave.operators import inference
+
+    got = scoring.predict(rows, inference.model_scorer(Toy, tokens.CodePoints()), "S", batch_size=2, candidate_ids={"1": [49]}).collect()
+    for r in got:
+        text = "".join(["<|system|>\nS\n<|user|>\n", f"### QUESTION\n{r.question}\n\n### REFERENCE ANSWER\n{r.reference_answer}\n\n### MODEL RESPONSE\n{r.response}\n\n### SCORE\n\n<|assistant|>\n"])
+        want = inference.score_prompts(Toy(), tokens.CodePoints(), [text], list("12345"))
+        assert [r[f"logprob_{s}"] for s in range(1, 6)] == pytest.approx(want.values[0]) and r.prompt_token_length_inference == len(text)
+        assert r.scoring_method == inference.SINGLE and r.pred_score == 1 + max(range(5), key=lambda i: want.values[0][i])
+
+
+def test_ties_go_to_the_configured_order(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 0.0, 3.0, 3.0)], "a double, b double, c double, d double, e double")
+    assert one(scoring.normalised(df, list("abcde")))["pred_score"] == 2 and one(scoring.normalised(df, list("abcde"), order=[5, 4, 3, 2, 1]))["pred_score"] == 5
+    m = one(scoring.normalised(df, list("abcde")))
+    assert m["score_margin"] == 0 and sum(m[f"prob_{s}"] for s in range(1, 6)) == pytest.approx(1)
+
+
+def test_metrics_of_evaluation_logits(spark):
+    ids = [3, 4, 5, 6, 7]
+    place = lambda hot: [9.0 if t == hot else 0.0 for t in range(9)]
+    rows = [([-100, -100, 5, 8], [place(0), place(5), place(3), place(0)]), ([-100, 7, -100], [place(3), place(0), place(0)]), ([-100, -100], [place(7), place(7)])]
+    df = spark.createDataFrame(rows, "labels array<int>, logits array<array<double>>")
+    got = one(scoring.logit_metrics(df, token_ids=ids))
+    assert got["num_examples"] == 2 and got["ordinal_accuracy"] == 0.5 and got["support_score_5"] == 1
+    flat = spark.createDataFrame([(4, [0.0, 5.0, 0.0, 0.0, 0.0]), (3, [0.0] * 3 + [4.0] + [0.0] * 5), (2, [1.0] * 5)], "labels int, logits array<double>")
+    assert [r.target_score for r in scoring.labelled_scores(flat, ids).collect()] == [2, 1, 2]
+    assert [[r[f"logit_{s}"] for s in range(1, 6)] for r in scoring.score_logits(flat, ids).collect()] == [[0.0, 5.0, 0.0, 0.0, 0.0], [4.0, 0.0, 0.0, 0.0, 0.0], [1.0] * 5]
+    assert one(scoring.logit_metrics(flat, token_ids=ids))["ordinal_accuracy"] == pytest.approx(2 / 3)
+    classes = spark.createDataFrame([(0, [3.0, 0.0, 0.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0, 0.0, 0.0]), (-100, [1.0] * 5), (5, [1.0] * 5)], "labels int, logits array<double>")
+    got = one(scoring.logit_metrics(classes))
+    assert got["num_examples"] == 2 and got["ordinal_accuracy"] == 0.5 and got["ordinal_mae"] == 2
+    assert scoring.logit_metrics(classes.limit(0)).count() == 0
+
+
+def test_records_end_to_end(spark):
+    from gradeweave.operators import inference
+
+    df = spark.createDataFrame([("q", None, "a", "m")], "question string, reference_answer string, ground_truth string, model_response string")
+    settings = {"system_prompt": "S", "binary_threshold": 3}
+    r = one(scoring.predict_records(df, inference.model_scorer(Toy, tokens.CodePoints()), settings))
+    assert 1 <= r["score"] <= 5 and sum(r["probs"]) == pytest.approx(1) and r["label"] == ("CORRECT" if r["score"] >= 3 else "INCORRECT")
+    with pytest.raises(Exception, match="without model_response"):
+        scoring.predict_records(df.withColumn("model_response", F.lit(None).cast("string")), inference.model_scorer(Toy, tokens.CodePoints()), settings).collect()
+
+
+def test_percentiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    values = [("a", rng.random()) for _ in range(500)] + [("b", 0.25)] * 40 + [("b", 1.0), (None, 0.5), (None, 0.75), ("c", None)]
+    df = spark.createDataFrame(values, "g string, x double")
+    wanted = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    for fine in (1, 7, 1 << 16):
+        got = {r.g: r for r in metrics.percentiles(df, ["g"], "x", wanted, fine).collect()}
+        assert set(got) == {"a", "b", None}
+        for g, r in got.items():
+            x = [v for k, v in values if k == g and v is not None]
+            for name, p in wanted.items():
+                assert r[name] == pytest.approx(np.percentile(x, 100 * p), abs=1e-12)
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 7, 40])
+def test_packs_of_ranges_are_those_of_one_fold(spark, chunks):
+    import random
+
+    rng = random.Random(chunks)
+    rows = [(i, rng.randrange(1, 130)) for i in range(400)]
+    want, pack, used = {}, -1, None
+    for i, n in rows:
+        if n <= 100:
+            if used is None or used + n > 100:
+                pack, used = pack + 1, 0
+            used += n
+            want[i] = pack
+    for kind in ("bigint", "string"):
+        given = spark.createDataFrame([(i if kind == "bigint" else f"{i:04d}", n) for i, n in rows], f"example_id {kind}, length int")
+        got = {int(r.example_id): r.pack_id for r in training.pack_assignment(given, 100, chunks=chunks).collect()}
+        assert got == want
+    assert training.pack_assignment(given.limit(0), 100, chunks=chunks).count() == 0
+
+
+def test_samples_are_the_first_by_hash(spark):
+    import hashlib
+
+    keys = list(range(2000))
+    df = spark.createDataFrame([(k, k % 3) for k in keys], "example_id int, g int")
+    first = sorted(keys, key=lambda k: hashlib.md5(f"5:{k}".encode()).hexdigest())
+    for n in (0, 1, 100, 2000, 3000):
+        assert {r.example_id for r in splits.sample(df, n, 5).collect()} == set(first[:n])
+    q = splits.stratified_quotas(df, 90, ["g"])
+    got = [r.example_id for r in splits.stratified_subset(df, 90, ["g"], 5).collect()]
+    want = [k for r in q.collect() for k in [x for x in first if x % 3 == r.g][: r.quota]]
+    assert sorted(got) == sorted(want) and len(got) == 90

@@ -18,7 +18,7 @@ def settings(tmp, path):
             "project": {"output_dir": f"{tmp}/run", "seed": 1},
             "data": {"path": path, "columns": COLUMNS, "filters": {"max_disagreement": 1, "max_response_tokens": 4096}},
             "model": {"model_name_or_path": "none"},
-            "prompt": {"system": "Return one score."},
+            "prompt": {"system_prompt": "Return one score."},
             "split": {"mode": "fixed_by_model", "validation_models": ["m2"], "test_models": ["m3"]},
             "training": {"max_seq_length": 8192},
             "evaluation": {"length_buckets": [0, 10, 20]},
@@ -43,7 +43,7 @@ def test_prepare_predict_evaluate(spark, source):
     mark = os.path.getmtime(f"{tmp}/run/prepared_fingerprint.json")
     pipeline.prepare(spark, c)
     assert os.path.getmtime(f"{tmp}/run/prepared_fingerprint.json") == mark  # reused
-    c["prompt"]["system"] = "Other."
+    c["prompt"]["system_prompt"] = "Other."
     pipeline.prepare(spark, c)
     assert os.path.getmtime(f"{tmp}/run/prepared_fingerprint.json") > mark  # rebuilt
     assert pipeline.token_table(spark, c, "train").count() == 1
@@ -84,7 +84,7 @@ def test_validation(tmp_path, change):
 
 
 def test_objective_decides_the_method():
-    assert C.with_defaults({"training": {"objective": "sequence_classification"}})["inference"]["method"] == "sequence_classification"
+    assert C.with_defaults({"training": {"objective": "sequence_classification"}})["inference"]["method"] == "sequence_classification_logits"
     assert C.with_defaults({"training": {"group_by_length": True}})["training"]["train_sampling_strategy"] == "group_by_length"
     assert C.workers("auto") == C.workers(-1) == C.cpus() and C.workers(3) == 3 and C.workers(None) == 1
     assert C.precision("bf16") == "bfloat16"
@@ -136,3 +136,178 @@ def test_queries_equal_their_sql(spark):
         assert c == sorted(b.columns)
         rows = lambda d: json.loads(d[c].astype(str).sort_values(c).to_json(orient="values"))  # noqa: B023, E731
         assert rows(a) == rows(b), name
+
+
+DOCUMENTED = """
+project: {run_name: judge, output_dir: runs/judge, seed: 42}
+data:
+  path: data/scores.parquet
+  prepared_dir: null
+  columns: {question: question, reference_answer: ground_truth, response: response, judge_1_score: a, judge_2_score: b, model_id: model_id}
+  filters: {max_disagreement: 1, max_response_tokens: 4096, on_sequence_overflow: skip}
+  preprocessing_num_workers: auto
+  tokenizers_parallelism: true
+  token_length_batch_size: 2048
+model: {model_name_or_path: some/model, attn_implementation: flash_attention_2, adapter_path: null, thinking_mode: {enabled: false, apply_if_supported: true}}
+prompt: {system_prompt: "Rate."}
+split: {mode: fixed_by_model, validation_models: [m2], train_models: auto_except_val_test, held_out_model: null, lomo_validation_fraction: 0.05, lomo_validation_max_examples: 30000, lomo_validation_seed: 7}
+training:
+  max_seq_length: 3072
+  load_in_4bit: true
+  dtype: bfloat16
+  objective: restricted_score_ce
+  loss: {type: ce_5way_plus_binary, lambda_binary: 0.25, class_weights: null}
+  learning_rate: 1.0e-4
+  num_train_epochs: 1
+  per_device_train_batch_size: 5
+  per_device_eval_batch_size: 4
+  gradient_accumulation_steps: 3
+  warmup_ratio: 0.03
+  lr_scheduler_type: cosine
+  weight_decay: 0.0
+  optim: adamw_8bit
+  logging_steps: 50
+  eval_steps: 1000
+  save_steps: 3000
+  save_total_limit: 10
+  eval_subset_size: 8192
+  eval_subset_strategy: stratified
+  eval_subset_stratify_columns: [model_id, target_score]
+  seed: 9
+distributed: {enabled: false, strategy: ddp, fsdp: {sharding_strategy: full_shard}, deepspeed: null}
+inference: {allowed_scores: ["1", "2", "3", "4", "5"], binary_threshold: 3, method: restricted_continuation_logprobs_fast, batch_size: 64}
+evaluation: {length_buckets: [0, 256, 512]}
+hub: {repo_id: null, private: false}
+"""
+
+
+@pytest.fixture
+def documented(tmp_path):
+    path = tmp_path / "config.yaml"
+    path.write_text(DOCUMENTED)
+    return str(path)
+
+
+def test_documented_names_are_taken(documented):
+    c = C.load_config(documented)
+    assert c["inference"]["method"] == "restricted_continuation_logprobs_fast" and c["training"]["loss"]["lambda_binary"] == 0.25
+    assert c["split"]["lomo_validation_seed"] == 7 and c["training"]["eval_subset_seed"] == 9 and c["training"]["eval_subset_stratify_columns"] == ["model_id", "target_score"]
+    assert c["distributed"]["deepspeed"]["zero_stage"] == 2 and c["hub"]["max_shard_size"] == "5GB" and c["distributed"]["fsdp"]["use_orig_params"] is True
+    assert C.load_config(documented, ["training.objective=sequence_classification"])["inference"]["method"] == "sequence_classification_logits"
+    assert C.load_config(documented, ["inference.method=sequence_classification_logits"])["inference"]["method"] == "restricted_continuation_logprobs_fast"
+    assert C.load_config(documented, ["inference.method=restricted_continuation_logprobs"])["inference"]["method"] == "restricted_continuation_logprobs"
+    bare = C.with_defaults({"project": {"seed": 3}, "model": {"name_or_path": "x"}, "training": {"loss": None}})
+    assert bare["model"]["model_name_or_path"] == "x" and bare["training"]["warmup_ratio"] == 0.0 and bare["split"]["lomo_validation_seed"] == 3 and bare["training"]["loss"]["type"] == "ce_5way"
+
+
+@pytest.mark.parametrize("change", [
+    "training.loss.type=ce", "training.loss.lambda_binary=-1", "training.loss=3", "inference.method=single_forward_fast", "training.eval_subset_stratify_columns=[]", "data.preprocessing_num_workers=some", "model.thinking_mode.enabled=1.5",
+    "distributed.backend=x", "distributed.fsdp.sharding_strategy=x", "distributed.deepspeed.zero_stage=4", "distributed.mixed_precision=fp16", "distributed.fsdp.transformer_layer_cls_to_wrap=[1]", "training.packing=true", "model.model_name_or_path=",
+])
+def test_documented_rules(documented, change):
+    with pytest.raises(ValueError):
+        C.load_config(documented, [change])
+
+
+def test_distributed_rules(documented):
+    on = ["distributed.enabled=true", "distributed.strategy=fsdp"]
+    with pytest.raises(ValueError, match="4-bit"):
+        C.load_config(documented, on)
+    with pytest.raises(ValueError, match="not both"):
+        C.load_config(documented, [*on, "training.load_in_4bit=false", "distributed.gradient_checkpointing=true"])
+    assert C.load_config(documented, [*on, "training.load_in_4bit=false", "distributed.mixed_precision=bf16"])["distributed"]["enabled"]
+    with pytest.raises(ValueError, match="missing sections"):
+        C.validate({"project": {}})
+
+
+def test_trainer_arguments(documented, monkeypatch):
+    from gradeweave.plans import trainer
+
+    c = C.load_config(documented)
+    a = trainer.trainer_arguments(c, "out", 1000, 2)
+    assert a["output_dir"] == "out/checkpoints" and a["bf16"] and not a["fp16"] and a["seed"] == 9 and a["eval_strategy"] == "steps" and a["eval_steps"] == 1000
+    assert trainer.total_steps(1000, c, 2) == 34 and a["warmup_steps"] == 2 and trainer.warmup_metadata(c, 1000, 2)["total_optimization_steps"] == 34 and trainer.total_steps(0, c) == 0
+    assert trainer.resolved_warmup(1000, C.load_config(documented, ["training.warmup_steps=0"])) == 0
+    assert "eval_steps" not in trainer.trainer_arguments(c, "out", 10, evaluated=False)
+    on = ["distributed.enabled=true", "training.load_in_4bit=false"]
+    ddp = trainer.trainer_arguments(C.load_config(documented, on), "out", 10)
+    assert ddp["ddp_backend"] == "nccl" and ddp["disable_tqdm"] is False
+    fsdp = trainer.distributed_arguments(C.load_config(documented, [*on, "distributed.strategy=fsdp", "distributed.fsdp.transformer_layer_cls_to_wrap=Layer"]))
+    assert fsdp["fsdp"] == "full_shard auto_wrap" and fsdp["fsdp_config"]["transformer_layer_cls_to_wrap"] == "Layer"
+    deep = C.load_config(documented, [*on, "distributed.strategy=deepspeed", "distributed.deepspeed={zero_stage: 3, offload_param_device: cpu, config_overrides: {zero_optimization: {x: 1}}}"])
+    z = trainer.deepspeed_settings(deep)["zero_optimization"]
+    assert z == {"stage": 3, "offload_param": {"device": "cpu"}, "stage3_gather_16bit_weights_on_model_save": True, "x": 1}
+    for name, _ in trainer.LAUNCHERS:
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.delenv("LOCAL_RANK", raising=False)
+    assert trainer.launcher() == "single_process"
+    monkeypatch.setenv("LOCAL_RANK", "0")
+    assert trainer.launcher() == "distributed"
+    monkeypatch.setenv("SLURM_JOB_ID", "1")
+    assert trainer.launcher() == "slurm" and trainer.runtime_metadata(c, 8)["effective_global_batch_size"] == 120
+    args = type("A", (), {})()
+    trainer.set_warmup(args, {"warmup_steps": 5})
+    assert args.warmup_steps == 5
+    with pytest.raises(ValueError):
+        trainer.total_steps(5, C.apply_override(c, "training.gradient_accumulation_steps=0"))
+
+
+def test_runtime(monkeypatch):
+    from gradeweave.plans import runtime
+
+    for name, value in (("RANK", "2"), ("WORLD_SIZE", "4"), ("LOCAL_RANK", "x")):
+        monkeypatch.setenv(name, value)
+    assert (runtime.rank(), runtime.world_size(), runtime.local_rank(), runtime.is_distributed(), runtime.is_main_process()) == (2, 4, 0, True, False)
+    assert runtime.package_versions()["pyspark"] and runtime.package_versions()["python"]
+    assert runtime.git_commit("/") is None
+
+
+def test_publishing_options(documented, tmp_path):
+    from gradeweave.plans import hub
+
+    c = C.load_config(documented, [f"project.output_dir={tmp_path}/run", "hub.commit_message=m"])
+    with pytest.raises(ValueError, match="repo_id"):
+        hub.hub_options(c)
+    o = hub.hub_options(c, repo_id="a/b", private=True, no_push=True)
+    assert (o.repo_id, o.private, o.commit_message, o.staging_dir, o.no_push) == ("a/b", True, "m", "hub_staging/judge", True)
+    with pytest.raises(FileNotFoundError):
+        hub.checkpoint_paths(o.run_dir)
+    assert hub.adapter_path(c) is None
+    with pytest.raises(FileNotFoundError):
+        hub.adapter_path(C.apply_override(C.copy_config(c), "inference.require_adapter=true"))
+    os.makedirs(f"{tmp_path}/run/adapter")
+    assert hub.checkpoint_paths(o.run_dir).tokenizer_dir is None and hub.adapter_path(c) == f"{tmp_path}/run/adapter"
+    documents.write_json(f"{tmp_path}/run/split_report.json", [1])
+    r = hub.run_record(c, o)
+    assert r["artifacts"] == {"split_report.json": [1]} and r["binary_threshold"] == 3 and r["base_model"] == "some/model"
+    assert hub.document_or_default(str(tmp_path), None) == {}
+    documents.write_json(f"{tmp_path}/{hub.DOCUMENT}", hub.inference_document(c))
+    assert hub.document_or_default(None, str(tmp_path))["prompt"]["system_prompt"] == "Rate."
+    assert C.record_settings(hub.load_document(str(tmp_path)))["allowed_scores"] == list("12345")
+
+
+def test_documents_in_other_file_systems(spark, tmp_path):
+    uri = f"file://{tmp_path}/deep/er/x.json"
+    documents.write_json(uri, {"a": "é"})
+    assert documents.exists(uri) and documents.read_json(uri) == {"a": "é"} and documents.read_json(f"{tmp_path}/deep/er/x.json") == {"a": "é"}
+    assert not documents.exists(uri + "x")
+
+
+def test_run_in_a_uri_folder_and_train_data(spark, source):
+    tmp, path = source
+    c = settings(f"file://{tmp}", path)
+    c["training"] |= {"per_device_train_batch_size": 1, "per_device_eval_batch_size": 1, "gradient_accumulation_steps": 1, "num_train_epochs": 1}
+    done = pipeline.prepare(spark, c)
+    a = pipeline.train_data(spark, c, done)
+    assert os.path.exists(f"{tmp}/run/run_metadata.json") and a["warmup_steps"] == 0
+    assert pipeline.train_data(spark, c, done, finalist=True)["eval_strategy"] == "no"
+    kept = pipeline.token_table(spark, c, "train")
+    for f in kept.inputFiles():  # a damaged table is made anew
+        open(f.removeprefix("file://").removeprefix("file:"), "wb").close()
+    assert pipeline.token_table(spark, c, "train").count() == 1
+
+
+def test_held_out_folds_predict_and_evaluate(spark, source):
+    tmp, path = source
+    folds = pipeline.held_out_folds(spark, settings(tmp, path), scorer=make_scorer)
+    assert all(f["metrics"]["num_examples"] == 1 for f in folds)
