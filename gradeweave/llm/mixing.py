@@ -6,8 +6,8 @@ weight until none is above. With sources in order of ``cap / weight`` that has
 a closed form (a water level), so three running sums over the small table of
 sources replace the rounds.
 
-Within a source, documents stand in a fixed pseudo-random order; running sums
-of their words say which copies the mix takes: whole passes first, then those
+Within a source, documents stand in the order of the MD5 of seed and key;
+running sums of their words say which copies the mix takes: whole passes first, then those
 below the rest. Sums run in buckets of the order (a bucket's sum, then sums
 over buckets), so one source holding any share of the rows is spread over all
 tasks.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.llm.common import materialize, n_words_col
 
+
 def row_id(docs: DataFrame) -> Column:
     """64-bit hash of a row's columns; nulls count by their place."""
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
@@ -70,8 +71,9 @@ def position(done: Column, begin: Column, end: Column) -> Column:
     """
     a, b = (end - begin) / 2, begin
     c = -(done * (begin + end) / 2)
-    # the root in [0, 1], in the form that stays exact where a is 0
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), -2 * c / (b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * a * c)))))
+    # the root in [0, 1], in the form that stays exact where a is 0; a weight that is 0 at first divides 0 by 0 at the start
+    root = F.try_divide(-2 * c, b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * a * c)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(root, F.lit(0.0))))
 
 
 def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, share: float = 1.0, ramps: Sequence[tuple[float, float]] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -84,9 +86,10 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     sized = materialize(docs.select(F.col(key).alias("key"), row_id(docs).alias("row_id"), F.col(source).alias("source"), n_words_col(F.col(text)).alias("size")), "mix-sizes")
     rows = sized.count()
     buckets = max(1, rows // BUCKET_ROWS)
-    order = F.xxhash64(F.lit(seed), F.col("key"))
-    order = F.when(F.col("key").isNull(), F.xxhash64(F.lit(seed), "row_id")).otherwise(order)
-    sized = sized.withColumn("__order", order).withColumn("__bucket", F.pmod(F.shiftright("__order", 17), F.lit(buckets)))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("null:"), F.col("row_id").cast("string")))))
+    # buckets are ranges of the order
+    place = F.conv(F.substring("__order", 1, 8), 16, 10).cast("long")
+    sized = sized.withColumn("__order", order).withColumn("__bucket", F.shiftright(place * buckets, 32))
     sums = materialize(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most, share)
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -106,6 +109,12 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     return d.select("key", "row_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, F.col("__at") / F.col("target")).otherwise(0.0).alias("done"), "begin", "end")
 
 
+def placed(planned: DataFrame) -> DataFrame:
+    """The schedule with ``first_position``, where training first meets a document (null: never), range-sorted by it."""
+    first = F.when(F.col("copies") > 0, position(F.least(F.lit(1.0), F.col("done")), F.col("begin"), F.col("end")))
+    return planned.withColumn("first_position", first).repartitionByRange("first_position", "key", "row_id").sortWithinPartitions("first_position", "key", "row_id")
+
+
 def mix(docs: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents' columns, one row for each copy taken, range-sorted by training position.
 
