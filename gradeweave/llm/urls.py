@@ -10,15 +10,17 @@ the links it gives, and what a host only heard of others counts half when it
 is passed on. A page without a rule is blocked where its host's distrust
 reaches ``threshold`` and is above its trust.
 
-Links are the urls in the pages' ``href``s that name a host (absolute, or
-beginning with ``//``); edges are counted by host
+Links are the pages' ``href``s, resolved against the page: absolute, beginning
+with ``//``, or relative to its ``<base>`` or own url. Edges are counted by host
 pair before any shuffle of ranks, so a hot host costs as many rows as it has
 neighbours. Every round's table is written to the shared folder. DataFrame
 operations only.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; null pages link nowhere; repeated pages
-count again; an empty table gives an empty result.
+count again; very long pages are matched in one pass, without backtracking over
+them; extra columns of the pages leave, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,11 +52,26 @@ def rule_col(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+#: Regexes of a page's links and of its base, and of urls that begin with a scheme.
+HREF = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s<>]+)"""
+BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*([^"'\s<>]+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(src, dst, n): links between hosts, absolute or protocol-relative (``//host``), from rows with ``host`` and the page."""
-    urls = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""), F.lit(1))
-    url = F.when(F.col("u").startswith("//"), F.concat(F.lit("http:"), "u")).otherwise(F.col("u"))
-    return pages.select(F.col("host").alias("src"), F.explode(urls).alias("u")).select("src", host_col(url).alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): links between hosts, from rows with ``host`` and the page.
+
+    Links with a scheme or beginning with ``//`` name their host; all others
+    lie on the host of the page's ``<base>``, else on its own. Links within a
+    host tell nothing and leave before they are counted.
+    """
+    page = F.coalesce(F.col(html), F.lit(""))
+    named = lambda u: F.when(u.startswith("//"), host_col(F.concat(F.lit("http:"), u))).when(u.rlike(SCHEME), host_col(u))
+    base = F.regexp_extract(page, BASE, 1)
+    own = F.when(F.coalesce(named(base), F.lit("")) != "", named(base)).otherwise(F.col("host"))
+    found = pages.select(F.col("host").alias("src"), own.alias("own"), F.explode(F.regexp_extract_all(page, F.lit(HREF), F.lit(1))).alias("u"))
+    found = found.select("src", F.coalesce(named(F.col("u")), F.col("own")).alias("dst"))
+    return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
