@@ -66,8 +66,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import mixing
 
     plan = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    first = mixing.position(F.least(F.lit(1.0), F.col("done")), F.col("begin"), F.col("end"))
-    return plan.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.when(F.col("copies") > 0, first).alias("first_position"))
+    return mixing.placed(plan).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.round("first_position", 6).alias("first_position"))
 
 
 #: The rules of the url query, as verdict, host and path.
@@ -77,7 +76,8 @@ URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeweave.llm import urls
 
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op9_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,67 @@ QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op3_ngram_s
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+_HOST = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NAMED = f"case when starts_with({{0}}, '//') then {_HOST.format("'http:' || {0}")} when regexp_matches({{0}}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {_HOST.format('{0}')} end"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
+
+
+def _spread(name: str, links: str, seed: str) -> str:
+    """Ten rounds of propagation, as a recursive table (round, host, seed, score)."""
+    return f"""
+{name}_links as (select src, dst, n / sum(n) over (partition by dst) as w from {links}),
+{name}_hosts as (select host, max(seed) as seed from (select host, {seed} as seed from seeds union all select dst, 0e0 from {name}_links) group by host),
+{name}(round, host, seed, score) as (
+  select 0, host, seed, seed from {name}_hosts
+  union all
+  select h.round + 1, h.host, h.seed, greatest(h.seed, 0.85e0 * coalesce(sum(l.w * (s.seed + s.score) / 2), 0e0))
+  from {name} h left join {name}_links l on l.dst = h.host left join {name} s on s.host = l.src where h.round < 10 group by h.round, h.host, h.seed
+)"""
+
+
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+
 ORACLES: dict[str, str] = {
+    "op8_url_filter": f"""
+with recursive u as (
+  select page_id, coalesce(html, '') as html, {_HOST.format("coalesce(url, '')")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages
+), r as (
+  select *, case {" ".join(f"when {_fits(h, p)} then '{h + p}'" for _, h, p in _LONGEST)} end as rule,
+    case {" ".join(f"when {_fits(h, p)} then '{v}'" for v, h, p in _LONGEST)} end as given from u
+), seeds as (
+  select host, avg(case when given = 'allow' then 1e0 else 0e0 end) as good, avg(case when given = 'block' then 1e0 else 0e0 end) as bad from r where host <> '' group by host
+), b as (select html, host, regexp_extract(html, '(?i)<base\\s[^>]*?href\\s*=\\s*["'']?\\s*([^"''\\s<>]+)', 1) as base from u
+), a as (
+  select host as src, coalesce(nullif({_NAMED.format("base")}, ''), host) as own, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s<>]+)', 1)) as link from b
+), e as (select src, coalesce({_NAMED.format("link")}, own) as dst from a),
+edges as (select src, dst, count(*) as n from e where src <> '' and dst <> '' and src <> dst group by src, dst),
+back as (select dst as src, src as dst, n from edges),
+{_spread("t", "edges", "good")},
+{_spread("d", "back", "bad")}
+select r.page_id, r.host, r.path, r.rule,
+  coalesce(r.given, case when d.score >= 0.5 and d.score > coalesce(t.score, 0) then 'block' else 'allow' end) as verdict,
+  round(coalesce(t.score, 0e0), 6) as trust, round(coalesce(d.score, 0e0), 6) as distrust
+from r left join (select * from t where round = 10) t on t.host = r.host left join (select * from d where round = 10) d on d.host = r.host
+""",
+    "op7_source_mix": f"""
+with d as (select doc_id, source, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as size, md5('0:' || doc_id) as place from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
+w as (select *, [5e0, 2e0, 1e0][k % 3 + 1] as weight, source_size * 3e0 as cap, [1.5e0, 1e0, 0.5e0][k % 3 + 1] as a, [0.5e0, 1e0, 1.5e0][k % 3 + 1] as b from s),
+v as (select *, (sum(source_size) over () * 1e0 - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0e0))
+  / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from w),
+t as (select *, least(cap, max(level) over () * weight) as target from v),
+p as (select *, floor(target / source_size) as passes from t),
+x as (select d.*, p.source_size, p.target, p.a, p.b, p.passes, coalesce(sum(d.size) over (partition by d.source order by place rows between unbounded preceding and 1 preceding), 0) as before
+  from d join p on d.source is not distinct from p.source),
+c as (select *, case when size = 0 then 0 else passes + case when before + size / 2e0 < target - passes * source_size and passes < 3 then 1 else 0 end end as copies,
+  case when target > 0 then least(1e0, before / target) else 0e0 end as done from x)
+select doc_id, size, source_size, target, cast(copies * size as bigint) as taken,
+  case when copies > 0 then round(least(1e0, greatest(0e0, done * (a + b) / (a + sqrt(greatest(0e0, a * a + (b - a) * (done * (a + b))))))), 6) end as first_position
+from c
+""",
     "op6_ngram_jaccard": f"""
 with recursive d as (
   select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
