@@ -8,11 +8,12 @@ there, the rows it covers leave, and the next rule follows. The finished list
 is one ordered conditional expression, applied to every row in the scan.
 
 Fitting uses at most ``sample_rows`` labelled documents (those with the lowest
-hash of their key), so its broadcast and its collected table have a fixed
-bound whatever the input; the statistics and the verdicts cover all rows.
+hash of their key; of a repeated key the smallest text), so its broadcast and
+its collected table have a fixed bound whatever the input; the statistics and the verdicts cover all rows.
 
 Defined results: a null text has no words, fails the base rules and is not
-kept; repeated rows get the same verdict; without labels the list is empty and
+kept; repeated rows get the same verdict; columns of other names stay, those
+named as a statistic are replaced; without labels the list is empty and
 the base rules alone decide; an empty table gives an empty result.
 """
 
@@ -54,28 +55,32 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     Windows of five words are compared by 64-bit hashes; their places are
     sorted only in texts where two windows agree.
     """
+    own = "__"
+    while any(c.lower().startswith(own) for c in df.columns):  # names for the steps that no column has
+        own += "_"
+    W, LINES, H, S, P, ALL = (f"{own}{x}" for x in ("words", "lines", "hashes", "sorted", "places", "all"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    df = df.withColumns({"__w": words_col(F.col(text)), "__lines": lines})
-    n = F.size("__w")
-    df = df.withColumn("__h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__w"), i, WINDOW)))))
-    twice = F.size(F.array_distinct("__h")) < F.size("__h")
-    df = df.withColumn("__s", F.when(twice, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("__s")
+    df = df.withColumns({W: words_col(F.col(text)), LINES: lines})
+    n = F.size(W)
+    df = df.withColumn(H, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col(W), i, WINDOW)))))
+    twice = F.size(F.array_distinct(H)) < F.size(H)
+    df = df.withColumn(S, F.when(twice, F.sort_array(F.transform(H, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col(S)
     near = lambda k: (F.get(s, k)["h"].eqNullSafe(F.get(s, k - 1)["h"])) | (F.get(s, k)["h"].eqNullSafe(F.get(s, k + 1)["h"]))
     places = F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.when(near(k), F.get(s, k)["i"])), lambda p: p.isNotNull())
-    df = df.withColumn("__p", F.when(s.isNotNull(), F.sort_array(places)))
-    p = F.col("__p")
+    df = df.withColumn(P, F.when(s.isNotNull(), F.sort_array(places)))
+    p = F.col(P)
     covers = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda k: F.least(F.lit(WINDOW), F.get(p, k + 1) - F.get(p, k)))
     covered = F.when(p.isNotNull(), F.aggregate(covers, F.lit(0), lambda a, x: a + x)).otherwise(0)
     stats = {
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "word_chars": F.length(F.array_join(W, "")).cast("long"),
         "n_symbols": _count(t, "#*$%&|<>"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_dup_lines": (F.size(LINES) - F.size(F.array_distinct(LINES))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_distinct": F.size(F.array_distinct("__w")).cast("long"),
+        "n_lines": F.size(LINES).cast("long"),
+        "n_distinct": F.size(F.array_distinct(W)).cast("long"),
         "n_upper": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long"),
         "n_marks": _count(t, ".,;:!?"),
     }
@@ -83,8 +88,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     # where they would repeat these expressions inside each other.
     once = F.explode(F.array(F.struct(*(e.alias(k) for k, e in stats.items()))))
     clash = {k.lower() for k in stats}
-    kept = [F.col(c) for c in df.columns if c.lower() not in clash and c not in ("__w", "__lines", "__h", "__s", "__p")]
-    return df.select(*kept, once.alias("__stats")).select(*kept, "__stats.*")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in clash and c not in (W, LINES, H, S, P)]
+    return df.select(*kept, once.alias(ALL)).select(*kept, f"{ALL}.*")
 
 
 @dataclass(frozen=True)
@@ -177,6 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
     # at most sample_rows rows of two numbers: the bound of this broadcast
     sample = one.orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
     chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key")
+    # one text a key, so that what is collected keeps the bound where keys repeat
+    chosen = chosen.groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
     ratios = [F.expr(e.replace(" / ", " / nullif(") + ", 0)").alias(n) for n, e in FEATURES.items()]
     stats = with_statistics(chosen, "__text").select(F.when(F.col("__label") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64(F.lit(1), "__key"), F.lit(3)).alias("third"), *ratios)
     got = stats.collect()
