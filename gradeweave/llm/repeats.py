@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm import hashing
@@ -162,7 +162,8 @@ def _drop(window: int):
                     gone = np.cumsum(change[:-1]) > 0
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                     out.append((int(gone.sum()), kept))
-                yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([n for n, _ in out], pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for _, k in out], pa.string())], names=["uid", "n_removed", "kept"])
+                made = [pa.array([n for n, _ in out], pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for _, k in out], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("uid"), *made], names=["key", "uid", "n_removed", "kept"])
 
     return run
 
@@ -177,13 +178,14 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, key: str =
     scanned = materialize(docs.transform(arrow_map, _scan(window, gram), "key bigint, uid bigint, n_words bigint, sha string, anchors array<bigint>"), "repeat-anchors")
     seeds = scanned.where("key is not null").select("key", "uid", F.explode("anchors").alias("anchor"))
     shared = materialize(seeds.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor"), "repeat-shared")
-    wanted = materialize(seeds.join(shared, "anchor", "left_semi").groupBy("uid").agg(F.collect_set("anchor").alias("seeds")), "repeat-seeds")
-    reach = materialize(docs.where("key is not null").join(wanted, "uid"), "repeat-texts")
+    wanted = materialize(seeds.join(shared, "anchor", "left_semi").groupBy("key", "uid").agg(F.collect_set("anchor").alias("seeds")), "repeat-seeds")
+    reach = materialize(docs.where("key is not null").join(wanted, ["key", "uid"]).select("key", "uid", "text", "seeds"), "repeat-texts")
     rows = materialize(reach.transform(arrow_map, _windows(window, gram), "h bigint, key bigint, uid bigint, start int, more binary"), "repeat-windows")
-    least = F.first("key").over(Window.partitionBy("h").orderBy("key"))
-    found = rows.where("h is not null").withColumn("least", least).where("key > least").select("uid", "start", "more")
-    found = found.unionByName(rows.where("h is null").select("uid", "start", "more"))
-    starts = found.groupBy("uid").agg(F.collect_list(F.when(F.col("more").isNull(), F.col("start"))).alias("starts"), F.collect_list("more").alias("more"))
-    cut = reach.select("uid", "text").dropDuplicates(["uid"]).join(starts, "uid").transform(arrow_map, _drop(window), "uid bigint, n_removed bigint, kept string")
-    out = scanned.select("key", "uid", "n_words", "sha").join(cut, "uid", "left")
+    # the smallest key of a window is found before rows meet; a window in many slices is a join's skew, which Spark splits
+    least = rows.where("h is not null").groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h", "least")
+    found = rows.where("h is not null").join(least, "h").where("key > least").select("key", "uid", "start", "more")
+    found = found.unionByName(rows.where("h is null").select("key", "uid", "start", "more"))
+    starts = found.groupBy("key", "uid").agg(F.collect_list(F.when(F.col("more").isNull(), F.col("start"))).alias("starts"), F.collect_list("more").alias("more"))
+    cut = reach.select("key", "uid", "text").dropDuplicates(["key", "uid"]).join(starts, ["key", "uid"]).transform(arrow_map, _drop(window), "key bigint, uid bigint, n_removed bigint, kept string")
+    out = scanned.select("key", "uid", "n_words", "sha").join(cut, ["key", "uid"], "left")
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.sha2("kept", 256), F.col("sha")).alias("kept_sha256"), "kept")
