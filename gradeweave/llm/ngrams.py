@@ -416,10 +416,13 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
 
 
 def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """Add n_tokens, n_known, train_tokens, base_score and score (log10) to the rows' key columns (``text`` leaves)."""
+    """Add n_tokens, n_known, train_tokens, base_score and score (log10) to the rows' other columns; ``text`` leaves, and so do columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files
-    keep = [c for c in docs.columns if c != text]
-    schema = docs.select(keep).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    made_ = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
+    keep = [c for c in docs.columns if c != text and c.lower() not in made_]
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    for name, kind in made_.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*shared.value)
