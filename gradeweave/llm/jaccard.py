@@ -17,8 +17,9 @@ each slice and partition, once for each distinct set of the slice: exact
 copies meet at once. Buckets with two or more sets are the candidates.
 
 Buckets never expand into all pairs: a first pass ties the sets of a bucket to
-a few hubs, exact verification turns ties into links and components follow; a
-second pass then compares, by a 128-bin histogram whose L1 distance is a lower
+a few hubs (large buckets in cells side by side, whose hubs are tied in turn),
+exact verification turns ties into links and components follow; a second pass
+then compares, by a 128-bin histogram whose L1 distance is a lower
 bound of the difference, only sets of a bucket that are still in different
 components, in blocks, and verifies what the bound leaves. So no link between
 different texts is lost: pairs not verified are already connected. Where the
@@ -52,6 +53,8 @@ SLICE = 2 << 20
 FULL = 1_000_000
 #: Sets of a bucket that are compared in one block with others.
 BLOCK = 2048
+#: Sets of a bucket in one row.
+LIST = 4096
 #: Chance that a shingle of one set is in another of its band, for the cost.
 COMMON = 0.05
 _U = np.uint64
@@ -197,8 +200,11 @@ def _index(width: int, plan: list[Band], parts: int):
     return run
 
 
+BUCKETS = ["bucket", "piece", "k", "sids"]
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two or more sets that share a signature, each list once."""
+    """Lists of two or more sets that share a signature, each list once, long ones in pieces."""
     held: dict[int, list] = {}
     for batch in batches:
         for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
@@ -223,9 +229,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if name not in done:
                 done.add(name)
                 lists.append((name[1], ids))
-        if lists:
-            offsets = np.concatenate(([0], np.cumsum([len(x) for _, x in lists]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lists], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for _, x in lists])))], names=["bucket", "sids"])
+        rows = [(name, k // LIST, len(ids), ids[k : k + LIST]) for name, ids in lists for k in range(0, len(ids), LIST)]
+        for lo in range(0, len(rows), 4096):
+            some = rows[lo : lo + 4096]
+            offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in some]))).astype(np.int32)
+            made = [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int32()), pa.array([r[2] for r in some], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in some])))], names=BUCKETS)
 
 
 def _apart(bins: np.ndarray, n: np.ndarray, one: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -265,27 +274,44 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _ties(percent: int):
-    """Per bucket, pairs of a hub and the sets that may link with it; what no hub takes goes to the next."""
+    """Per cell of a bucket, pairs of a hub and the sets that may link with it; what no hub takes goes to the next. Of buckets in several cells also the hubs, as pairs of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sid, n, bins in _groups(batches, ("bucket", "sid", "n", "bins")):
+        for _, bucket, cells, sid, n, bins in _groups(batches, ("cell", "bucket", "cells", "sid", "n", "bins")):
             bins, a, b = _matrix(bins), [], []
             for _ in range(8):
-                if len(sid) < 2:
+                if not len(sid) or len(sid) < 2 and cells[0] < 2:
                     break
                 hub = int(np.abs(bins - bins.mean(axis=0)).sum(axis=1).argmin())
                 near = _apart(bins, n, bins[hub], int(n[hub]), percent)
-                near[hub] = False
+                near[hub] = cells[0] > 1
                 a.append(np.full(int(near.sum()), sid[hub]))
                 b.append(sid[near])
                 rest = ~near
                 rest[hub] = False
                 sid, n, bins = sid[rest], n[rest], bins[rest]
-            yield _pairs(a, b)
+            pairs = _pairs(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.num_rows, bucket[0])), *pairs.columns], names=["bucket", "a", "b"])
 
     return run
 
 
+def _tied(members: DataFrame, info: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs to verify: sets with the hubs of their cell, hubs with the hubs of theirs, until a bucket is one cell."""
+    found, now = None, members
+    while True:
+        cells = F.ceil(F.col("k") / BLOCK).cast("long")
+        cell = F.when(cells > 1, F.xxhash64("bucket", F.pmod(F.xxhash64("sid", "bucket"), cells))).otherwise(F.col("bucket"))
+        dealt = now.select(cell.alias("cell"), "bucket", cells.alias("cells"), "sid", "n", "bins").repartition(parts, "cell").sortWithinPartitions("cell", "sid")
+        made = materialize(dealt.transform(arrow_map, _ties(percent), "bucket bigint, a bigint, b bigint"), "jaccard-ties")
+        pairs = made.where("a <> b").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        hubs = made.where("a = b").select("bucket", F.col("a").alias("sid"))
+        if not hubs.limit(1).count():
+            return materialize(found.distinct(), "jaccard-ties")
+        now = materialize(hubs.join(hubs.groupBy("bucket").agg(F.count("*").alias("k")), "bucket").join(info, "sid"), "jaccard-hubs")
+
+
 def _across(percent: int):
     """Per block of a bucket, pairs of sets in different components that may link."""
 
@@ -353,12 +379,11 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     total = sum(b.signatures() * n for b, n in zip(plan, held) if b.most)
     parts = int(max(shuffle_partitions(spark), total // FULL))
     blocks = docs.select("text").transform(arrow_map, _index(width, plan, parts), "part int, block binary").repartition(parts, "part")
-    buckets = materialize(blocks.transform(arrow_map, _buckets, "bucket bigint, sids array<bigint>"), "jaccard-buckets")
+    buckets = materialize(blocks.transform(arrow_map, _buckets, "bucket bigint, piece int, k bigint, sids array<bigint>"), "jaccard-buckets")
     info = sets.select("sid", "n", "bins")
-    members = buckets.dropDuplicates(["bucket"]).select("bucket", F.size("sids").alias("k"), F.explode("sids").alias("sid"))
+    members = buckets.dropDuplicates(["bucket", "piece"]).select("bucket", "k", F.explode("sids").alias("sid"))
     members = materialize(members.join(info, "sid"), "jaccard-members")
-    dealt = members.repartition(parts, "bucket").sortWithinPartitions("bucket", "sid").select("bucket", "sid", "n", "bins")
-    ties = materialize(dealt.transform(arrow_map, _ties(percent), "a bigint, b bigint").distinct(), "jaccard-ties")
+    ties = _tied(members, info, percent, parts)
     reps = sets.select("sid", "key")
     links = _verified(docs, reps, ties, width, percent)
     roots = components(links)
