@@ -143,3 +143,33 @@ def base_scores(rows):
     c = Counter(x for d, w in words.items() if not held[d] for x in w)
     n, v = sum(c.values()), len(c)
     return {d: (held[d], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for d, w in words.items()}
+
+
+def ngram_scores(rows, order=3):
+    """(doc_id, text) rows to {doc_id: log10 probability}: interpolated absolute discounting, one discount an order."""
+    words = {d: [*WORD.findall(lower(t or "")), None] for d, t in rows}
+    train = [w for d, w in words.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    one = Counter(x for w in train for x in w)
+    n, v = sum(one.values()), len(one)
+    grams = {k: Counter((tuple(["<s>", *w][i - k + 2 : i + 1]), w[i]) for w in train for i in range(k - 2, len(w))) for k in range(2, order + 1)}
+    total, kinds, discount = {}, {}, {}
+    for k, g in grams.items():
+        total[k], kinds[k] = Counter(), Counter()
+        for (context, _), c in g.items():
+            total[k][context] += c
+            kinds[k][context] += 1
+        once, twice = (sum(c == times for c in g.values()) for times in (1, 2))
+        discount[k] = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    out = {}
+    for d, w in words.items():
+        s = 0.0
+        for i, x in enumerate(w):
+            p = (one[x] + 1) / (n + v + 1)
+            for k in range(2, order + 1):
+                context = tuple(["<s>", *w][max(0, i - k + 2) : i + 1])
+                if i >= k - 2 and total[k][context]:
+                    c = grams[k][context, x]
+                    p = max(c - discount[k], 0) / total[k][context] + discount[k] * kinds[k][context] / total[k][context] * p
+            s += math.log10(p)
+        out[d] = s
+    return out

@@ -169,6 +169,20 @@ def test_ngram_scores_keep_over_partitions(spark):
     assert got[0] == pytest.approx(got[1], abs=1e-9)
 
 
+def test_ngram_scores_are_the_models(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("aabbbcdeFg") for _ in range(rng.randrange(25)))) for i in range(120)] + [(200, None), (201, "zz zz a")]
+    d = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"held_out": F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, "score": F.lit("clash"), "N_Tokens": F.lit(1)})
+    out = ngrams.score(d, ngrams.fit(d.where("not held_out")))
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    want = brute.ngram_scores(rows)
+    for r in out.collect():  # probabilities are quantised in steps of 0.7 %
+        assert r.score == pytest.approx(want[r.doc_id], abs=0.004 * r.n_tokens), r.doc_id
+    assert max(abs(want[r.doc_id] - r.base_score) for r in out.collect()) > 1
+
+
 # --- secrets
 
 
@@ -243,6 +257,16 @@ def test_quality_statistics(docs, none):
     assert quality.fit(docs, docs.sparkSession.createDataFrame([], "doc_id bigint, quality int")) == []
 
 
+def test_quality_sample_keeps_its_bound_with_repeated_keys(spark, monkeypatch):
+    d = spark.createDataFrame([(i % 5, f"words of text {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda rows, **_: seen.append(len(rows["bad"])) or [])
+    quality.fit(d, labels, sample_rows=4)
+    assert seen == [4]
+    assert {"__w", "__words", "___x"} <= set(quality.decide(d.withColumns({"__w": F.lit(1), "__words": F.lit(1), "___x": F.lit(1)}), []).columns)
+
+
 def test_quality_learns(spark):
     rows = [(i, " ".join(f"{w}{'#' if i % 4 == 0 else ''}" for w in ("alpha beta gamma delta eps zeta eta theta iota kappa lam " + str(i)).split())) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -275,6 +299,20 @@ def test_jaccard(spark, docs, kinds, width, percent):
     assert got == brute.jaccard(rows, width, percent)
 
 
+def test_jaccard_of_buckets_in_many_cells(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(70)]
+    rows = [(i, " ".join([*base, *(f"t{rng.randrange(4)}_{i % 3}" for _ in range(rng.randrange(4)))])) for i in range(700)]
+    rows += [(1000 + i, " ".join([*base[:40], *(f"u{i}_{k}" for k in range(30))])) for i in range(60)]  # they share much and link with nothing
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(d, 3, 90, degrees=False).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+
+
 def test_jaccard_edges(docs, none):
     got = jaccard.link(docs).collect()
     assert len(got) == docs.count() and [r.component_id for r in got if r.doc_id is None] == [None]
@@ -353,7 +391,7 @@ def test_mixing_repeated_and_null_keys(spark):
 
 
 def test_positions(spark):
-    for begin, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)):
+    for begin, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5), (0.0, 2.0), (2.0, 0.0)):
         r = spark.range(11).select((F.col("id") / 10).alias("x"), mixing.position(F.col("id") / 10, F.lit(begin), F.lit(end)).alias("t")).collect()
         for x in r:  # the integral of the schedule up to t is the share
             assert (begin * x.t + (end - begin) * x.t**2 / 2) / ((begin + end) / 2) == pytest.approx(x.x, abs=1e-9)
@@ -403,6 +441,53 @@ def test_distrust_of_many_linkers_and_chains(spark):
     assert got["http://good.com/"].trust == 1 and got["http://good.com/"].trust > got["http://friend.org/"].trust > got["http://next.org/"].trust > 0
 
 
+def on_tables(spark, tmp_path, name, **tables):
+    """A query's rows and its SQL's on these tables."""
+    duckdb = pytest.importorskip("duckdb")
+    from gradeweave.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    rows = lambda some, names: sorted((tuple(r[names.index(c)] for c in order) for r in some), key=str)
+    return rows(map(tuple, got.collect()), got.columns), rows(want.fetchall(), want.columns)
+
+
+def test_url_filter_equals_its_sql(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    hosts = [f"h{i}.{t}" for i in range(25) for t in ("com", "net", "org")] + ["www.example.com", "example.com", "Q.Example.COM"]
+    rows = []
+    for i in range(300):
+        h = rng.choice(hosts)
+        links = [rng.choice([f"http://{rng.choice(hosts)}/{rng.choice(['es', 'fr', 'en', 'x'])}/1", f"//{rng.choice(hosts)}/a", "/own/1", "own2", "#top", "mailto:a@b.org"]) for _ in range(rng.randrange(5))]
+        base = f'<base target="x" href="http://{rng.choice(hosts)}/y">' if rng.random() < 0.1 else ""
+        rows.append((i, f"https://{h}/{rng.choice(['es', 'fr', 'en', 'x'])}/{i}?q#f", base + " ".join(f"<a class='c' HREF = {q}{x}{q}>" for x in links for q in [rng.choice(["'", '"'])])))
+    rows += [(900, None, None), (901, "x.com/a", "<a href=http://h1.com/>"), (902, "http://lonely.org", None), (902, "http://lonely.org", None)]
+    got, want = on_tables(spark, tmp_path, "op8_url_filter", pages=spark.createDataFrame(rows, "page_id int, url string, html string"))
+    assert got == want and len({r[-1] for r in got}) >= 1
+    given = urls.judge(spark.read.parquet(f"{tmp_path}/pages.parquet"), RULES)
+    assert given.where("rule is null and distrust > 0 and distrust < 1").count() > 0
+
+
+def test_source_mix_equals_its_sql(spark, tmp_path):
+    rows = [(i, "w " * (i % 23) if i % 50 else None, f"s{i % 7 if i % 3 else 0}" if i % 11 else None, "en", 1) for i in range(5000)]
+    got, want = on_tables(spark, tmp_path, "op7_source_mix", documents=spark.createDataFrame(rows, SCHEMA))
+    assert got == want
+
+
+def test_relative_links_and_bases(spark):
+    edges = lambda html: {tuple(r) for r in urls.host_edges(spark.createDataFrame([("a.org", html)], "host string, html string")).collect()}
+    assert edges('<a href="/x"><a href="y"><a href="?q"><a href="http://A.org/">') == set()
+    assert edges('<base href="//b.org/x/"><a href="/x"><a href="y"><a href="http://a.org/"><a href=mailto:q@c.org>') == {("a.org", "b.org", 3)}
+    assert edges('<BASE target=_top href=/sub/><a href="/x">') == set()
+
+
 def test_protocol_relative_links(spark):
     html = """<a href="//B.org/x"> <a HREF = '//c.org'> <a href=//b.org?y> <a href="https://b.org/"> <a href="/a//d.org"> <a href="d//e.org"> <a href="///">"""
     got = urls.host_edges(spark.createDataFrame([("a.org", html), ("a.org", None)], "host string, html string")).collect()
