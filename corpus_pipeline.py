@@ -31,11 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told apart by key and text, so different texts under one key are decided
     one by one.
     """
-    linked = jaccard.link(docs, width=5, percent=80, degrees=False)
+    linked = jaccard.link(docs, width=5, percent=80, degrees=False).where(F.col("first_text_id").isNotNull())
     first = (F.col("component_id") == F.col("doc_id")) & (F.col("first_text_id") == F.col("text_id"))
-    gone = linked.where(F.col("first_text_id").isNotNull() & ~first).select(F.col("doc_id").alias("__gone"), F.col("text_id").alias("__text")).distinct()
-    same = (docs.doc_id == gone["__gone"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == gone["__text"])
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    marks = linked.groupBy(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).agg(F.max(~first).alias("__gone"), F.count("*").alias("__rows"))
+    marks = materialize(marks.where("__gone or __rows > 1"), "pipeline-marks")
+    same = (docs.doc_id == marks["__id"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == marks["__text"])
+    # rows that repeat key and text are few as a rule, and only they are compared as a whole
+    alone = docs.join(marks, same, "left_anti")
+    repeated = docs.join(marks.where("not __gone"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(repeated).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
