@@ -289,7 +289,16 @@ def _train(spark, sf_dir):
     return splits.fixed_split(V.kept(spark, sf_dir), V.VALIDATION, V.TEST).where("split = 'train'")
 
 
-@query(None)  # the quota's repair is a loop with ties
+# Floors miss k by fewer rows than there are strata, so the repair touches each stratum once at most: a rank says which.
+_QUOTA = """, st as (select model_id, target_score, count(*) as n from sp where split = 'train' group by all),
+sq as (select *, n / sum(n) over () * 200 as ideal, row_number() over (order by model_id nulls last, target_score nulls last) as k from st),
+sd as (select *, least(n, greatest(cast(floor(ideal) as bigint), 1)) as draw from sq),
+so as (select *, sum(draw) over () - 200 as over, row_number() over (partition by draw > 1 order by draw - ideal desc, k) as down, row_number() over (partition by draw < n order by ideal - draw desc, k) as up from sd),
+qt as (select model_id, target_score, n as size, cast(draw - case when over > 0 and draw > 1 and down <= over then 1 else 0 end + case when over < 0 and draw < n and up <= -over then 1 else 0 end as bigint) as quota from so)
+"""
+
+
+@query(RS + _QUOTA + "select * from qt")
 def stratified_quota(spark, sf_dir):
     return splits.stratified_quotas(_train(spark, sf_dir), 200, ["model_id", "target_score"])
 
@@ -301,7 +310,8 @@ def stratified_all(spark, sf_dir):
     return splits.stratified_subset(t, t.count(), ["model_id", "target_score"]).select(_ID, "model_id", "target_score")
 
 
-@query(None)
+@query(RS + _QUOTA + """, rk as (select *, row_number() over (partition by model_id, target_score order by md5('42:' || example_id), example_id) as place from sp where split = 'train')
+select r.example_id, r.model_id, r.target_score from rk r join qt q on r.model_id is not distinct from q.model_id and r.target_score is not distinct from q.target_score where r.place <= q.quota""")
 def stratified_eval_subset(spark, sf_dir):
     return splits.eval_subset(_train(spark, sf_dir), 200).select(_ID, "model_id", "target_score")
 
@@ -379,6 +389,33 @@ def score_tokenization(spark, sf_dir):
     return spark.createDataFrame([(r["score"], r["token_ids"][0], r["num_tokens"]) for r in report], "score string, token_id int, num_tokens int")
 
 
+class BracketTokenizer(tokens.CodePoints):
+    """Code points with a chat template of its own: roles in brackets."""
+
+    chat_template = "[{role}]{content}"
+    name_or_path = "brackets"
+
+    def apply_chat_template(self, messages, tokenize=False, add_generation_prompt=True):
+        return "".join(f"[{m['role']}]{m['content']}" for m in messages) + ("[assistant]" if add_generation_prompt else "")
+
+
+_BRACKETS = "replace(replace(replace(prompt, '<|system|>' || chr(10), '[system]'), chr(10) || '<|user|>' || chr(10), '[user]'), chr(10) || '<|assistant|>' || chr(10), '[assistant]')"
+
+
+@query(RS + f"select example_id, md5({_BRACKETS}) as prompt_md5, cast(length({_BRACKETS}) as bigint) as prompt_token_length, cast(length({_BRACKETS}) + 2 as bigint) as sequence_length from prompts")
+def template_prompts(spark, sf_dir):
+    t = BracketTokenizer()
+    m = tokens.with_sequence_lengths(V.targeted(spark, sf_dir), V.SYSTEM_PROMPT, tokenizer=t)
+    return m.select(_ID, F.md5(tokens.prompt_col(V.SYSTEM_PROMPT, t)).alias("prompt_md5"), "prompt_token_length", "sequence_length")
+
+
+@query(RS + f"select example_id, cast(length({_BRACKETS}) + 2 as integer) as length, md5({_BRACKETS}) as text_md5, cast(48 + target_score as integer) as supervised from prompts where length({_BRACKETS}) + 2 <= 3072")
+def template_token_rows(spark, sf_dir):
+    rows = tokens.token_rows(V.targeted(spark, sf_dir), V.SYSTEM_PROMPT, tokenizer=BracketTokenizer())
+    text = F.array_join(F.transform(F.slice("input_ids", 1, F.col("prompt_length")), lambda i: F.decode(F.unhex(F.lpad(F.hex(i), 8, "0")), "UTF-32")), "")
+    return rows.select(_ID, "length", F.md5(text).alias("text_md5"), F.filter("labels", lambda x: x != IGNORED_LABEL)[0].alias("supervised"))
+
+
 # --- scoring
 
 _KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -481,6 +518,34 @@ def majority_ordinal_baseline(spark, sf_dir):
     return _rounded(m, _MO, "majority_score", "num_train", "num_eval")
 
 
+# --- evaluation passes
+
+_IDS5 = (49, 50, 51, 52, 53)
+_EVAL = ["num_examples", *ORDINAL]
+
+
+def _eval_rows(spark, sf_dir) -> DataFrame:
+    """Logits by place and token, and labels, as an evaluation pass gives them: the target's token is the second of three."""
+    five = F.array(*(F.col(c) for c in V.LOGITS))
+    place = F.concat(F.array_repeat(F.lit(0.0), _IDS5[0]), five)
+    noise = F.array_repeat(F.lit(1.0), _IDS5[-1] + 1)
+    label = F.when(F.col("l_linenumber") == 7, F.lit(IGNORED_LABEL)).otherwise(F.col("target_score") + 48)
+    labels = F.array(F.lit(IGNORED_LABEL), label, F.lit(IGNORED_LABEL))
+    return V.logits(spark, sf_dir).where("l_linenumber > 5").select(F.array(place, noise, noise).alias("logits"), labels.alias("labels"))
+
+
+@query(PR + f"select {_pick(_EVAL)} from p where l_linenumber = 6")
+def eval_logit_metrics(spark, sf_dir):
+    return _rounded(scoring.logit_metrics(_eval_rows(spark, sf_dir), token_ids=_IDS5), _EVAL)
+
+
+@query(PR + f"select {_pick(_EVAL)} from p where l_linenumber <> 3")
+def class_logit_metrics(spark, sf_dir):
+    label = F.when(F.col("l_linenumber") == 3, F.lit(IGNORED_LABEL)).otherwise(F.col("target_score") - 1)
+    rows = V.logits(spark, sf_dir).select(F.array(*(F.col(c) for c in V.LOGITS)).alias("logits"), label.alias("labels"))
+    return _rounded(scoring.logit_metrics(rows), _EVAL)
+
+
 # --- losses
 
 _CE = "ln(z) + top - case target_score when 1 then logit_1 when 2 then logit_2 when 3 then logit_3 when 4 then logit_4 else logit_5 end"
