@@ -8,7 +8,8 @@ shuffle, and memory is bounded by one slice of texts.
 
 Defined results: a null text encodes as the empty text (no ids); repeated rows
 and columns beside the named ones pass through; output columns that clash with
-an input column replace it.
+an input column replace it; a text longer than a slice is a slice of its own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,12 +4,13 @@ Each rule's regex becomes a Boolean query of the trigrams every match must
 hold. An index of a shard of texts (folded to lower case) maps trigrams to
 posting lists; a rule's query intersects and unites them, and its regex runs
 on the candidates only. Rules without mandatory trigrams scan every text of
-the shard. Shards are slices of Arrow batches: map-only, bounded memory.
+the shard. Shards are slices of Arrow batches: map-only, memory follows a slice,
+or one text if that is longer.
 
 Spans are in code points, end exclusive, ordered by start, then by the rules'
 order. Defined results: a null or empty text has no spans; repeated rows get
 the same spans; other columns pass through, but one named ``spans`` (or
-``redacted``) is replaced.
+``redacted``) is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

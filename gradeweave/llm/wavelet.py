@@ -13,7 +13,9 @@ named anew by every task attempt and the manifest, written as Parquet, names
 those of the attempts that were committed; retries never share a file.
 
 Defined results: a null text encodes as no ids and gets its end id only; null
-keys sort first; equal keys sort by text; an empty table makes no file.
+keys sort first; equal keys sort by text; columns beside key and text leave,
+whatever their names; a text that alone fills a shard is a shard of its own; an
+empty table makes no file.
 """
 
 from __future__ import annotations

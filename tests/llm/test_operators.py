@@ -1,6 +1,7 @@
 """Small cases: nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +78,6 @@ def test_bpe_empty(none, ranks):
 
 
 def test_wavelet_questions():
-    import pyarrow as pa
 
     ids = np.random.default_rng(1).integers(0, 300, 70_000).astype(np.uint16)
     w = wavelet.WaveletMatrix(wavelet.build(ids, pa.array([1, 2]), np.array([40_000, 30_000])))
@@ -108,6 +108,28 @@ def test_wavelet_files(docs, none, plain):
     assert wavelet.read(wavelet.write(none, P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_very_long_texts(spark):
+    long = "Wörter und words,  \n" * 150_000  # over 3 MB
+    d = spark.createDataFrame([(1, long), (2, "short")], "doc_id bigint, text string")
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    got = {r.doc_id: r for r in bpe.encode(d, ranks, P.PATTERN, decoded=True).collect()}
+    assert got[1].decoded == long.encode() and got[1].n_tokens * 4 == len(got[1].ids) and got[2].decoded == b"short"
+    read = {r.key: r.n_tokens for r in wavelet.read(wavelet.write(d, P.path("byte_bpe_50k.json"), shard_tokens=1000)).collect()}
+    assert read[1] > 300_000 and read[2] < 5
+
+
+def test_clean_up(spark):
+    import os
+
+    from gradeweave.llm import common
+
+    common.clean_up(spark)
+    path = common.new_dir(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path.removeprefix("file://")) and common.clean_up(spark) == 1
+    assert not os.path.exists(path.removeprefix("file://")) and common.clean_up(spark) == 0
+
+
 # --- language model
 
 
@@ -313,6 +335,14 @@ def test_jaccard_of_buckets_in_many_cells(spark, monkeypatch):
     assert got == brute.jaccard(rows, 3, 90)
 
 
+def test_long_buckets_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    owners, sig = np.arange(20, dtype="<i8"), np.full(20, 5, "<u8")
+    block = sig.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + owners.tobytes()
+    (got,) = jaccard._buckets(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block])], names=["part", "block"])]))
+    assert got["piece"].to_pylist() == [0, 1, 2] and set(got["k"].to_pylist()) == {20} and sum(got["sids"].to_pylist(), []) == list(range(20))
+
+
 def test_jaccard_edges(docs, none):
     got = jaccard.link(docs).collect()
     assert len(got) == docs.count() and [r.component_id for r in got if r.doc_id is None] == [None]
