@@ -8,6 +8,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from gradeweave.operators import splits
 from gradeweave.plans import config as C
 from gradeweave.plans import pipeline
 from gradeweave.sources import documents
@@ -34,6 +35,17 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def shown_splits(prepared) -> str:
+    """Rows and models of each split, a line each."""
+    rows = splits.split_report(prepared).collect()
+    return "\n".join(["split       examples  models", *(f"{r.split:<11} {r.examples:>8}  {r.num_models:>6}" for r in rows)])
+
+
+def shown_metrics(found: dict) -> str:
+    """Metrics by name, a line each; numbers with six digits."""
+    return "\n".join(f"{k:<36} {v:.6f}" if isinstance(v, float) else f"{k:<36} {v}" for k, v in sorted(found.items()))
+
+
 def _named(spec: str):
     """module:name"""
     module, _, name = spec.partition(":")
@@ -47,15 +59,16 @@ def main(argv=None) -> int:
     for k, v in C.executor_environment().items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    print(f"{config['project'].get('run_name', 'run')}: {a.command} in {C.run_dir(config)}")
     if a.command == "prepare":
-        pipeline.prepare(spark, config, force=True).groupBy("split").count().show()
+        print(shown_splits(pipeline.prepare(spark, config, force=True)))
     elif a.command == "train":
         done = pipeline.prepare(spark, config, force=a.force_prepare)
         print(json.dumps(pipeline.train_data(spark, config, done, a.finalist), indent=2))
     elif a.command == "predict":
         pipeline.predict(spark, config, a.split, _named(a.scorer))
     elif a.command == "evaluate":
-        print(json.dumps(documents.jsonable(pipeline.evaluate(spark, config, a.split, a.predictions)), indent=2, sort_keys=True))
+        print(shown_metrics(documents.jsonable(pipeline.evaluate(spark, config, a.split, a.predictions))))
     elif a.command == "debug-tokenization":
         print("\n".join(pipeline.debug_tokens(spark, config, a.split, a.num_examples)))
     else:

@@ -105,6 +105,14 @@ def test_command_line():
         parser().parse_args(["evaluate", "-c", "x", "-s", "train"])
 
 
+def test_shown_tables(spark):
+    from gradeweave.plans.cli import shown_metrics, shown_splits
+
+    shown = shown_splits(spark.createDataFrame([("train", "m")], "split string, model_id string")).split("\n")
+    assert len(shown) == 4 and ["train", "1", "1"] in [x.split() for x in shown]
+    assert shown_metrics({"b": 0.5, "a": 3}).split("\n")[0].split() == ["a", "3"]
+
+
 def test_stream(spark, tmp_path):
     from gradeweave.streaming.scoring import scored_stream
 
