@@ -42,7 +42,7 @@ from gradeweave.llm.common import arrow_map, attempt_name, materialize, new_dir,
 
 _U = np.uint64
 BOS, END, FIRST = 0, 1, 2  # ids; words follow
-SLICE = 3 << 20
+SLICE = 4 << 20
 NODES = 2_000_000  # of a file, about
 CODES = 4096  # quantised probabilities: steps of the logarithm
 LEAST = 1e-12
