@@ -4,10 +4,10 @@
    hash in a row), so that any two places that share ``window`` words share an
    anchor. Anchors are joined across documents; those in one document only
    leave.
-2. Windows, in place of extension: around each shared anchor a match of
-   ``window`` words can reach ``window - gram`` words to either side. Every
-   window that starts in that reach is hashed and grouped with the equal
-   windows of other documents. No match is extended word by word and no maximal
+2. Windows, in place of extension: a window's smallest run is an anchor, in
+   every document that has the window. So the windows whose smallest run is a
+   shared anchor are hashed and compared with the equal windows of other
+   documents; all others have no equal. No match is extended word by word and no maximal
    repeat is formed or returned; the words removed are those that extending
    matches of ``window`` words or more would cover. Comparing windows by key
    instead of document pairs keeps the work linear: a passage in k documents
@@ -85,7 +85,7 @@ def _scan(window: int, gram: int):
 
 
 def _windows(window: int, gram: int):
-    """Windows in reach of the texts' shared anchors: rows to compare (hash not null), and repeats that the slice itself settles (hash null)."""
+    """Windows whose smallest run is a shared anchor: rows to compare, and repeats that the slice itself settles (``done``)."""
     reach = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,20 +93,16 @@ def _windows(window: int, gram: int):
             for batch in rows_by_bytes(whole, "text", SLICE):
                 keys, uids = (batch.column(c).to_numpy() for c in ("key", "uid"))
                 hashes, first, *_ = hashing.words(batch.column("text").to_pylist())
-                at, text, g = anchors(hashes, first, window, gram)
                 seeds = batch.column("seeds")
                 owner = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
                 wanted = seeds.flatten().to_numpy().view(np.uint64)
-                if not len(at) or not len(wanted):
+                if len(hashes) < window or not len(wanted):
                     continue
-                shared = np.isin(hashing.mix(g + np.uint64(1)) ^ text.astype(np.uint64), hashing.mix(wanted + np.uint64(1)) ^ owner.astype(np.uint64))
-                n = len(hashes)
-                near = np.zeros(n + 1, np.int64)  # window starts whose window holds a shared anchor
-                np.add.at(near, np.maximum(0, at[shared] - reach + 1), 1)
-                np.add.at(near, at[shared] + 1, -1)
+                low = hashing.sliding(hashing.runs(hashes, gram), reach, np.minimum)  # of each window
+                wanted = hashing.mix(wanted + np.uint64(1)) ^ owner.astype(np.uint64)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                fits = first[1:][owner] - np.arange(n) >= window
-                where = np.flatnonzero((np.cumsum(near[:-1]) > 0) & fits)
+                starts = np.flatnonzero(first[1:][owner[: len(low)]] - np.arange(len(low)) >= window)
+                where = starts[np.isin(hashing.mix(low[starts] + np.uint64(1)) ^ owner[starts].astype(np.uint64), wanted)]
                 if not len(where):
                     continue
                 h = hashing.runs(hashes, window)[where]
@@ -126,7 +122,7 @@ def _windows(window: int, gram: int):
 
 
 def _rows(h, key, uid, start, own, keep) -> Iterator[pa.RecordBatch]:
-    """Rows of one window or, without ``h``, of one text: its starts as little-endian uint32."""
+    """Rows of one window or, without ``h``, of one text, whose hash then takes its place: starts as little-endian uint32."""
     key, uid, start, own = key[keep], uid[keep], start[keep], own[keep]
     if not len(key):
         return
@@ -142,8 +138,9 @@ def _rows(h, key, uid, start, own, keep) -> Iterator[pa.RecordBatch]:
     data = start.astype("<u4")
     alone = (ends - at == 1) & (h is not None)
     more = pa.array([None if one else data[a:b].tobytes() for one, a, b in zip(alone.tolist(), at.tolist(), ends.tolist())], pa.binary())
-    hs = pa.nulls(len(at), pa.int64()) if h is None else pa.array(h[at].view(np.int64))
-    yield pa.RecordBatch.from_arrays([hs, pa.array(key[at], pa.int64()), pa.array(uid[at], pa.int64()), pa.array(start[at], pa.int32()), more], names=["h", "key", "uid", "start", "more"])
+    hs = uid[at] if h is None else h[at].view(np.int64)
+    made = [pa.array(hs, pa.int64()), pa.array(key[at], pa.int64()), pa.array(uid[at], pa.int64()), pa.array(start[at], pa.int32()), more, pa.array(np.full(len(at), h is None))]
+    yield pa.RecordBatch.from_arrays(made, names=["h", "key", "uid", "start", "more", "done"])
 
 
 def _drop(window: int):
@@ -180,11 +177,11 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = GRAM, key: str =
     shared = materialize(seeds.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor"), "repeat-shared")
     wanted = materialize(seeds.join(shared, "anchor", "left_semi").groupBy("key", "uid").agg(F.collect_set("anchor").alias("seeds")), "repeat-seeds")
     reach = materialize(docs.where("key is not null").join(wanted, ["key", "uid"]).select("key", "uid", "text", "seeds"), "repeat-texts")
-    rows = materialize(reach.transform(arrow_map, _windows(window, gram), "h bigint, key bigint, uid bigint, start int, more binary"), "repeat-windows")
+    # windows are made twice, which is cheaper than to keep them: a row a window is several times the text
+    rows = reach.transform(arrow_map, _windows(window, gram), "h bigint, key bigint, uid bigint, start int, more binary, done boolean")
     # the smallest key of a window is found before rows meet; a window in many slices is a join's skew, which Spark splits
-    least = rows.where("h is not null").groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h", "least")
-    found = rows.where("h is not null").join(least, "h").where("key > least").select("key", "uid", "start", "more")
-    found = found.unionByName(rows.where("h is null").select("key", "uid", "start", "more"))
+    least = rows.where("not done").groupBy("h").agg(F.min("key").alias("least"))
+    found = rows.join(least, "h", "left").where("done or key > least").select("key", "uid", "start", "more")
     starts = found.groupBy("key", "uid").agg(F.collect_list(F.when(F.col("more").isNull(), F.col("start"))).alias("starts"), F.collect_list("more").alias("more"))
     cut = reach.select("key", "uid", "text").dropDuplicates(["key", "uid"]).join(starts, ["key", "uid"]).transform(arrow_map, _drop(window), "key bigint, uid bigint, n_removed bigint, kept string")
     out = scanned.select("key", "uid", "n_words", "sha").join(cut, ["key", "uid"], "left")
