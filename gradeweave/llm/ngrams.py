@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeweave.llm import eliasfano, hashing
-from gradeweave.llm.common import arrow_map, attempt_name, materialize, new_dir, read_buffer, rows_by_bytes, shuffle_partitions, write_bytes
+from gradeweave.llm.common import arrow_map, attempt_name, materialize, new_dir, read_buffer, remove, rows_by_bytes, shuffle_partitions, write_bytes
 
 _U = np.uint64
 BOS, END, FIRST = 0, 1, 2  # ids; words follow
@@ -383,7 +383,7 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
     """Count, build and write the levels; returns what ``Trie`` takes (a row a file)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out_dir, counts_dir, least = new_dir(spark, "ngrams"), new_dir(spark, "ngram-counts"), shuffle_partitions(spark)
+    out_dir, least = new_dir(spark, "ngrams"), shuffle_partitions(spark)
     words = materialize(docs.transform(arrow_map, _count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "ngram-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n = max(1, distinct // NODES)
@@ -400,12 +400,13 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text"):
     for level in range(2, order + 1):
         shared = spark.sparkContext.broadcast((level1, levels, total, distinct))  # names of files
         parts = max(least, int(total // NODES)) if total else 1
-        starts = _cuts(contexts, max(1, min(parts, contexts)))
+        starts, counts_dir = _cuts(contexts, max(1, min(parts, contexts))), new_dir(spark, "ngram-counts")
         blocks = docs.transform(arrow_map, _count_grams(shared, level, starts), "part int, block binary").repartition(len(starts), "part")
         counted = materialize(blocks.transform(arrow_map, _level_files(starts, contexts, level, counts_dir), f"{MANIFEST}, once bigint, twice bigint"), "ngram-counted")
         once, twice = counted.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
         final = counted.drop("once", "twice").repartition(len(starts), "part").transform(arrow_map, _discounted_files(_discount(once, twice), level, out_dir), MANIFEST)
         files = materialize(final, "ngram-manifest").orderBy("part").collect()
+        remove(spark, counts_dir)  # the files with probabilities are all written
         made, base = [], 0
         for f in files:
             made.append((int(starts[f.part]), base, f.path))
