@@ -42,8 +42,3 @@ def prompt(question: Column, reference: Column, response: Column, system_prompt:
 def prompt_overhead(system_prompt: str) -> int:
     """Characters of a prompt beside the three texts."""
     return len(ROLE.format("system") + system_prompt.strip() + "\n" + ROLE.format("user") + "".join(HEADINGS) + "\n" + ROLE.format("assistant"))
-
-
-def one_line(text: Column) -> Column:
-    """Line feeds shown as two characters."""
-    return F.replace(text, F.lit("\n"), F.lit("\\n"))
