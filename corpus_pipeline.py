@@ -38,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same = (docs.doc_id == marks["__id"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == marks["__text"])
     # rows that repeat key and text are few as a rule, and only they are compared as a whole
     alone = docs.join(marks, same, "left_anti")
-    repeated = docs.join(marks.where("not __gone"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    twice = materialize(marks.where("not __gone"), "pipeline-repeats")  # its true size lets the planner keep the texts in place
+    same = (docs.doc_id == twice["__id"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == twice["__text"])
+    repeated = docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return alone.unionByName(repeated).select(*docs.columns)
 
 
