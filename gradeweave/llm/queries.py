@@ -93,7 +93,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op3_ngram_scores, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import merkle
+    from gradeweave.llm.common import ascii_lower
+
+    fields = ("doc_id", "source", "lang", "n_chars")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, merkle.leaf_digest(*map(F.col, fields), ascii_lower(F.col("text"))))
+    found = merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), (*fields, "text"), carry={"tampered": tampered}))
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gradeweave.llm import packing
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeweave.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_byte_bpe, op3_ngram_scores, op4_secret_scan, op5_quality_rules, op6_ngram_jaccard, op7_source_mix, op8_url_filter, op9_kd_topk, op10_substring_dedup, op11_merkle_manifest, op12_best_fit_packing, op13_embedding_whitening)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -101,6 +129,13 @@ _HOST = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLM
 _NAMED = f"case when starts_with({{0}}, '//') then {_HOST.format("'http:' || {0}")} when regexp_matches({{0}}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {_HOST.format('{0}')} end"
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+_MERKLE_LEAF = f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {_FIELD})"
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: cast(ascii(substr(cast(doc_id as varchar), i, 1)) as bigint)),
+  lambda c, b: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295))"""
+
+
 def _fits(host: str, path: str) -> str:
     return f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
 
@@ -181,6 +216,32 @@ x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d
 k as (select x.doc_id, string_agg(word, ' ' order by x.p) as kept, count(*) as n from x left join g on g.doc_id = x.doc_id and g.p = x.p where g.p is null group by x.doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
 from d left join k on k.doc_id = d.doc_id
+""",
+    "op11_merkle_manifest": f"""
+with recursive c as (select doc_id, source, {_MERKLE_LEAF.format("text")} as leaf, {_MERKLE_LEAF.format(_LOWER.format("text"))} as lowered, {_CRC32} as crc from documents),
+d as (select *, row_number() over () as r, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from c),
+g(level, source, i, n, h) as (
+  select 0, source, i, n, leaf from d
+  union all
+  select level + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from g where n > 1 group by level, source, i // 16, n
+), s as (select source, h, level as height, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from g where n = 1),
+t(level, i, n, h) as (
+  select 0, i, n, h from s
+  union all
+  select level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from t where n > 1 group by level, i // 16, n
+), p as (
+  select d.r, g.level, coalesce(string_agg(h, '' order by g.i) filter (g.i < d.i // cast(16 ** g.level as bigint)), '') as a, coalesce(string_agg(h, '' order by g.i) filter (g.i > d.i // cast(16 ** g.level as bigint)), '') as b
+  from d join g on d.source is not distinct from g.source and g.n > 1 and g.i // 16 = d.i // cast(16 ** (g.level + 1) as bigint) group by d.r, g.level
+  union all
+  select d.r, s.height + t.level, coalesce(string_agg(t.h, '' order by t.i) filter (t.i < s.i // cast(16 ** t.level as bigint)), ''), coalesce(string_agg(t.h, '' order by t.i) filter (t.i > s.i // cast(16 ** t.level as bigint)), '')
+  from d join s on d.source is not distinct from s.source join t on t.n > 1 and t.i // 16 = s.i // cast(16 ** (t.level + 1) as bigint) group by d.r, s.height, t.level
+), f(r, level, h) as (
+  select r, 0, case when crc % 5 = 0 then lowered else leaf end from d
+  union all
+  select f.r, f.level + 1, sha256(p.a || f.h || p.b) from f join p on p.r = f.r and p.level = f.level
+), q as (select r, sha256(string_agg(a || b, '' order by level)) as proof, max(level) + 1 as top from p group by r)
+select d.doc_id, d.leaf, s.h as subroot, t.h as root, coalesce(q.proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+from d join s on d.source is not distinct from s.source join (select h from t where n = 1) t on true left join q on q.r = d.r join f on f.r = d.r and f.level = coalesce(q.top, 0)
 """,
     "op9_kd_topk": """
 with v as (
