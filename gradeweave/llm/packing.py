@@ -5,9 +5,9 @@
    Each task numbers its pieces of each length. Ids are written once.
 2. Plan, from the counts of each length alone. There are at most ``cap``
    lengths, so the plan's work and size depend on ``cap`` and not on the
-   documents: lengths over ``small * cap`` are cut, longest first, into
-   ``groups`` groups of equal cardinality and rounded up to their group's
-   longest; configurations of these few sizes are optimised as a linear
+   documents: lengths over a share of ``cap`` are cut, longest first, into
+   groups of equal cardinality and rounded up to their group's longest; the
+   tightest of a few settings of share and groups is taken; configurations of these few sizes are optimised as a linear
    program by column generation (a knapsack prices a new configuration), and
    whole multiples are kept. Actual lengths take the configurations' places,
    longest first, which leaves more room than the rounded ones; all others go,
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gradeweave.llm import bpe
 from gradeweave.llm.common import arrow_map, new_dir, rows_by_bytes
 
-CAP, GROUPS, SMALL = 2048, 256, 1 / 3
+CAP = 2048
+#: Groups, and the share of ``cap`` over which lengths are grouped: many sizes of two or three a sequence, or few of up to seven.
+SETTINGS = ((256, 1 / 3), (48, 1 / 8))
 
 
 class Run(NamedTuple):
@@ -121,8 +123,12 @@ def grouped(counts: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
     return out
 
 
-def plan(counts: Mapping[int, int], cap: int = CAP, groups: int = GROUPS, small: float = SMALL) -> tuple[list[Run], int]:
-    """Runs that place ``counts[length]`` pieces of each length, and the number of sequences."""
+def plan(counts: Mapping[int, int], cap: int = CAP, settings: Sequence[tuple[int, float]] = SETTINGS) -> tuple[list[Run], int]:
+    """Runs that place ``counts[length]`` pieces of each length, and the number of sequences: the tightest that a setting gives."""
+    return min((_plan(counts, cap, *s) for s in settings), key=lambda p: p[1])
+
+
+def _plan(counts: Mapping[int, int], cap: int, groups: int, small: float) -> tuple[list[Run], int]:
     runs, used, sequences = [], dict.fromkeys(counts, 0), 0
     if counts.get(cap):
         runs.append(Run(cap, 0, 0, 1, 0))
@@ -228,12 +234,12 @@ def pieces(df: DataFrame, tokenizer_path: str, cap: int = CAP, key: str = "doc_i
     return spark.read.schema(schema).parquet(path)
 
 
-def placed(cut: DataFrame, cap: int = CAP, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
+def placed(cut: DataFrame, cap: int = CAP, settings: Sequence[tuple[int, float]] = SETTINGS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` in place of task and number."""
     spark = cut.sparkSession
     counts = cut.groupBy("task", "length").agg(F.count("*").alias("many"))
     found = dict(tuple(r) for r in counts.groupBy("length").agg(F.sum("many")).collect())  # a row a length: at most ``cap``
-    runs, _ = plan(found, cap, groups, small)
+    runs, _ = plan(found, cap, settings)
     table = np.array(sorted(runs), np.int64).reshape(-1, len(Run._fields))
     shared = spark.sparkContext.broadcast(table)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
