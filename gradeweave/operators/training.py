@@ -1,99 +1,16 @@
-"""Training-side rows and arithmetic: packing, padding, weights, losses, steps."""
+"""Training-side rows and arithmetic: padding, weights, losses, steps."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gradeweave.functions.scalar import IGNORED_LABEL, SCORES, logsumexp, ratio
 
 
-def pack_assignment(rows: DataFrame, cap: int, order: str = "example_id", length: str = "length", chunks: int | None = None) -> DataFrame:
-    """Next-fit packs in row order: (order, pack_id); rows over the cap leave.
-
-    The fold depends on order, yet runs in ranges side by side: a range that
-    knows how full its first pack already is folds alone. At first each range
-    begins with an empty pack; ranges then fold again from where the one before
-    ended, until no end changes. A new pack soon begins at the same row
-    whatever came before, so two rounds are the rule. Only keys and lengths are
-    folded, and the packs are those of one fold over all rows.
-    """
-    spark = rows.sparkSession
-    slim = rows.select(order, F.col(length).cast("int").alias("__n")).where(F.col("__n") <= cap).persist()
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(slim, order, chunks)
-    ranged = slim.withColumn("__range", cuts).repartition(chunks, "__range").sortWithinPartitions("__range", order, "__n")
-    entry: dict[int, int] = {}  # how full the pack is that a range goes on with
-    while True:
-        now = {r[0]: (r.packs, r.used) for r in ranged.mapInArrow(_fold(cap, entry, None), "range int, packs bigint, used int").collect()}  # a row a range
-        found = sorted(now)
-        ends = {k: now[before][1] for before, k in zip(found, found[1:])}
-        if ends == entry:
-            break
-        entry = ends
-    base, total = {}, -1
-    for k in found:
-        base[k], total = total, total + now[k][0]
-    schema = slim.select(order).schema.add("pack_id", "long")
-    return ranged.mapInArrow(_fold(cap, entry, base), schema)
-
-
-def _cuts(slim: DataFrame, order: str, chunks: int) -> Column:
-    """The range of a row, by cuts at about even ranks; keys that aren't numbers are cut by a sample of themselves."""
-    if chunks < 2:
-        return F.lit(0)
-    at = [i / chunks for i in range(1, chunks)]
-    kind = slim.schema[order].dataType
-    if isinstance(kind, T.NumericType):
-        found = slim.agg(F.percentile_approx(order, at, 10_000)).first()[0] or []
-    else:
-        some = sorted(r[0] for r in slim.where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(1000 * 10).select(order).distinct().collect())
-        found = [some[int(len(some) * x)] for x in at] if some else []
-    marks = sorted(set(found))
-    if not marks:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(m).cast(kind) for m in marks)), lambda m: m <= F.col(order))), F.lit(0))
-
-
-def _fold(cap: int, entry: dict[int, int], base: dict[int, int] | None):
-    """Per range: its packs begun and how full the last is, or with ``base`` each row's pack."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, begun, used = None, 0, None
-        ends = []
-        for batch in batches:
-            out = []
-            for k, n in zip(batch.column("__range").to_pylist(), batch.column("__n").to_pylist()):
-                if k != now:
-                    if now is not None:
-                        ends.append((now, begun, used))
-                    now, begun, used = k, 0, entry.get(k)
-                if used is None or used + n > cap:
-                    begun, used = begun + 1, 0
-                used += n
-                out.append(base[k] + begun if base is not None else 0)
-            if base is not None:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=[batch.schema.names[0], "pack_id"])
-        if base is None and now is not None:
-            ends.append((now, begun, used))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ends), (pa.int32(), pa.int64(), pa.int32()))], names=["range", "packs", "used"])
-
-    return fold
-
-
-def packed(rows: DataFrame, cap: int, order: str = "example_id", chunks: int | None = None) -> DataFrame:
-    """pack_id, input_ids, attention_mask, labels, length: a pack's rows end to end, in order."""
-    assigned = pack_assignment(rows, cap, order, chunks=chunks)
-    parts = rows.join(assigned, order).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct(order, "input_ids", "attention_mask", "labels"))).alias("rows"))
-    out = parts.select("pack_id", *(F.flatten(F.col(f"rows.{c}")).alias(c) for c in ("input_ids", "attention_mask", "labels")))
-    return out.withColumn("length", F.size("input_ids"))
-
-
 def padded(rows: DataFrame, batch_size: int, pad_id: int = 0, order: str = "example_id", labels_are_rows: bool = True) -> DataFrame:
     """Rows right-padded to the longest of their batch; a batch is a run of ``batch_size`` rows by a dense ``order``."""
     batch = F.floor(F.col(order) / batch_size)

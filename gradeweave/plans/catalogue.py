@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.functions.scalar import IGNORED_LABEL, length_bucket
-from gradeweave.operators import filters, metrics, scoring, splits, tokens, training
+from gradeweave.operators import filters, metrics, packs, scoring, splits, tokens, training
 from gradeweave.operators.filters import DISTRIBUTION_COLUMNS
 from gradeweave.plans import views as V
 
@@ -368,12 +368,12 @@ def _tokenised(spark, sf_dir):
 @query(RS + _PACK + "select o.example_id, pk.pack_id from pk join o on o.rn = pk.rn")
 def pack_assignment(spark, sf_dir):
     rows = V.kept(spark, sf_dir).select(_ID, F.col("sequence_length").cast("int").alias("length"))
-    return training.pack_assignment(rows, 3072)
+    return packs.pack_assignment(rows, 3072)
 
 
 @query(RS + _PACK + "select pk.pack_id, cast(sum(o.len) as integer) as length, count(*) as supervised from pk join o on o.rn = pk.rn group by pk.pack_id")
 def packed_rows(spark, sf_dir):
-    p = training.packed(_tokenised(spark, sf_dir), 3072)
+    p = packs.packed(_tokenised(spark, sf_dir), 3072)
     return p.select("pack_id", "length", F.size(F.filter("labels", lambda x: x != IGNORED_LABEL)).cast("long").alias("supervised"))
 
 

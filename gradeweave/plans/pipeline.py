@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.functions.digests import stable_json_hash
 from gradeweave.functions.scalar import length_bucket
-from gradeweave.operators import filters, metrics, scoring, splits, targets, tokens, training
+from gradeweave.operators import filters, metrics, packs, scoring, splits, targets, tokens, training
 from gradeweave.plans import config as C
 from gradeweave.plans import trainer
 from gradeweave.plans.runtime import git_commit, package_versions, world_size
@@ -102,7 +102,7 @@ def token_table(spark: SparkSession, config: dict, name: str, tokenizer=None) ->
 
     def made() -> DataFrame:
         out = tokens.token_rows(rows, system, tr["objective"], tr["max_seq_length"], config["data"]["filters"]["on_sequence_overflow"], tokenizer)
-        return training.packed(out, tr["max_seq_length"]) if tr["packing"] else out
+        return packs.packed(out, tr["max_seq_length"]) if tr["packing"] else out
 
     if tr["cache_tokenized_datasets"] and tables.exists(spark, f"{path}/_SUCCESS"):
         try:

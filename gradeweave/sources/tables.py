@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,20 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its partitions and their order kept in ``spark.checkpoint.dir``, which executors share.
+
+    Where that is unset, a session on one machine gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='gradeweave-')}")
+    return df.checkpoint()
+
+
 def listing(spark: SparkSession, path: str) -> list[list]:
     """[path, bytes, time] of each file below a path: names alone, no content is read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

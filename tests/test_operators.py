@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeweave.functions.digests import stable_json_hash
 from gradeweave.functions.scalar import class_id, clean_text, length_bucket, safe_name, score_of_class, score_of_metric_label
 from gradeweave.functions.text import messages, plain_template, prompt, prompt_overhead, user_message
-from gradeweave.operators import filters, metrics, scoring, splits, targets, tokens, training
+from gradeweave.operators import filters, metrics, packs, scoring, splits, targets, tokens, training
 
 COLUMNS = {"question": "question", "reference_answer": "ground_truth", "response": "response", "judge_1_score": "score_a", "judge_2_score": "score_b", "model_id": "model_id", "benchmark": "benchmark", "task": "task", "example_id": "instance_id"}
 RAW = [("q1", "a1", "r1", 5, 4, "m1", "b", "t1", "i1"), ("q2", "a2", "r2", 2, 2, "m2", "b", "t2", "i2"), ("q3", "a3", "r3", 3, 4, "m3", "c", "t3", "i3")]
@@ -299,12 +299,12 @@ def test_records(spark):
 
 def test_packing(spark):
     rows = spark.createDataFrame([(0, [1, 2, 3], [1, 1, 1], [-100, -100, 3], 3), (1, [4, 5], [1, 1], [-100, 5], 2)], "example_id int, input_ids array<int>, attention_mask array<int>, labels array<int>, length int")
-    p = training.packed(rows, 10).collect()
+    p = packs.packed(rows, 10).collect()
     assert len(p) == 1 and p[0].input_ids == [1, 2, 3, 4, 5] and [x for x in p[0].labels if x != -100] == [3, 5]
     lens = spark.createDataFrame(list(enumerate([3, 2, 6, 5, 5, 9, 1])), "example_id int, length int")
-    assert [r.pack_id for r in training.pack_assignment(lens.repartition(3), 10).orderBy("example_id").collect()] == [0, 0, 1, 2, 2, 3, 3]
-    assert training.pack_assignment(lens, 4).count() == 3
-    chunked = training.pack_assignment(lens, 10, chunks=2).groupBy("pack_id").agg(F.count("*").alias("n"))
+    assert [r.pack_id for r in packs.pack_assignment(lens.repartition(3), 10).orderBy("example_id").collect()] == [0, 0, 1, 2, 2, 3, 3]
+    assert packs.pack_assignment(lens, 4).count() == 3
+    chunked = packs.pack_assignment(lens, 10, chunks=2).groupBy("pack_id").agg(F.count("*").alias("n"))
     assert chunked.agg(F.sum("n")).first()[0] == 7
     w = training.padded(rows, 2).orderBy("example_id").collect()
     assert w[1].input_ids == [4, 5, 0] and w[1].labels == [-100, 5, -100] and w[1].attention_mask == [1, 1, 0]
@@ -489,9 +489,9 @@ def test_packs_of_ranges_are_those_of_one_fold(spark, chunks):
             want[i] = pack
     for kind in ("bigint", "string"):
         given = spark.createDataFrame([(i if kind == "bigint" else f"{i:04d}", n) for i, n in rows], f"example_id {kind}, length int")
-        got = {int(r.example_id): r.pack_id for r in training.pack_assignment(given, 100, chunks=chunks).collect()}
+        got = {int(r.example_id): r.pack_id for r in packs.pack_assignment(given, 100, chunks=chunks).collect()}
         assert got == want
-    assert training.pack_assignment(given.limit(0), 100, chunks=chunks).count() == 0
+    assert packs.pack_assignment(given.limit(0), 100, chunks=chunks).count() == 0
 
 
 def test_samples_are_the_first_by_hash(spark):
