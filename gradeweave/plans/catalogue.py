@@ -451,7 +451,7 @@ def confusion_binary(spark, sf_dir):
 
 def _overall(name: str, names) -> None:
     def run(spark, sf_dir):
-        return _rounded(metrics.all_metrics(V.predictions(spark, sf_dir)), names)
+        return _rounded(metrics.all_metrics(V.predictions(spark, sf_dir), calibrated=bool({*names} & {*CALIBRATION})), names)
 
     run.__name__ = name
     query(PR + f"select {_pick(names)} from p")(run)

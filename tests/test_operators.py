@@ -465,8 +465,8 @@ def test_percentiles_are_exact(spark):
     values = [("a", rng.random()) for _ in range(500)] + [("b", 0.25)] * 40 + [("b", 1.0), (None, 0.5), (None, 0.75), ("c", None)]
     df = spark.createDataFrame(values, "g string, x double")
     wanted = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    for fine in (1, 7, 1 << 16):
-        got = {r.g: r for r in metrics.percentiles(df, ["g"], "x", wanted, fine).collect()}
+    for slots, most in ((1, 1000), (7, 1000), (7, 3), (2, 1), (1 << 16, 10)):
+        got = {r.g: r for r in metrics.percentiles(df, ["g"], "x", wanted, slots, most).collect()}
         assert set(got) == {"a", "b", None}
         for g, r in got.items():
             x = [v for k, v in values if k == g and v is not None]
@@ -506,3 +506,33 @@ def test_samples_are_the_first_by_hash(spark):
     got = [r.example_id for r in splits.stratified_subset(df, 90, ["g"], 5).collect()]
     want = [k for r in q.collect() for k in [x for x in first if x % 3 == r.g][: r.quota]]
     assert sorted(got) == sorted(want) and len(got) == 90
+
+
+def test_percentiles_of_values_that_crowd(spark):
+    import numpy as np
+
+    # all in one slot, some equal, as confidences of a sure model are
+    x = [1 - (i % 3000) * 2.0**-50 for i in range(9000)] + [1.0] * 4000 + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in x], "x double").repartition(4)
+    wanted = {"p1": 0.01, "p50": 0.5, "p90": 0.9}
+    tasks = []
+    met = metrics._met
+    metrics._met = lambda rows, bins, keys, many: (tasks.append(bins.agg(F.min("__c"), F.max("__c")).first()[:]), met(rows, bins, keys, many))[1]
+    try:
+        got = metrics.percentiles(df, [], "x", wanted, 64, 100).collect()
+    finally:
+        metrics._met = met
+    assert len(got) == 1
+    for name, p in wanted.items():
+        assert got[0][name] == np.percentile([v for v in x if v is not None and v == v], 100 * p)
+    most = [t[1] for t in tasks]
+    assert most[0] == 13000 and len(most) > 1 and most == sorted(most, reverse=True) and most[-1] < 5000  # the crowded slot came apart; one value makes up the rest
+    assert metrics.percentiles(df.limit(0), [], "x", wanted).count() == 0
+
+
+def test_metrics_compile_and_read_rows_once(spark):
+    rows = spark.range(500).selectExpr("cast(id % 5 + 1 as int) as target_score", "cast((id * 3) % 5 + 1 as int) as pred_score", "cast(id % 2 as string) as g", "0.5D as confidence", "id / 500D as score_margin", "0.1D as score_entropy", "0.5D as prob_1")
+    plan = metrics.all_metrics(rows, calibrated=False)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("Range (") == 1 and "count_if" not in physical
+    assert {r.group_g: r.confidence_p50 for r in metrics.grouped_metrics(rows, "g").collect()} == {"0": 0.5, "1": 0.5}
