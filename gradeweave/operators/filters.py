@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gradeweave.functions.scalar import percent
@@ -42,6 +42,22 @@ def sequence_filter(df: DataFrame, max_seq_length: int, on_overflow: str = "skip
     return df.where(F.col("sequence_length") <= max_seq_length)
 
 
+def observed(df: DataFrame, observation: Observation, max_disagreement: float | None, max_response_tokens: int | None, max_seq_length: int | None) -> DataFrame:
+    """Add ``stage``; the funnel's counts come with whatever action reads the rows."""
+    s = F.col("stage")
+    named = ((1, "after_disagreement"), (2, "after_response_length"), (3, "after_sequence_length"))
+    return df.withColumn("stage", stage_col(max_disagreement, max_response_tokens, max_seq_length)).observe(observation, F.count(F.lit(1)).alias("raw"), *(F.count_if(s >= k).alias(n) for k, n in named))
+
+
+def funnel_of(counts: dict) -> dict:
+    """The funnel's row from observed counts."""
+    out, names = dict(counts), ("raw", "after_disagreement", "after_response_length", "after_sequence_length")
+    for before, after in zip(names, names[1:]):
+        gone, name = counts[before] - counts[after], after.removeprefix("after_")
+        out |= {f"removed_by_{name}": gone, f"removed_by_{name}_pct": round(100 * gone / counts[before], 6) if counts[before] else 0.0}
+    return out
+
+
 def funnel(df: DataFrame, max_disagreement: float | None, max_response_tokens: int | None, max_seq_length: int | None) -> DataFrame:
     """One row: rows left after each filter, and what each removed of those before it. One scan."""
     s = df.select(stage_col(max_disagreement, max_response_tokens, max_seq_length).alias("s"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeweave.functions.scalar import sample_rank
+from gradeweave.sources.tables import held
 
 SPLITS = ("train", "validation", "test")
 
@@ -59,6 +59,52 @@ def held_out_split(df: DataFrame, model: str, fraction: float = 0.05, most: int
     return df.withColumn("split", F.when(~pool, "test").when(inside, "validation").otherwise("train"))
 
 
+def fold_cuts(df: DataFrame, fraction: float = 0.05, most: int | None = None, seed: int = 42, key: str = "example_id") -> DataFrame:
+    """For every model held out: model_id, test, pool, validation, and rank and key of the last row of its validation sample.
+
+    What ``held_out_split`` finds for one model, for all in one plan: counts by
+    model and prefix of the hash give, for each model, the rows of the others
+    before a prefix; the prefix at which they reach the sample's size holds its
+    last row, and only rows of such prefixes are put in order.
+    """
+    rank = sample_rank(F.col(key), seed)
+    rows = df.select("model_id", rank.alias("rank"), F.col(key).alias("key")).withColumn("p", F.conv(F.substring("rank", 1, PREFIX), 16, 10).cast("int"))
+    counts = held(rows.groupBy("model_id", "p").agg(F.count("*").alias("own")))
+    sizes = all_folds_report(counts, fraction, most, F.sum("own")).where("pool > 0").select("model_id", "test", "pool", "validation")
+    upto = lambda *by: Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = counts.groupBy("p").agg(F.sum("own").alias("all")).withColumn("upto_all", F.sum("all").over(upto()))  # 65,536 rows at most
+    grid = sizes.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(16**PREFIX - 1)))).join(every.select("p", "all", "upto_all"), "p").join(counts, ["model_id", "p"], "left")
+    grid = grid.withColumn("others", F.col("upto_all") - F.sum(F.coalesce("own", F.lit(0))).over(upto("model_id")))
+    before = F.col("others") - (F.col("all") - F.coalesce("own", F.lit(0)))
+    at = grid.where((F.col("others") >= F.col("validation")) & (before < F.col("validation"))).select(F.col("model_id").alias("fold"), "test", "pool", "validation", F.col("p").alias("q"), (F.col("validation") - before).alias("wanted"))
+    met = rows.join(at, (F.col("p") == F.col("q")) & ~F.col("model_id").eqNullSafe(F.col("fold")))
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy("rank", "key")))
+    return placed.where("place = wanted").select(F.col("fold").alias("model_id"), "test", "pool", "validation", "rank", "key")
+
+
+def fold_of(df: DataFrame, model: str, last, seed: int = 42, key: str = "example_id") -> DataFrame:
+    """Add ``split`` of one fold: an expression over rows that all folds share."""
+    inside = _up_to(last, seed, key)
+    return df.withColumn("split", F.when(F.col("model_id").eqNullSafe(F.lit(model)), "test").when(inside, "validation").otherwise("train"))
+
+
+def fold_counts(df: DataFrame, cuts: Sequence, seed: int = 42, key: str = "example_id") -> DataFrame:
+    """(fold, model_id, train, validation) rows of each other model in each fold of ``fold_cuts``; one pass.
+
+    A row counts once, by its model and how many of the sorted cuts stand
+    before it.
+    """
+    order = sorted(cuts, key=lambda c: (c.rank, c.key))
+    kind = df.schema[key].dataType
+    marks = F.array(*(F.struct(F.lit(c.rank).alias("r"), F.lit(c.key).cast(kind).alias("k")) for c in order))
+    me = F.struct(sample_rank(F.col(key), seed).alias("r"), F.col(key).alias("k"))
+    counts = df.select("model_id", F.size(F.filter(marks, lambda m: m < me)).alias("past")).groupBy("model_id", "past").agg(F.count("*").alias("n"))
+    folds = F.array(*(F.struct(F.lit(c.model_id).alias("fold"), F.lit(i).alias("at")) for i, c in enumerate(order)))
+    each = counts.select("model_id", "past", "n", F.inline(folds)).where(~F.col("model_id").eqNullSafe(F.col("fold")))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return each.groupBy("fold", "model_id").agg(n(F.col("past") > F.col("at")).alias("train"), n(F.col("past") <= F.col("at")).alias("validation"))
+
+
 #: Characters of the hash by which rows are counted before any is put in order.
 PREFIX = 4
 
@@ -128,9 +174,9 @@ def finalist_union(df: DataFrame) -> DataFrame:
     return out
 
 
-def all_folds_report(df: DataFrame, fraction: float = 0.05, most: int | None = None) -> DataFrame:
-    """Per held-out model, rows of each split of its fold: one aggregate for all folds."""
-    counts = df.groupBy("model_id").agg(F.count("*").alias("n"))
+def all_folds_report(df: DataFrame, fraction: float = 0.05, most: int | None = None, count: Column | None = None) -> DataFrame:
+    """Per held-out model, rows of each split of its fold: one aggregate for all folds. ``count`` sums rows that are counts themselves."""
+    counts = df.groupBy("model_id").agg((F.count("*") if count is None else count).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row a model
     pool = F.col("all") - F.col("n")
     wanted = F.greatest(F.lit(1.0), F.bround(pool * F.lit(float(fraction)), 0))
@@ -140,31 +186,52 @@ def all_folds_report(df: DataFrame, fraction: float = 0.05, most: int | None = N
     return out.withColumn("train", F.col("pool") - F.col("validation"))
 
 
-def quotas(sizes: Mapping[tuple, int], k: int) -> dict[tuple, int]:
-    """Rows to draw from each stratum: floors of the ideal, one at least, then repaired to k where that can be."""
-    order = sorted(sizes, key=lambda key: [(x is None, str(type(x)), x if x is not None else 0) for x in key])
-    total = sum(sizes.values())
-    ideal = {s: sizes[s] / total * k for s in order}
-    draw = {s: min(sizes[s], max(math.floor(ideal[s]), 1 if sizes[s] else 0)) for s in order}
-    while sum(draw.values()) > k:
-        rest = [s for s in order if draw[s] > 1]
-        if not rest:
-            break
-        draw[max(rest, key=lambda s: draw[s] - ideal[s])] -= 1
-    while sum(draw.values()) < k:
-        rest = [s for s in order if draw[s] < sizes[s]]
-        if not rest:
-            break
-        draw[max(rest, key=lambda s: ideal[s] - draw[s])] += 1
-    return draw
-
-
 def stratified_quotas(df: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
-    """The strata with size and quota: a row a stratum goes through the driver."""
-    sizes = {tuple(r[c] for c in columns): r["__n"] for r in df.groupBy(*columns).agg(F.count("*").alias("__n")).collect()}
-    draw = quotas(sizes, k)
-    schema = df.select(*columns).schema.add("size", "long").add("quota", "long")
-    return df.sparkSession.createDataFrame([(*s, sizes[s], draw[s]) for s in draw], schema)
+    """The strata with size and quota: floors of the ideal shares of ``k``, one at least, then repaired to ``k`` where that can be.
+
+    Too few are mended by one more for the strata that stand furthest below
+    their ideal: fewer than there are strata with a fraction. Too many, as
+    small strata were raised to one, are mended by rounds of one less for all
+    that have more than one; how many whole rounds fit is searched by sums over
+    the strata, and in the last one those furthest above their ideal come
+    first. Ties go by the columns, nulls last. Strata meet in one task for a
+    rank, as a row each; none goes through the driver.
+    """
+    strata = held(df.groupBy(*columns).agg(F.count("*").alias("size")))
+    total = strata.agg(F.sum("size")).first()[0] or 0
+    if not total:
+        return strata.withColumn("quota", F.lit(0).cast("long"))
+    ideal = F.col("size") / F.lit(float(total)) * F.lit(float(k))
+    strata = strata.withColumn("__ideal", ideal).withColumn("__draw", F.least("size", F.greatest(F.floor("__ideal"), F.lit(1))))
+    drawn = strata.agg(F.sum("__draw")).first()[0]
+    rounds, left = 0, k - drawn
+    if drawn > k:
+        rounds, left = _whole_rounds(strata, drawn - k)
+    draw = F.greatest(F.lit(1), F.col("__draw") - rounds) if drawn > k else F.col("__draw")
+    strata = strata.withColumn("__draw", draw)
+    more = drawn <= k
+    may = (F.col("__draw") < F.col("size")) if more else (F.col("__draw") > 1)
+    gap = (F.col("__ideal") - F.col("__draw")) * (1 if more else -1)
+    first = Window.partitionBy("__may").orderBy(F.desc("__gap"), *(F.col(c).asc_nulls_last() for c in columns))
+    ranked = strata.withColumns({"__may": may, "__gap": gap}).withColumn("__at", F.row_number().over(first))
+    step = F.when(F.col("__may") & (F.col("__at") <= left), 1 if more else -1).otherwise(0)
+    return ranked.select(*columns, "size", (F.col("__draw") + step).cast("long").alias("quota"))
+
+
+def _whole_rounds(strata: DataFrame, excess: int) -> tuple[int, int]:
+    """Most rounds of one less for every stratum that has more than one, within ``excess``, and what is left of it; no rest where none can give more."""
+    spare = F.col("__draw") - 1
+    most, every = strata.agg(F.max(spare), F.sum(spare)).first()
+    if every <= excess:
+        return most, 0
+    low, high, taken = 0, most, 0  # low rounds fit, high ones don't
+    while high - low > 1:
+        marks = sorted({low + (high - low) * i // 33 for i in range(1, 33)} - {low, high})
+        sums = strata.agg(*(F.sum(F.least(spare, F.lit(m))) for m in marks)).first()
+        fits = [(m, x) for m, x in zip(marks, sums) if x <= excess]
+        low, taken = fits[-1] if fits else (low, taken)
+        high = min([m for m, x in zip(marks, sums) if x > excess], default=high)
+    return low, excess - taken
 
 
 def stratified_subset(df: DataFrame, k: int, columns: Sequence[str], seed: int = 42, key: str = "example_id") -> DataFrame:

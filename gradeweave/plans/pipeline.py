@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.functions.digests import stable_json_hash
 from gradeweave.functions.scalar import length_bucket
 from gradeweave.operators import filters, metrics, packs, scoring, splits, targets, tokens, training
 from gradeweave.plans import config as C
-from gradeweave.plans import trainer
+from gradeweave.plans import gang, trainer
 from gradeweave.plans.runtime import git_commit, package_versions, world_size
 from gradeweave.sources import documents, tables
+from gradeweave.sources.reports import write_report
+from gradeweave.sources.tables import held
 
 GROUPS = {"model": "model_id", "benchmark": "benchmark", "task": "task", "target_score": "target_score", "response_length_bucket": "response_length_bucket"}
 
@@ -55,29 +59,29 @@ def split(df: DataFrame, config: dict) -> DataFrame:
     return splits.held_out_split(df, s["held_out_model"], s["lomo_validation_fraction"], s["lomo_validation_max_examples"], s["lomo_validation_seed"])
 
 
-def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = False, rows: DataFrame | None = None, files: list | None = None) -> DataFrame:
+def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = False) -> DataFrame:
     """The prepared rows with ``split``, from the folder if its fingerprint still holds.
 
-    ``rows`` and ``files``: measured rows of the same source and its listing,
-    where several folds share them.
+    The source is read once: rows that pass the filters are written aside, and
+    the funnel's counts are observed meanwhile. Splits, checks and reports read
+    those.
     """
     out, run = C.prepared_dir(config), C.run_dir(config)
     tokenizer = tokens.chat_tokenizer(tokenizer, config)
-    mark, now = os.path.join(run, "prepared_fingerprint.json"), fingerprint(spark, config, tokenizer, files)
-    if not force and documents.exists(mark) and tables.exists(spark, f"{out}/_SUCCESS") and documents.read_json(mark)["hash"] == now["hash"]:
-        return spark.read.parquet(out)
-    C.save_config(config, os.path.join(run, "config.yaml"))
-    documents.write_json(os.path.join(run, "score_tokenization_report.json"), tokens.validate_score_tokens(tokenizer or tokens.CodePoints(), list(map(str, config["inference"]["allowed_scores"]))))
-    f, most = config["data"]["filters"], config["training"]["max_seq_length"]
-    rows = measured(spark, config, tokenizer) if rows is None else rows
-    kept = filters.sequence_filter(filters.apply_filters(rows, f["max_disagreement"], f["max_response_tokens"]), most, f["on_sequence_overflow"])
+    mark, now = os.path.join(run, "prepared_fingerprint.json"), fingerprint(spark, config, tokenizer)
+    ready = tables.exists(spark, f"{out}/_SUCCESS") or tables.exists(spark, f"{out}/{tables.FOLD}")
+    if not force and documents.exists(mark) and ready and documents.read_json(mark)["hash"] == now["hash"]:
+        return tables.read_prepared(spark, out)
+    _settings(config, tokenizer)
+    aside = f"{run}/kept"
+    report = _kept(spark, config, tokenizer).write_to(aside)
+    kept = spark.read.parquet(aside).where("stage = 3").drop("stage")
     done = split(kept, config)
     splits.validate_no_leakage(done) if config["split"]["mode"] == "fixed_by_model" else splits.validate_held_out(done, config["split"]["held_out_model"])
     tables.write_splits(done, out)
+    tables.remove(spark, f"{out}/{tables.FOLD}")
+    tables.remove(spark, aside)
     stored = spark.read.parquet(out)
-    report = filters.funnel(rows, f["max_disagreement"], f["max_response_tokens"], most).first().asDict()
-    report["warnings"] = filters.length_warnings(most, f["max_response_tokens"])
-    report["sequence_overflow_reason"] = filters.overflow_reason(config["training"]["objective"])
     documents.write_json(os.path.join(run, "dataset_filtering_report.json"), report)
     documents.write_json(os.path.join(run, "length_statistics.json"), [r.asDict() for r in filters.length_statistics(stored).collect()])
     documents.write_json(os.path.join(run, "split_report.json"), [r.asDict() for r in splits.split_report(stored).collect()])
@@ -85,6 +89,33 @@ def prepare(spark: SparkSession, config: dict, tokenizer=None, force: bool = Fal
     return stored
 
 
+def _settings(config: dict, tokenizer) -> None:
+    """The run's configuration and its scores' tokens, as documents."""
+    run = C.run_dir(config)
+    C.save_config(config, os.path.join(run, "config.yaml"))
+    documents.write_json(os.path.join(run, "score_tokenization_report.json"), tokens.validate_score_tokens(tokenizer or tokens.CodePoints(), list(map(str, config["inference"]["allowed_scores"]))))
+
+
+class _kept:
+    """Measured rows with the stage they reach, and the funnel's report from the same pass."""
+
+    def __init__(self, spark: SparkSession, config: dict, tokenizer, everything: bool = False):
+        f, self.most = config["data"]["filters"], config["training"]["max_seq_length"]
+        if f["on_sequence_overflow"] not in ("skip", "error"):
+            raise ValueError(f"on_sequence_overflow: {f['on_sequence_overflow']}")
+        self.config, self.filters, self.seen = config, f, Observation("funnel")
+        rows = filters.observed(measured(spark, config, tokenizer), self.seen, f["max_disagreement"], f["max_response_tokens"], self.most)
+        self.rows = rows if everything else rows.where("stage = 3")
+
+    def write_to(self, path: str) -> dict:
+        self.rows.write.mode("overwrite").partitionBy("stage").parquet(path)
+        counts = self.seen.get
+        if self.filters["on_sequence_overflow"] == "error" and counts["after_response_length"] > counts["after_sequence_length"]:
+            tables.remove(self.rows.sparkSession, path)
+            raise ValueError(f"sequences are over max_seq_length {self.most}")
+        return filters.funnel_of(counts) | {"warnings": filters.length_warnings(self.most, self.filters["max_response_tokens"]), "sequence_overflow_reason": filters.overflow_reason(self.config["training"]["objective"])}
+
+
 def eval_rows(spark: SparkSession, config: dict) -> DataFrame:
     """The validation rows that training watches."""
     tr = config["training"]
@@ -138,6 +169,18 @@ def train_data(spark: SparkSession, config: dict, prepared: DataFrame, finalist:
     return arguments
 
 
+def train(spark: SparkSession, config: dict, prepared: DataFrame, trainer_function, ranks: int, finalist: bool = False, tokenizer=None) -> list[dict]:
+    """The data half, then the external trainer on ``ranks`` ranks of one barrier stage; each rank's result is kept with the run."""
+    train_data(spark, config, prepared, finalist, tokenizer)
+    names = [s for s in splits.SPLITS if finalist or s == "train"]
+    have = {r["split"] for r in prepared.select("split").distinct().collect()}
+    rows = functools.reduce(DataFrame.unionByName, [token_table(spark, config, s, tokenizer) for s in names if s in have])
+    out = gang.run(rows, ranks, trainer_function, config["training"]["per_device_train_batch_size"]).orderBy("rank")
+    found = [r.asDict() for r in out.collect()]  # a row a rank
+    documents.write_json(f"{C.run_dir(config)}/rank_results.json", found)
+    return found
+
+
 def predict(spark: SparkSession, config: dict, name: str, scorer, tokenizer=None) -> DataFrame:
     rows = tables.read_split(spark, C.prepared_dir(config), name)
     inf = config["inference"]
@@ -160,12 +203,12 @@ def evaluate(spark: SparkSession, config: dict, name: str, path: str | None = No
     documents.write_json(f"{run}/{name}_metrics.json", overall)
     for kind, labels in (("ordinal", [1, 2, 3, 4, 5]), ("binary", ["INCORRECT", "CORRECT"])):
         target, pred = ("target_score", "pred_score") if kind == "ordinal" else ("target_binary", "pred_binary")
-        _csv(metrics.confusion(p, target, pred, labels).orderBy("target"), f"{run}/confusion_matrix_{kind}_{name}.csv", f"{run}/confusion_matrix_{kind}.csv")
+        write_report(metrics.confusion(p, target, pred, labels).orderBy("target"), f"{run}/confusion_matrix_{kind}_{name}.csv", f"{run}/confusion_matrix_{kind}.csv")
     have = [c for c in GROUPS.values() if c in p.columns]
     grouped = metrics.metrics_by(p, have, threshold).cache()
     for g, c in GROUPS.items():
         if c in have:
-            _csv(grouped.where(F.col("dimension") == c).drop("dimension").orderBy(F.asc_nulls_last("value")), f"{run}/{name}_per_{g}_metrics.csv", f"{run}/per_{g}_metrics.csv")
+            write_report(grouped.where(F.col("dimension") == c).drop("dimension").orderBy(F.asc_nulls_last("value")), f"{run}/{name}_per_{g}_metrics.csv", f"{run}/per_{g}_metrics.csv")
     grouped.unpersist()
     train, rows = (tables.read_split(spark, C.prepared_dir(config), s) for s in ("train", name))
     documents.write_json(f"{run}/majority_baseline_{name}.json", metrics.majority_binary(train, rows, threshold).first().asDict())
@@ -173,37 +216,47 @@ def evaluate(spark: SparkSession, config: dict, name: str, path: str | None = No
     return overall
 
 
-def _csv(df: DataFrame, *paths: str) -> None:
-    """A report table: a row a label or group."""
-    text = df.toPandas().to_csv(index=False)
-    for p in paths:
-        documents.write_text(p, text)
-
-
 def held_out_folds(spark: SparkSession, config: dict, tokenizer=None, scorer=None) -> list[dict]:
     """Prepare every model's fold in a folder of its own and, with a scorer, predict and evaluate its test.
 
-    The folds share one table of measured rows. A fold that can't be made, as
-    its model's rows were filtered away, is reported with its error.
+    All folds are views of one table of measured rows: their cuts and their
+    splits' counts come from a fixed number of jobs, whatever the models, and
+    no row is copied. A fold that can't be made, as its model's rows were
+    filtered away, is reported with its error.
     """
     tokenizer = tokens.chat_tokenizer(tokenizer, config)
-    shared = f"{C.run_dir(config)}/lomo/measured"
-    measured(spark, config, tokenizer).write.mode("overwrite").parquet(shared)
-    rows, files, out = spark.read.parquet(shared), tables.listing(spark, config["data"]["path"]), []
+    shared, s = f"{C.run_dir(config)}/lomo/measured", config["split"]
+    funnel = _kept(spark, config, tokenizer, everything=True).write_to(shared)
+    files = tables.listing(spark, config["data"]["path"])
+    rows = spark.read.parquet(shared)
+    kept = held(rows.where("stage = 3").select("model_id", "example_id"))
+    cuts = splits.fold_cuts(kept, s["lomo_validation_fraction"], s["lomo_validation_max_examples"], s["lomo_validation_seed"]).collect()  # a row a model
+    parts = {}
+    for r in splits.fold_counts(kept, cuts, s["lomo_validation_seed"]).collect() if cuts else []:  # a row a pair of models, as the reports have
+        parts.setdefault(r.fold, []).append(r)
+    lengths = [r.asDict() for r in filters.length_statistics(rows.where("stage = 3")).collect()]
+    found, out = {c.model_id: c for c in cuts}, []
     for model in splits.models_of(rows):
         c = C.copy_config(config)
         c["split"] |= {"mode": "leave_one_model_out", "held_out_model": model}
         c["project"]["output_dir"] = f"{C.run_dir(config)}/lomo/{model.replace('/', '_').replace(' ', '_')}"
         c["data"]["prepared_dir"] = None
-        fold = {"model": model, "output_dir": c["project"]["output_dir"], "error": None}
-        try:
-            prepare(spark, c, tokenizer, rows=rows, files=files)
-            if scorer is not None:
-                predict(spark, c, "test", scorer, tokenizer)
-                fold["metrics"] = evaluate(spark, c, "test")
-        except ValueError as e:
-            fold["error"] = str(e)
+        run, cut = C.run_dir(c), found.get(model)
+        fold = {"model": model, "output_dir": run, "error": None if cut else f"nothing to train on, or no rows of {model}"}
         out.append(fold)
+        if not cut:
+            continue
+        _settings(c, tokenizer)
+        tables.remove(spark, C.prepared_dir(c))
+        documents.write_json(f"{C.prepared_dir(c)}/{tables.FOLD}", {"shared": shared, "model": model, "rank": cut.rank, "key": cut.key, "seed": s["lomo_validation_seed"]})
+        report = {"test": (cut.test, [model]), **{name: (sum(p[name] for p in parts[model]), sorted(p.model_id for p in parts[model] if p[name] and p.model_id is not None)) for name in ("train", "validation")}}
+        documents.write_json(f"{run}/split_report.json", [{"split": n, "examples": report[n][0], "models": json.dumps(report[n][1], separators=(",", ":")), "num_models": len(report[n][1])} for n in splits.SPLITS])
+        documents.write_json(f"{run}/dataset_filtering_report.json", funnel)
+        documents.write_json(f"{run}/length_statistics.json", lengths)
+        documents.write_json(f"{run}/prepared_fingerprint.json", fingerprint(spark, c, tokenizer, files))
+        if scorer is not None:
+            predict(spark, c, "test", scorer, tokenizer)
+            fold["metrics"] = evaluate(spark, c, "test")
     return out
 
 

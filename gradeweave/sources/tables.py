@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from gradeweave.sources import documents
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in any file system that Spark knows."""
@@ -56,11 +58,31 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+#: In a prepared folder without rows of its own: the shared rows it is a view of, and by which rule.
+FOLD = "fold.json"
+
+
+def read_prepared(spark: SparkSession, path: str) -> DataFrame:
+    """Prepared rows with ``split``: a folder's own, or a fold's view of rows that folds share."""
+    if not exists(spark, f"{path}/{FOLD}"):
+        return spark.read.parquet(path)
+    from gradeweave.operators.splits import fold_of
+
+    rule = documents.read_json(f"{path}/{FOLD}")
+    shared = spark.read.parquet(rule["shared"]).where("stage = 3").drop("stage")
+    return fold_of(shared, rule["model"], Row(rank=rule["rank"], key=rule["key"]), rule["seed"])
+
+
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One split: only its folder is read. An empty split has none."""
     if not exists(spark, path):
         raise FileNotFoundError(f"{path}: run prepare first")
-    return spark.read.parquet(path).where(F.col("split") == split)
+    return read_prepared(spark, path).where(F.col("split") == split)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

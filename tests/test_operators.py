@@ -201,10 +201,50 @@ def test_finalist_union(rows):
         splits.finalist_union(splits.fixed_split(rows, ["m2"]).limit(0))
 
 
-def test_quotas():
-    assert list(splits.quotas({("a",): 7, ("b",): 2, ("c",): 1}, 3).values()) == [1, 1, 1]
-    assert sum(splits.quotas({("a",): 7, ("b",): 2, ("c",): 1}, 2).values()) == 3
-    assert sum(splits.quotas({(None,): 7, ("b",): 6}, 5).values()) == 5
+def plain_quotas(sizes, k):
+    """One row at a time, from the floors: to the stratum furthest below its ideal, or from the one furthest above that has two."""
+    total = sum(sizes.values())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    ideal = {s: sizes[s] / total * k for s in order}
+    have = {s: min(sizes[s], max(1, int(ideal[s]))) for s in order}
+    while (off := k - sum(have.values())) != 0:
+        able = [s for s in order if (have[s] < sizes[s] if off > 0 else have[s] > 1)]
+        if not able:
+            break
+        s = max(able, key=lambda s: (ideal[s] - have[s]) * (1 if off > 0 else -1))
+        have[s] += 1 if off > 0 else -1
+    return have
+
+
+def test_quotas_equal_repair_one_by_one(spark):
+    import random
+
+    rng = random.Random(8)
+    cases = [({"a": 7, "b": 2, "c": 1}, 3), ({"a": 7, "b": 2, "c": 1}, 2), ({None: 7, "b": 6}, 5), ({f"s{i:03d}": 1 for i in range(120)} | {"big": 300, "mid": 40}, 130), ({f"s{i:03d}": 1 for i in range(90)} | {"big": 900, "big2": 880}, 150)]
+    cases += [({f"g{i:02d}": rng.choice([1, 1, 2, 5, 30]) for i in range(rng.randint(1, 40))}, rng.randint(1, 60)) for _ in range(4)]
+    for sizes, k in cases:
+        df = spark.createDataFrame([(s,) for s, n in sizes.items() for _ in range(n)], "g string")
+        got = {r.g: (r.size, r.quota) for r in splits.stratified_quotas(df, min(k, sum(sizes.values())), ["g"]).collect()}
+        assert got == {s: (sizes[s], q) for s, q in plain_quotas(sizes, min(k, sum(sizes.values()))).items()}
+    assert splits.stratified_quotas(df.limit(0), 3, ["g"]).count() == 0
+
+
+def test_fold_cuts_are_those_of_single_folds(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)] + [(1000, "rare")]
+    df = spark.createDataFrame(rows, "example_id bigint, model_id string")
+    cuts = splits.fold_cuts(df, 0.1, 40, 3).collect()
+    assert sorted(c.model_id for c in cuts) == ["a", "b", "c", "rare"]
+    counts = {(r.fold, r.model_id): (r.train, r.validation) for r in splits.fold_counts(df, cuts, 3).collect()}
+    for c in cuts:
+        want = {r.example_id: r.split for r in splits.held_out_split(df, c.model_id, 0.1, 40, 3).collect()}
+        got = {r.example_id: r.split for r in splits.fold_of(df, c.model_id, c, 3).collect()}
+        assert got == want and c.validation == sum(s == "validation" for s in got.values()) and c.test == sum(s == "test" for s in got.values())
+        for m in {m for _, m in rows} - {c.model_id}:
+            assert counts[c.model_id, m] == tuple(sum(got[i] == s for i, x in rows if x == m) for s in ("train", "validation"))
+    assert splits.fold_cuts(df.where("model_id = 'b'"), 0.1).collect() == []
 
 
 def test_stratified_subset(spark):

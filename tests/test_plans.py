@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeweave.plans import config as C
 from gradeweave.plans import pipeline
@@ -319,3 +320,84 @@ def test_held_out_folds_predict_and_evaluate(spark, source):
     tmp, path = source
     folds = pipeline.held_out_folds(spark, settings(tmp, path), scorer=make_scorer)
     assert all(f["metrics"]["num_examples"] == 1 for f in folds)
+
+
+def test_prepare_reads_its_source_once(spark, source):
+    tmp, path = source
+    c = settings(tmp, path)
+    reads, read = [], tables.read_source
+    tables.read_source = lambda *a: (reads.append(1), read(*a).withColumn("instance_id", F.udf(lambda x: (open(f"{tmp}/seen", "a").write("x"), x)[1])("instance_id")))[1]
+    try:
+        pipeline.prepare(spark, c)
+    finally:
+        tables.read_source = read
+    assert len(open(f"{tmp}/seen").read()) == len(RAW) and reads == [1]  # each source row was computed once
+    report = documents.read_json(f"{tmp}/run/dataset_filtering_report.json")
+    assert report["raw"] == len(RAW) and report["after_sequence_length"] == 3 and not os.path.exists(f"{tmp}/run/kept")
+
+
+def test_folds_share_rows_and_jobs(spark, tmp_path):
+    schema = "question string, ground_truth string, response string, score_a int, score_b int, model_id string, benchmark string, task string, instance_id string"
+
+    def jobs(models):
+        rows = [("q", "t", "r", 3, 3, f"m{m}", "b", "t", f"{m}-{i}") for m in range(models) for i in range(20)]
+        path = f"{tmp_path}/{models}.parquet"
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        c = settings(f"{tmp_path}/{models}", path)
+        spark.sparkContext.setJobGroup(f"folds-{models}", "folds")
+        folds = pipeline.held_out_folds(spark, c)
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{models}"))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        for f in folds:
+            assert f["error"] is None
+            report = {r["split"]: r for r in documents.read_json(f"{f['output_dir']}/split_report.json")}
+            own = C.copy_config(c)
+            own["project"]["output_dir"] = f["output_dir"]
+            got = tables.read_prepared(spark, C.prepared_dir(own))
+            assert {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {s: r["examples"] for s, r in report.items() if r["examples"]}
+        return n
+
+    assert jobs(6) <= jobs(3) + 1
+
+
+def test_reports_are_published_whole_or_not_at_all(spark, tmp_path):
+    from gradeweave.sources.reports import write_report
+
+    a, b = f"{tmp_path}/x/a.csv", f"file://{tmp_path}/x/b.csv"
+    df = spark.createDataFrame([(3, "c"), (1, 'a,"q"'), (2, None)], "n int, s string").repartition(3)
+    write_report(df.orderBy("n"), a, b)
+    want = 'n,s\n1,"a,""q"""\n2,\n3,c\n'
+    assert open(a).read() == want == open(f"{tmp_path}/x/b.csv").read()
+    broken = df.withColumn("n", F.when(F.col("n") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        write_report(broken, a, b)
+    assert open(a).read() == want and sorted(os.listdir(f"{tmp_path}/x")) == ["a.csv", "b.csv"]
+    write_report(df.limit(0), a)
+    assert open(a).read() == "n,s\n"
+
+
+def test_gang_of_ranks(spark):
+    from gradeweave.plans import gang
+
+    rows = spark.range(103).selectExpr("id as example_id", "array(id) as input_ids")
+
+    def trainer(rank, batches):
+        seen = [x for b in batches for x in b.column("example_id").to_pylist()]
+        rank.barrier()
+        every = [json.loads(t) for t in rank.all_gather(json.dumps(seen))]
+        env = rank.environment()
+        return {"mine": seen == every[rank.rank], "all": sorted(x for s in every for x in s) == list(range(103)), "env": [env["RANK"], env["WORLD_SIZE"], env["LOCAL_RANK"], os.environ["RANK"]]}
+
+    out = gang.run(rows, 3, trainer, 8).orderBy("rank").collect()
+    assert [r.rank for r in out] == [0, 1, 2] and sum(r.rows for r in out) == 103
+    assert {r.steps for r in out} == {-(-max(r.rows for r in out) // 8)}
+    for r in out:
+        found = json.loads(r.result)
+        assert found["mine"] and found["all"] and found["env"] == [str(r.rank), "3", str(r.rank), str(r.rank)]
+
+
+def test_rank_of_a_later_attempt():
+    from gradeweave.plans import gang
+
+    rank = gang.Rank(2, 4, ["a:1", "b:1", "a:2", "a:3"], 1, 5, "7")
+    assert rank.local_rank == 1 and rank.environment()["MASTER_PORT"] == "29501" and rank.environment()["CUDA_VISIBLE_DEVICES"] == "7"
