@@ -141,18 +141,20 @@ def _fits(host: str, path: str) -> str:
 
 
 def _spread(name: str, links: str, seed: str) -> str:
-    """Ten rounds of propagation, as a recursive table (round, host, seed, score)."""
+    """Ten rounds of two PageRanks, as a recursive table (round, host, seed, own, alls, heard_own, heard_all)."""
+    heard = lambda c: f"0.85e0 * coalesce(sum(l.w * s.{c}), 0e0)"
     return f"""
-{name}_links as (select src, dst, n / sum(n) over (partition by dst) as w from {links}),
-{name}_hosts as (select host, max(seed) as seed from (select host, {seed} as seed from seeds union all select dst, 0e0 from {name}_links) group by host),
-{name}(round, host, seed, score) as (
-  select 0, host, seed, seed from {name}_hosts
+{name}_links as (select src, dst, n / sum(n) over (partition by src) as w from {links}),
+{name}_hosts as (select host, max(seed) as seed from (select host, {seed} as seed from seeds union all select unnest([src, dst]), 0e0 from {name}_links) group by host),
+{name}(round, host, seed, own, alls, heard_own, heard_all) as (
+  select 0, host, seed, 0.15e0 * seed, 0.15e0, 0e0, 0e0 from {name}_hosts
   union all
-  select h.round + 1, h.host, h.seed, greatest(h.seed, 0.85e0 * coalesce(sum(l.w * (s.seed + s.score) / 2), 0e0))
+  select h.round + 1, h.host, h.seed, 0.15e0 * h.seed + {heard("own")}, 0.15e0 + {heard("alls")}, {heard("own")}, {heard("alls")}
   from {name} h left join {name}_links l on l.dst = h.host left join {name} s on s.host = l.src where h.round < 10 group by h.round, h.host, h.seed
 )"""
 
 
+_SCORE = "round(greatest(seed, coalesce(heard_own / nullif(heard_all, 0e0), 0e0)), 9)"
 _LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 
 ORACLES: dict[str, str] = {
@@ -164,7 +166,7 @@ with recursive u as (
     case {" ".join(f"when {_fits(h, p)} then '{v}'" for v, h, p in _LONGEST)} end as given from u
 ), seeds as (
   select host, avg(case when given = 'allow' then 1e0 else 0e0 end) as good, avg(case when given = 'block' then 1e0 else 0e0 end) as bad from r where host <> '' group by host
-), b as (select html, host, regexp_extract(html, '(?i)<base\\s[^>]*?href\\s*=\\s*["'']?\\s*([^"''\\s<>]+)', 1) as base from u
+), b as (select html, host, regexp_extract(html, '(?i)<base\\s[^<>]*?href\\s*=\\s*["'']?\\s*([^"''\\s<>]+)', 1) as base from u
 ), a as (
   select host as src, coalesce(nullif({_NAMED.format("base")}, ''), host) as own, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s<>]+)', 1)) as link from b
 ), e as (select src, coalesce({_NAMED.format("link")}, own) as dst from a),
@@ -175,7 +177,7 @@ back as (select dst as src, src as dst, n from edges),
 select r.page_id, r.host, r.path, r.rule,
   coalesce(r.given, case when d.score >= 0.5 and d.score > coalesce(t.score, 0) then 'block' else 'allow' end) as verdict,
   round(coalesce(t.score, 0e0), 6) as trust, round(coalesce(d.score, 0e0), 6) as distrust
-from r left join (select * from t where round = 10) t on t.host = r.host left join (select * from d where round = 10) d on d.host = r.host
+from r left join (select host, {_SCORE} as score from t where round = 10) t on t.host = r.host left join (select host, {_SCORE} as score from d where round = 10) d on d.host = r.host
 """,
     "op7_source_mix": f"""
 with d as (select doc_id, source, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as size, md5('0:' || doc_id) as place from documents),

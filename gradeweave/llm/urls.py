@@ -2,12 +2,16 @@
 
 Rules name a host and a path; they fit the host and its subdomains where the
 url's path starts with theirs, and the longest wins. Hosts whose pages the
-rules allow or block are seeds, by the share of their pages. Trust runs along
-the links, distrust against them (a host that links to blocked hosts earns
-distrust). Both are normalised per host, so that ``threshold`` means the same
-in any graph: trust is a damped mean over the links a host gets, distrust over
-the links it gives, and what a host only heard of others counts half when it
-is passed on. A page without a rule is blocked where its host's distrust
+rules allow or block are seeds, by the share of their pages. Personalised
+PageRank runs from the trusted seeds along the links, and from the blocked ones
+against them (a host that links to blocked hosts earns distrust): a host shares
+its rank among its links by their counts, and the walk restarts at the seeds.
+
+A raw rank falls with the number of hosts that share a source, so no threshold
+fits it. The same walk restarting at every host alike goes along, in the same
+table, and a host's score is the share of the rank it gets from its neighbours
+that began at seeds: between 0 and 1, and alike in any graph. Its own seed is
+the least it has. A page without a rule is blocked where its host's distrust
 reaches ``threshold`` and is above its trust.
 
 Links are the pages' ``href``s, resolved against the page: absolute, beginning
@@ -18,8 +22,8 @@ operations only.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; null pages link nowhere; repeated pages
-count again; very long pages are matched in one pass, without backtracking over
-them; extra columns of the pages leave, whatever their names; an empty table
+count again; very long pages are matched in one pass, as the regexes' runs give
+nothing back; extra columns of the pages leave, whatever their names; an empty table
 gives an empty result.
 """
 
@@ -53,8 +57,8 @@ def rule_col(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 #: Regexes of a page's links and of its base, and of urls that begin with a scheme.
-HREF = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s<>]+)"""
-BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*([^"'\s<>]+)"""
+HREF = r"""(?i)\bhref\s*+=\s*+["']?+\s*+([^"'\s<>]++)"""
+BASE = r"""(?i)<base\s[^<>]*?href\s*+=\s*+["']?+\s*+([^"'\s<>]++)"""
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -69,34 +73,36 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     named = lambda u: F.when(u.startswith("//"), host_col(F.concat(F.lit("http:"), u))).when(u.rlike(SCHEME), host_col(u))
     base = F.regexp_extract(page, BASE, 1)
     own = F.when(F.coalesce(named(base), F.lit("")) != "", named(base)).otherwise(F.col("host"))
-    found = pages.select(F.col("host").alias("src"), own.alias("own"), F.explode(F.regexp_extract_all(page, F.lit(HREF), F.lit(1))).alias("u"))
-    found = found.select("src", F.coalesce(named(F.col("u")), F.col("own")).alias("dst"))
+    found = pages.select(F.col("host").alias("src"), own.alias("own"), F.regexp_extract_all(page, F.lit(HREF), F.lit(1)).alias("links"))
+    # exploded apart, or the page would be searched for its base once a link
+    found = found.select("src", "own", F.explode("links").alias("u")).select("src", F.coalesce(named(F.col("u")), F.col("own")).alias("dst"))
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, score): score = max(seed, d * the mean, over the host's own incoming edges, of what their sources pass on).
-
-    A host passes on the mean of its seed and its score: a seeded host its
-    seed at least, one that only heard of others half of what it heard. The
-    mean is over the edges that come in, by link counts, so however many hosts
-    share a source, none takes another's part; a seed never sinks, a host
-    without incoming edges has its seed alone, and nothing gathers where edges
-    end. A host's links to itself tell nothing and leave. Scores are in
-    [0, 1], as seeds are.
+    """(host, score) of all hosts: the share of the rank that reaches a host which began at seeds, and its own seed at least.
+
+    Two PageRanks in step: ``own`` restarts at the seeds, ``all`` at every
+    host. A host's rank goes to the hosts it links to, by the links' counts;
+    where no links lead on it ends, in both alike. Links of a host to itself
+    leave.
     """
     links = edges.where("src <> dst")
-    totals = links.groupBy("dst").agg(F.sum("n").alias("all"))
-    links = materialize(links.join(totals, "dst").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "host-links")
-    now = seeds.select("host", "seed", F.col("seed").alias("score"))
+    totals = links.groupBy("src").agg(F.sum("n").alias("all"))
+    links = materialize(links.join(totals, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "host-links")
     if links.limit(1).count() == 0:
-        return now.select("host", "score")  # every host only keeps what it has
+        return seeds.select("host", F.col("seed").alias("score"))  # every host only has its own
+    hosts = seeds.select("host", "seed").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("seed")))
+    hosts = materialize(hosts.groupBy("host").agg(F.max("seed").alias("seed")), "host-restarts")
+    start = F.lit(1 - damping)
+    now = hosts.select("host", "seed", (start * F.col("seed")).alias("own"), start.alias("all"), F.lit(0.0).alias("heard_own"), F.lit(0.0).alias("heard_all"))
     for _ in range(rounds):
-        heard = links.join(now, links.src == now.host).groupBy("dst").agg(F.sum(F.col("w") * (F.col("seed") + F.col("score")) / 2).alias("heard"))
-        both = seeds.join(heard, seeds.host == heard.dst, "full_outer")
-        seed = F.coalesce("seed", F.lit(0.0))
-        now = materialize(both.select(F.coalesce("host", "dst").alias("host"), seed.alias("seed"), F.greatest(seed, damping * F.coalesce("heard", F.lit(0.0))).alias("score")), "host-scores")
-    return now.select("host", "score")
+        given = links.join(now.select(F.col("host").alias("src"), "own", "all"), "src")
+        heard = given.groupBy(F.col("dst").alias("host")).agg(*((damping * F.sum(F.col("w") * F.col(c))).alias(f"heard_{c}") for c in ("own", "all")))
+        both = hosts.join(heard, "host", "left").na.fill(0.0, ["heard_own", "heard_all"])
+        now = materialize(both.select("host", "seed", (start * F.col("seed") + F.col("heard_own")).alias("own"), (start + F.col("heard_all")).alias("all"), "heard_own", "heard_all"), "host-ranks")
+    share = F.coalesce(F.try_divide("heard_own", "heard_all"), F.lit(0.0))
+    return now.select("host", F.round(F.greatest("seed", share), 9).alias("score"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 10, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -458,17 +458,54 @@ def test_distrust_of_many_linkers_and_chains(spark):
     rows += [page("http://hub.org/1", "http://l0.org/1"), page("http://far.org/1", "http://hub.org/1")]
     rows += [page("http://mostly.org/1", "http://bad.net/es/1", *(f"http://x{i}.org/" for i in range(9)))]
     rows += [page("http://good.com/", "http://friend.org/"), page("http://friend.org/", "http://next.org/"), page("http://next.org/")]
-    got = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, html string"), RULES, key="url").collect()}
-    assert got["http://bad.net/es/1"].distrust == 0.5 and got["http://bad.net/de/1"].verdict == "block"  # half of its pages are blocked
-    assert all(got[f"http://l{i}.org/1"].distrust == pytest.approx(0.85 * 0.5) for i in range(10))
-    rows[1] = page("http://bad.net/es/2")
-    got = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, html string"), RULES, key="url").collect()}
-    assert got["http://bad.net/es/1"].distrust == 1
-    assert all(got[f"http://l{i}.org/1"].distrust == pytest.approx(0.85) and got[f"http://l{i}.org/1"].verdict == "block" for i in range(10))
-    assert got["http://hub.org/1"].distrust == pytest.approx(0.85 * 0.85 / 2) and got["http://hub.org/1"].verdict == "allow"
-    assert 0 < got["http://far.org/1"].distrust < got["http://hub.org/1"].distrust
-    assert got["http://mostly.org/1"].distrust == pytest.approx(0.085) and got["http://mostly.org/1"].verdict == "allow"
-    assert got["http://good.com/"].trust == 1 and got["http://good.com/"].trust > got["http://friend.org/"].trust > got["http://next.org/"].trust > 0
+    for second, share in (("http://bad.net/de/1", 0.5), ("http://bad.net/es/2", 1.0)):
+        rows[1] = page(second)
+        got = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, html string"), RULES, key="url").collect()}
+        assert got["http://bad.net/es/1"].distrust == share and got[second].verdict == "block"
+        # whatever number of hosts link to the blocked one, what reaches each began there
+        assert all(got[f"http://l{i}.org/1"].distrust == pytest.approx(share) and got[f"http://l{i}.org/1"].verdict == "block" for i in range(10))
+        assert 0 < got["http://far.org/1"].distrust < got["http://hub.org/1"].distrust < 0.5 and got["http://hub.org/1"].verdict == "allow"
+        assert got["http://mostly.org/1"].distrust < 0.1 and got["http://mostly.org/1"].verdict == "allow"
+    assert got["http://good.com/"].trust == 1 and got["http://friend.org/"].trust == 1 > got["http://next.org/"].trust > 0
+
+
+def plain_ranks(edges, seeds, damping, rounds):
+    """Two PageRanks by dense matrices, and the share that began at seeds."""
+    hosts = sorted({h for e in edges for h in e[:2]} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in edges:
+        m[at[b], at[a]] += n * (a != b)
+    m /= np.where(m.sum(axis=0) > 0, m.sum(axis=0), 1)
+    seed = np.array([seeds.get(h, 0.0) for h in hosts])
+    ranks = np.stack([seed, np.ones(len(hosts))], axis=1) * (1 - damping)
+    for _ in range(rounds):
+        heard = damping * m @ ranks
+        ranks = np.stack([seed, np.ones(len(hosts))], axis=1) * (1 - damping) + heard
+    share = np.divide(heard[:, 0], heard[:, 1], out=np.zeros(len(hosts)), where=heard[:, 1] > 0)
+    return dict(zip(hosts, np.maximum(seed, share)))
+
+
+def test_spread_is_personalised_pagerank(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(f"h{rng.randrange(30)}", f"h{rng.randrange(30)}", rng.randint(1, 5)) for _ in range(90)]
+    edges = list({(a, b): (a, b, n) for a, b, n in edges}.values())
+    seeds = {f"h{i}": rng.choice([0.0, 0.25, 1.0]) for i in range(0, 40, 3)}
+    got = urls.spread(spark.createDataFrame(edges, "src string, dst string, n bigint"), spark.createDataFrame(list(seeds.items()), "host string, seed double"), 0.85, 7)
+    want = plain_ranks(edges, seeds, 0.85, 7)
+    assert {r.host: r.score for r in got.collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_links_of_adverse_pages_take_one_pass(spark):
+    import time
+
+    n = 1 << 20
+    pages = ["href=" + " " * n, "href" + " " * n + "=x", "<base " * (n // 6), "<base " + "href " * (n // 5), "href='" * (n // 6)]
+    t = time.time()
+    spark.createDataFrame([("a.org", p) for p in pages], "host string, html string").repartition(5).transform(urls.host_edges).collect()
+    assert time.time() - t < 20
 
 
 def on_tables(spark, tmp_path, name, **tables):
