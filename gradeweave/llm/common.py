@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gradeweave-')}"
         sc.setCheckpointDir(found)
@@ -91,14 +91,17 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     if _bytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
         conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
+    names = df.columns
+    odd = any("." in n or "`" in n for n in names)  # mapInArrow would look these up as fields
+
     @functools.wraps(run)
     def tidy(batches):
         try:
-            yield from run(batches)
+            yield from run((b.rename_columns(names) for b in batches) if odd else batches)
         finally:
             give_back()
 
-    return df.mapInArrow(tidy, schema)
+    return (df.toDF(*(f"_{i}" for i in range(len(names)))) if odd else df).mapInArrow(tidy, schema)
 
 
 def _bytes(text: str) -> int:

@@ -28,8 +28,9 @@ connected or not; that work grows with the square of a group of near copies.
 
 Defined results: without words a set is empty and linked with nothing; a null
 key takes no part and has itself (null) as component; repeated rows and exact
-copies share a set; extra columns are ignored; an empty table gives an empty
-result.
+copies share a set; a text longer than a slice is a slice of its own, whole;
+keys are longs, others are cast and an error where they can't be; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 from gradeweave.llm import hashing
 from gradeweave.llm.common import arrow_map, materialize, rows_by_bytes, shuffle_partitions
 from gradeweave.llm.graph import components
+from gradeweave.llm.sieve import sieve
 
 BINS = 128
 SLICE = 2 << 20
@@ -333,7 +335,8 @@ def _across(percent: int):
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link, by their exact sets."""
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    need = materialize(need.join(reps, "sid").select("key"), "jaccard-need")
+    need = materialize(need.join(reps, "sid").select("key", F.xxhash64("key").alias("h")), "jaccard-need")
+    asked = docs.where(sieve(need, "h")(F.xxhash64("key")))  # other texts stay where they are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -342,7 +345,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["sid", "tokens"])
 
-    sets = docs.join(need, "key", "left_semi").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
+    sets = asked.join(need.select("key"), "key", "left_semi").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
     sets = materialize(sets, "jaccard-sets")
     a, b = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     both = F.size(F.array_intersect("ta", "tb"))

@@ -20,8 +20,9 @@ Documents are range-sorted by position.
 All of it is DataFrame operations. Defined results: a null text has size 0 and
 a size of 0 is taken 0 times; a null source is a source, last in order; rows
 with equal keys, or null ones, are told apart by a hash of all their columns,
-and rows that are equal in all columns are each taken as planned; an empty
-table gives an empty result.
+and rows that are equal in all columns are each taken as planned; a source
+without weight or words has the target 0; texts of any length are counted
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,15 +54,16 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     repeated = F.array(*(F.lit(float(w)) for w in weights))
     s = sizes.withColumn("weight", F.element_at(repeated, (place % len(weights) + 1).cast("int")))
     cap = F.col("source_size") * F.lit(float(most))
-    by = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
+    # sources without weight come last and get nothing
+    by = Window.orderBy(F.when(F.col("weight") > 0, cap / F.col("weight")).otherwise(F.lit(float("inf"))), F.col("source").asc_nulls_last())
     over = by.rowsBetween(Window.unboundedPreceding, -1)
     rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     budget = F.sum("source_size").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(float(share))
     # The level if the sources before this one, and no others, are capped. It
     # rises while those are rightly capped and falls after, so the top is it.
-    s = s.withColumn("__cap", cap).withColumn("__level", (budget - F.coalesce(F.sum(cap).over(over), F.lit(0.0))) / F.sum("weight").over(rest))
+    s = s.withColumn("__cap", cap).withColumn("__level", F.try_divide(budget - F.coalesce(F.sum(cap).over(over), F.lit(0.0)), F.sum("weight").over(rest)))
     level = F.max("__level").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return s.withColumn("target", F.least(F.col("__cap"), level * F.col("weight"))).drop("__level", "__cap")
+    return s.withColumn("target", F.least(F.col("__cap"), F.coalesce(level * F.col("weight"), F.lit(0.0)))).drop("__level", "__cap")
 
 
 def position(done: Column, begin: Column, end: Column) -> Column:
@@ -102,7 +104,7 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     d = sized.join(joined, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
     inner = F.coalesce(F.sum("size").over(Window.partitionBy("source", "__bucket").orderBy("__order", "key", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("__at", F.col("__before") + inner)
-    passes = F.floor(F.col("target") / F.col("source_size"))
+    passes = F.floor(F.try_divide("target", "source_size"))
     rest = F.col("target") - passes * F.col("source_size")
     more = (F.col("__at") + F.col("size") / 2.0 < rest) & (passes < most)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce(passes, F.lit(0)) + F.when(more, 1).otherwise(0)).cast("int")
@@ -122,10 +124,12 @@ def mix(docs: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
     all columns meet their places as one row, so r of them give r times their
     copies.
     """
-    step = F.col("source_size") / F.col("target")
+    have = {c.lower() for c in docs.columns}
+    planned_, row, at = (next(n for n in (f"{name}{'_' * i}" for i in range(len(have) + 1)) if n not in have) for name in ("__planned", "__row", "__position"))
+    step = F.try_divide("source_size", "target")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy")
-    places = planned.where("copies > 0").select(F.col("row_id").alias("__planned"), "done", "begin", "end", step.alias("__step"), copy)
-    places = places.select("__planned", position(F.least(F.lit(1.0), F.col("done") + F.col("__copy") * F.col("__step")), F.col("begin"), F.col("end")).alias("__position"))
-    one = docs.withColumn("__row", row_id(docs)).dropDuplicates(["__row"])
-    out = one.join(places, F.col("__row") == F.col("__planned"))
-    return out.repartitionByRange("__position", key, "__row").sortWithinPartitions("__position", key, "__row").select(*docs.columns)
+    places = planned.where("copies > 0").select(F.col("row_id").alias(planned_), "done", "begin", "end", step.alias("__step"), copy)
+    places = places.select(planned_, position(F.least(F.lit(1.0), F.col("done") + F.col("__copy") * F.col("__step")), F.col("begin"), F.col("end")).alias(at))
+    one = docs.withColumn(row, row_id(docs)).dropDuplicates([row])
+    out = one.join(places, F.col(row) == F.col(planned_))
+    return out.repartitionByRange(at, F.col(f"`{key}`"), row).sortWithinPartitions(at, F.col(f"`{key}`"), row).select(*(F.col(f"`{c}`") for c in docs.columns))

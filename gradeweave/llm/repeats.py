@@ -22,8 +22,9 @@ after the anchors are joined; the others' results come from the first scan.
 
 Defined results: a null text has no words; texts shorter than ``window`` words
 stay whole; a null key takes no part and stays whole; rows with equal keys are
-never repeats of each other; extra columns are ignored; an empty table gives
-an empty result.
+never repeats of each other; a text longer than a slice is a slice of its own,
+whole; keys are longs, others are cast and an error where they can't be; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Ties go to the smaller key; boxes carry their smallest key, so equal vectors
 in any number are cut off too.
 
 Defined results: vectors that are null, or hold a null or a non-finite
-component, and null keys take no part; a key's repeated rows are rows like
+component, or one so large that a score could leave 64 bits (2^23 over the
+root of the dimension), and null keys take no part; keys are longs, others are
+cast and an error where they can't be; a key's repeated rows are rows like
 others: each is a candidate, also for the others of its key, and each is a
 query if its key is one; vectors are compared with those of the same length;
 with no candidates a query has no rows.
@@ -39,7 +41,8 @@ LEAF = 128
 
 def quantised(embedding: Column) -> Column:
     """floor(256 * x) of each component, x as double; null for vectors that take no part."""
-    ok = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    most = F.lit(2.0**23) / F.sqrt(F.size(embedding).cast("double"))  # sums of products then stay within 62 bits
+    ok = F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < most, F.lit(False)))  # false for NaN, too
     return F.when(embedding.isNotNull() & ok, F.transform(embedding, lambda x: F.floor(x.cast("double") * 256)))
 
 

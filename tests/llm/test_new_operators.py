@@ -257,3 +257,85 @@ def test_whitening_of_few_equal_and_large_vectors(spark):
     key = 2**60 + 1
     kept = whitening.whiten(frame([(key, [1.0, 3.0]), (None, [2.0, 1.0]), (5, [0.5, 0.25])])).collect()
     assert {r.key for r in kept} == {key, None, 5}
+
+
+# --- the sieve before joins of texts
+
+
+def test_sieve_never_loses_a_key(spark):
+    from gradeweave.llm.sieve import sieve
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    for most, least in ((1 << 26, 0.95), (1 << 10, 0.0)):
+        passed = {r.id for r in rows.where(sieve(keys, "h", most)(F.col("h"))).select("id").collect()}
+        assert passed >= set(range(3000)) and 20_000 - len(passed) >= least * 17_000
+    none = sieve(keys.limit(0), "h")
+    assert rows.withColumn("h", F.when(F.col("id") > 5, F.col("h"))).where(none(F.col("h"))).count() == 0
+
+
+def test_mix_with_clashing_names_and_no_weight(spark):
+    from gradeweave.llm import mixing
+
+    rows = [(i, f"s{i % 3}", "en", 1, "w " * (i % 7) if i % 3 else "") for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"__planned": F.lit(1), "__row": F.lit(2), "__position": F.lit(3), "a.b": F.lit(4)})
+    plan = mixing.schedule(docs, weights=(1.0, 0.0, 2.0))
+    targets = {r.source: r.target for r in plan.select("source", "target").distinct().collect()}
+    assert targets["s0"] == targets["s1"] == 0 and targets["s2"] > 0
+    out = mixing.mix(docs, plan)
+    assert out.columns == docs.columns and {r.source for r in out.collect()} == {"s2"}
+    assert out.count() == plan.agg(F.sum("copies")).first()[0]
+    assert mixing.schedule(docs, weights=(0.0,)).agg(F.sum("copies")).first()[0] == 0
+
+
+# --- names with dots, adverse and very long texts, large components
+
+
+def test_columns_with_dots_pass_through(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from gradeweave.llm import bpe, secrets
+
+    docs = spark.createDataFrame([(1, "a token = abcdefghijklmnop", 5, "x")], "doc_id bigint, text string, `a.b` int, `c``d` string")
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    r = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).first()
+    assert r["a.b"] == 5 and r["c`d"] == "x" and bytes(r.decoded).decode() == r.text
+    assert secrets.scan(docs).first()["a.b"] == 5
+
+
+def test_web_tokens_are_found_in_one_pass():
+    import time
+
+    from gradeweave.llm import secrets
+
+    find = secrets.finder(next(r for r in secrets.MORE if r.kind == "web_token"))
+    token = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 8
+    assert [t[a:b] for t in [f"x {token}, '{token}'"] for a, b in find(t)] == [token, token]
+    t = time.time()
+    assert find("eyJ" * 400_000) == [] and find("eyJ" + "a" * 20 + "." + "eyJ" * 300_000) == []
+    assert time.time() - t < 2
+
+
+def test_top_k_leaves_out_what_scores_cannot_hold(spark):
+    from gradeweave.llm import topk
+
+    rows = [(0, [1e10, 0.0]), (50, [1e300, 1.0]), (100, [1.0, 2.0]), (3, [2.0, 1.0]), (4, [-1e10, 1e10]), (5, [5e6, -5e6])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.key, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+    at = lambda v: [int(np.floor(256 * x)) for x in v]
+    score = lambda a, b: sum(x * y for x, y in zip(at(a), at(b)))
+    assert sorted(got) == [(100, 1, 3, score([1, 2], [2, 1])), (100, 2, 5, score([1, 2], [5e6, -5e6]))]
+
+
+def test_very_long_texts(spark):
+    from gradeweave.llm import jaccard, mixing, ngrams, quality, repeats
+
+    long = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, long + " end", "s"), (3, "short text", "s"), (4, None, "s")], "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.component_id for r in jaccard.link(docs, 5, 80).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    cut = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    assert cut[2].n_removed == 300_000 and cut[1].n_removed == 0
+    assert {r.doc_id: r.n_words for r in quality.with_statistics(docs).collect()}[1] == 300_000
+    assert {r.key: r["size"] for r in mixing.schedule(docs).collect()} == {1: 300_000, 2: 300_001, 3: 2, 4: 0}
+    held = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    scored = {r.doc_id: r for r in ngrams.score(held, ngrams.fit(held, order=3)).collect()}
+    assert scored[1].n_tokens == 300_001 and scored[1].score < 0
