@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradeweave.llm import bpe, jaccard, mixing, quality, secrets
 from gradeweave.llm.common import materialize
+from gradeweave.llm.sieve import sieve
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +35,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = jaccard.link(docs, width=5, percent=80, degrees=False).where(F.col("first_text_id").isNotNull())
     first = (F.col("component_id") == F.col("doc_id")) & (F.col("first_text_id") == F.col("text_id"))
     marks = linked.groupBy(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).agg(F.max(~first).alias("__gone"), F.count("*").alias("__rows"))
-    marks = materialize(marks.where("__gone or __rows > 1"), "pipeline-marks")
-    same = (docs.doc_id == marks["__id"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == marks["__text"])
+    marks = materialize(marks.where("__gone or __rows > 1").withColumn("__h", F.xxhash64("__id", "__text")), "pipeline-marks")
+    twice = materialize(marks.where("not __gone"), "pipeline-repeats")
+    row = F.xxhash64("doc_id", F.xxhash64(F.coalesce(docs.text, F.lit(""))))
+    same = lambda df, m: (df.doc_id == m["__id"]) & (F.xxhash64(F.coalesce(df.text, F.lit(""))) == m["__text"])
+    # texts of documents that surely bear no mark are not shuffled
+    marked = sieve(marks, "__h")(row)
+    met, again = docs.where(marked), docs.where(sieve(twice, "__h")(row))
+    alone = met.join(marks, same(met, marks), "left_anti")
     # rows that repeat key and text are few as a rule, and only they are compared as a whole
-    alone = docs.join(marks, same, "left_anti")
-    twice = materialize(marks.where("not __gone"), "pipeline-repeats")  # its true size lets the planner keep the texts in place
-    same = (docs.doc_id == twice["__id"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == twice["__text"])
-    repeated = docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(repeated).select(*docs.columns)
+    repeated = again.join(twice, same(again, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.where(~marked).unionByName(alone).unionByName(repeated).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
