@@ -332,11 +332,53 @@ def _across(percent: int):
     return run
 
 
+#: Sets that one copy of a set they are to be compared with serves.
+CELL = 256
+
+
+def _requests(pairs: DataFrame) -> DataFrame:
+    """Who is to meet where: (sid, pivot, cell, role), role 0 for the pivot itself.
+
+    Of a pair the set with more pairs is the pivot, and the other comes to it;
+    a pivot with many goes to a cell for each ``CELL`` of them, so a token set
+    is sent once a pair for one side and once a cell for the other.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("d"))
+    both = pairs.join(degree.select(F.col("sid").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("sid").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    met = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("sid"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("pivot"), F.greatest("da", "db").alias("d"))
+    met = met.withColumn("cell", F.pmod(F.xxhash64("sid", "pivot"), F.ceil(F.col("d") / CELL))).drop("d")
+    pivots = met.select(F.col("pivot").alias("sid"), "pivot", "cell").distinct()
+    return met.withColumn("role", F.lit(1)).unionByName(pivots.withColumn("role", F.lit(0)))
+
+
+def _compared(percent: int):
+    """Per cell, the sets that link with its pivot; rows come sorted by cell and role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine = None, None
+        for batch in batches:
+            sid, pivot, cell, role = (batch.column(c).to_numpy() for c in ("sid", "pivot", "cell", "role"))
+            tokens = batch.column("tokens")
+            flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+            found = []
+            for i in range(len(sid)):
+                own = flat[at[i] : at[i + 1]]
+                if role[i] == 0:
+                    now, mine = (pivot[i], cell[i]), own.copy()
+                elif (pivot[i], cell[i]) == now:
+                    both = len(np.intersect1d(mine, own, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(own) - both):
+                        found.append((min(sid[i], pivot[i]), max(sid[i], pivot[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by their exact sets."""
-    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    need = materialize(need.join(reps, "sid").select("key", F.xxhash64("key").alias("h")), "jaccard-need")
-    asked = docs.where(sieve(need, "h")(F.xxhash64("key")))  # other texts stay where they are
+    """The pairs that link, by their exact sets, which are shuffled twice: to their requests, and to where they are compared."""
+    asked = materialize(_requests(pairs), "jaccard-requests")
+    need = materialize(asked.select("sid").distinct().join(reps, "sid").select(F.xxhash64("key").alias("h")), "jaccard-need")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -345,12 +387,11 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["sid", "tokens"])
 
-    sets = asked.join(need.select("key"), "key", "left_semi").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
-    sets = materialize(sets, "jaccard-sets")
-    a, b = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    links = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-    return materialize(links, "jaccard-links")
+    may = sieve(need, "h")
+    sets = docs.where(may(F.xxhash64("key"))).select("text").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
+    parts = shuffle_partitions(docs.sparkSession)
+    met = sets.join(asked, "sid").repartition(parts, "pivot", "cell").sortWithinPartitions("pivot", "cell", "role", "sid")
+    return materialize(met.select("sid", "pivot", "cell", "role", "tokens").transform(arrow_map, _compared(percent), "a bigint, b bigint"), "jaccard-links")
 
 
 def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +35,9 @@ def sieve(hashes: DataFrame, column: str, most: int = MOST) -> Callable[[Column]
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def may(values: pd.Series) -> pd.Series:
-        table = shared.value
-        known = values.notna().to_numpy()
-        at = values.fillna(0).to_numpy(np.int64) & (bits - 1)
-        return pd.Series(known & (table[at >> 6] >> (at & 63) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def may(values: pa.Array) -> pa.Array:
+        at = values.to_numpy(zero_copy_only=False) & (bits - 1)
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    # a null would make doubles of longs, and their last bits are lost
     return lambda c: c.isNotNull() & may(F.coalesce(c, F.lit(0)))
