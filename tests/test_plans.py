@@ -285,7 +285,7 @@ def test_publishing_options(documented, tmp_path):
     with pytest.raises(FileNotFoundError):
         hub.adapter_path(C.apply_override(C.copy_config(c), "inference.require_adapter=true"))
     os.makedirs(f"{tmp_path}/run/adapter")
-    assert hub.checkpoint_paths(o.run_dir).tokenizer_dir is None and hub.adapter_path(c) == f"{tmp_path}/run/adapter"
+    assert hub.checkpoint_paths(o.run_dir)["tokenizer"] is None and hub.adapter_path(c) == f"{tmp_path}/run/adapter"
     documents.write_json(f"{tmp_path}/run/split_report.json", [1])
     r = hub.run_record(c, o)
     assert r["artifacts"] == {"split_report.json": [1]} and r["binary_threshold"] == 3 and r["base_model"] == "some/model"
