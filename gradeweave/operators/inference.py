@@ -61,17 +61,52 @@ def continuation_logprob(model: Model, prompt: Sequence[int], continuation: Sequ
     return float(rows[np.arange(len(continuation)), list(continuation)].sum())
 
 
+def continuation_logprobs(model: Model, prompts: Sequence[Sequence[int]], continuations: Sequence[Sequence[int]], pad_id: int = 0, side: str = "right", batch_size: int | None = None) -> list[list[float]]:
+    """``continuation_logprob`` of each continuation after each prompt, in as few forward passes as batches of ``batch_size`` sequences allow (default: as many as there are prompts).
+
+    All that has to be read is a tree of tokens: one sequence that runs through
+    another's tokens gives its values, too, as a token's logits depend on what
+    stands before it alone. So only the tree's leaves are passed forward, each
+    once, in order of length, so that a batch pads little.
+    """
+    values = [[float("-inf")] * len(continuations) for _ in prompts]
+    asked = [(p, k, (*prompt, *c), len(prompt)) for p, prompt in enumerate(prompts) if len(prompt) for k, c in enumerate(continuations) if len(c)]
+    paths = sorted({path[:-1] for _, _, path, _ in asked})  # the last token is looked up, not read
+    leaf_of, leaves = {}, []
+    for i in range(len(paths) - 1, -1, -1):  # in this order what runs through a path follows it directly
+        if not leaves or leaves[-1][: len(paths[i])] != paths[i]:
+            leaves.append(paths[i])
+        leaf_of[paths[i]] = len(leaves) - 1
+    wanted: list[list] = [[] for _ in leaves]
+    for p, k, path, start in asked:
+        wanted[leaf_of[path[:-1]]].append((p, k, path, start))
+    order = sorted(range(len(leaves)), key=lambda i: len(leaves[i]))
+    size = max(1, batch_size or len(prompts))
+    for at in range(0, len(order), size):
+        some = order[at : at + size]
+        ids, mask = padded([leaves[i] for i in some], pad_id, side)
+        logits = np.asarray(model(ids, mask))
+        for row, i in enumerate(some):
+            skip = ids.shape[1] - len(leaves[i]) if side == "left" else 0
+            begin = min(start for *_, start in wanted[i]) - 1
+            rows = log_softmax(logits[row, skip + begin : skip + len(leaves[i])])
+            for p, k, path, start in wanted[i]:
+                places = np.arange(start - 1, len(path) - 1) - begin
+                values[p][k] = float(rows[places, list(path[start:])].sum())
+    return values
+
+
 def score_prompts(model: Model, tokenizer, prompts: Sequence[str], scores: Sequence[str], method: str = FAST) -> Scores:
-    """Log-probabilities of the scores after each prompt: one forward pass for all if each score is one token and the fast method is asked for, else one for each prompt and score."""
+    """Log-probabilities of the scores after each prompt: of the prompts alone if each score is one token and the fast method is asked for, else of prompts and scores."""
     if not prompts:
         return Scores([], [], None)
     rows, candidates = tokenizer.encode(list(prompts)), tokenizer.encode(list(scores))
-    lengths = [len(r) for r in rows]
+    lengths, pad_id, side = [len(r) for r in rows], getattr(tokenizer, "pad_token_id", None) or 0, getattr(tokenizer, "padding_side", "right")
     if method != FAST or any(len(c) != 1 for c in candidates):
-        return Scores([[continuation_logprob(model, r, c) for c in candidates] for r in rows], lengths, MULTI)
+        return Scores(continuation_logprobs(model, rows, candidates, pad_id, side), lengths, MULTI)
     if not all(lengths):
         raise ValueError("prompts must have a token at least")
-    ids, mask = padded(rows, getattr(tokenizer, "pad_token_id", None) or 0, getattr(tokenizer, "padding_side", "right"))
+    ids, mask = padded(rows, pad_id, side)
     last = np.asarray(model(ids, mask))[np.arange(len(rows)), last_places(mask)]
     return Scores(log_softmax(last)[:, [c[0] for c in candidates]].tolist(), lengths, SINGLE)
 

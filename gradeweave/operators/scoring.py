@@ -69,6 +69,19 @@ def candidate_ids_json(ids: dict[str, list[int]]) -> str:
 Scorer = Callable[[list[str]], "list[list[float]] | Scores"]
 
 
+def _scored(score: Scorer, prompts: list[str], batch_size: int) -> list[tuple]:
+    """(values, length, method) of each prompt. Prompts of like length share a batch, so that little is padded."""
+    found: list[tuple] = [()] * len(prompts)
+    order = sorted(range(len(prompts)), key=lambda i: len(prompts[i] or ""))
+    for at in range(0, len(order), batch_size):
+        some = order[at : at + batch_size]
+        got = score([prompts[i] for i in some])
+        got = got if isinstance(got, Scores) else Scores(got)
+        for place, values, length in zip(some, got.values, got.lengths or [None] * len(some), strict=True):
+            found[place] = (values, length, got.method)
+    return found
+
+
 def predict(
     df: DataFrame, scorer: Callable[[], Scorer], system_prompt: str, threshold: int = 3, batch_size: int = 64, method: str = FAST, candidate_ids: dict | None = None, tokenizer=None, order: Sequence[int] = SCORES
 ) -> DataFrame:
@@ -87,12 +100,9 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_size):
-                batch = whole.slice(at, batch_size)
-                got = score(batch.column("__prompt").to_pylist())
-                got = got if isinstance(got, Scores) else Scores(got)
-                more = [pa.array(got.values, pa.list_(pa.float64())), pa.array(got.lengths or [None] * batch.num_rows, pa.int64()), pa.array([got.method] * batch.num_rows, pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+            found = _scored(score, whole.column("__prompt").to_pylist(), batch_size)
+            more = [pa.array(x, t) for x, t in zip(zip(*found) if found else ([], [], []), (pa.list_(pa.float64()), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*whole.columns, *more], names=schema.names)
 
     scored = df.mapInArrow(run, schema)
     names = [f"{prefix}_{s}" for s in SCORES]
@@ -148,10 +158,8 @@ def predict_records(df: DataFrame, scorer: Callable[[], Scorer], settings: dict,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_size):
-                batch = whole.slice(at, batch_size)
-                got = score(batch.column("__prompt").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.values if isinstance(got, Scores) else got, pa.list_(pa.float64()))], names=schema.names)
+            found = _scored(score, whole.column("__prompt").to_pylist(), batch_size)
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array([v for v, *_ in found], pa.list_(pa.float64()))], names=schema.names)
 
     return score_records(df.mapInArrow(run, schema), F.col("__values"), settings["binary_threshold"]).drop("__prompt", "__values")
 

@@ -450,6 +450,50 @@ def test_scoring_with_models():
     assert inference.classify_prompts(lambda i, m: np.arange(5.0)[None].repeat(len(i), 0), tokens.CodePoints(), ["a", "b"], names).values == [[0, 1, 2, 3, 4]] * 2
 
 
+def test_continuations_share_forward_passes():
+    import numpy as np
+
+    from gradeweave.operators import inference
+
+    class Sums:
+        """Logits that depend on all tokens so far, and a count of the calls and of the tokens read."""
+
+        calls = read = 0
+
+        def __call__(self, input_ids, attention_mask):
+            self.calls, self.read = self.calls + 1, self.read + int(attention_mask.sum())
+            so_far = np.cumsum(input_ids * attention_mask * (1 + np.cumsum(attention_mask, axis=1)), axis=1)
+            return np.sin(so_far[:, :, None] * 0.31 + np.arange(128) * 1.7)
+
+    rng = np.random.default_rng(5)
+    prompts = [rng.integers(1, 120, n).tolist() for n in (3, 9, 1, 0, 40, 5, 9)] + [[7, 8], [7, 8, 9], [7, 8]]
+    for scores in ([[49], [50], [51], [52], [53]], [[49, 48], [50], [], [49, 48, 47], [52, 53]]):
+        want = [[inference.continuation_logprob(Sums(), p, c) for c in scores] for p in prompts]
+        for side in ("right", "left"):
+            for size in (None, 1, 4):
+                model = Sums()
+                assert np.allclose(inference.continuation_logprobs(model, prompts, scores, 0, side, size), want)
+        assert inference.continuation_logprobs(Sums(), [], scores) == []
+    single = Sums()
+    inference.continuation_logprobs(single, prompts, [[49], [50], [51], [52], [53]], batch_size=3)
+    # nine prompts with tokens, of which one repeats and one begins another: seven to read instead of 45
+    assert single.calls == 3 and single.read == 3 + 9 + 1 + 40 + 5 + 9 + 3
+    two = Sums()
+    inference.continuation_logprobs(two, [[1, 2], [3, 4, 5]], [[49, 48], [49, 47], [49, 46], [49, 45], [49, 44]], batch_size=2)
+    assert two.calls == 1
+
+
+def test_prompts_of_like_length_share_batches():
+    seen = []
+
+    def score(prompts):
+        seen.append([len(p) for p in prompts])
+        return [[float(len(p))] * 5 for p in prompts]
+
+    texts = ["x" * n for n in (9, 1, 8, 2, 7, 3)]
+    assert [v[0] for v, *_ in scoring._scored(score, texts, 2)] == [9, 1, 8, 2, 7, 3] and seen == [[1, 2], [3, 7], [8, 9]]
+
+
 def test_predictions_of_models(rows):
     from gradeweave.operators import inference
 
