@@ -111,3 +111,21 @@ def length_warnings(max_seq_length: int | None, max_response_tokens: int | None,
     if budget < small_budget:
         out.append(f"prompt budget {budget} is below {small_budget} tokens")
     return out
+
+
+def warned_rows(df: DataFrame, max_seq_length: int, max_response_tokens: int, small_budget: int = 1024) -> DataFrame:
+    """warning, rows: what is odd about the caps, and how many measured rows it concerns, in one aggregate.
+
+    A response cap that isn't below the sequence's concerns responses that the
+    one lets pass and the other never can; a small budget concerns rows whose
+    prompt without the response is over it.
+    """
+    found = length_warnings(max_seq_length, max_response_tokens, small_budget)
+    passes = F.col("response_token_length") <= max_response_tokens
+    over_cap = passes & (F.col("response_token_length") >= max_seq_length)
+    over_budget = passes & (F.col("prompt_token_length") - F.col("response_token_length") > max_seq_length - max_response_tokens)
+    conditions = [over_cap if w.startswith("max_response_tokens") else over_budget for w in found]
+    if not found:
+        return df.sparkSession.createDataFrame([], "warning string, rows bigint")
+    one = df.agg(*(F.count_if(c).alias(str(i)) for i, c in enumerate(conditions)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(w).alias("warning"), F.col(str(i)).alias("rows")) for i, w in enumerate(found)))))

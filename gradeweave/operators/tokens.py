@@ -53,6 +53,9 @@ class ChatTokenizer:
     def __init__(self, inner, enabled: bool | None = None, apply_if_supported: bool = True):
         self.inner, self.arguments = inner, thinking_arguments(inner, enabled, apply_if_supported)
         self.eos_token_id, self.pad_token_id = getattr(inner, "eos_token_id", None), getattr(inner, "pad_token_id", None)
+        if self.pad_token_id is None:  # the end token pads where there is no other
+            self.pad_token_id = self.eos_token_id
+        self.padding_side = getattr(inner, "padding_side", "right")
         self.chat_template = getattr(inner, "chat_template", None)
         self.name_or_path = getattr(inner, "name_or_path", type(inner).__name__)
 
@@ -113,7 +116,7 @@ def encoded(text: Column, tokenizer: Tokenizer | None = None) -> Column:
         for s in batches:
             yield pd.Series(tokenizer.encode(s.fillna("").tolist()))
 
-    return encode(text)
+    return encode.asNondeterministic()(text)  # else a filter on the ids' number would encode once more
 
 
 def token_count(text: Column, tokenizer: Tokenizer | None = None) -> Column:
@@ -156,8 +159,8 @@ def with_sequence_lengths(df: DataFrame, system_prompt: str, objective: str = "c
     return df.withColumn("sequence_length", F.col("prompt_token_length") + F.col("target_token_length") + end)
 
 
-def token_rows(df: DataFrame, system_prompt: str, objective: str = "causal_lm", max_seq_length: int = 3072, on_overflow: str = "skip", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Training rows: example_id, input_ids, attention_mask, labels, length, prompt_length, target_score.
+def token_rows(df: DataFrame, system_prompt: str, objective: str = "causal_lm", max_seq_length: int = 3072, on_overflow: str = "skip", tokenizer: Tokenizer | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Training rows: example_id, input_ids, attention_mask, labels, length, prompt_length, target_score, and columns to ``keep``.
 
     Labels of a language model are ignored on the prompt and the end token;
     a classifier has its class. Overflowing rows leave, or raise; so does a
@@ -185,7 +188,7 @@ def token_rows(df: DataFrame, system_prompt: str, objective: str = "causal_lm",
         rows = rows.where(F.when(F.col("length") > max_seq_length, over).otherwise(F.lit(True)))
     elif not counts_characters(tokenizer) or has_template(tokenizer):
         rows = rows.where(F.col("length") <= max_seq_length)
-    return rows.select("example_id", "input_ids", "attention_mask", "labels", "length", "prompt_length", "target_score")
+    return rows.select("example_id", "input_ids", "attention_mask", "labels", "length", "prompt_length", "target_score", *keep)
 
 
 def token_debug(rows: DataFrame) -> DataFrame:
@@ -214,6 +217,17 @@ def validate_score_tokens(tokenizer: Tokenizer, scores: Sequence[str], require_s
     return report
 
 
+def score_token_use(rows: DataFrame, tokenizer: Tokenizer, scores: Sequence[str] = ("1", "2", "3", "4", "5"), require_single: bool = False) -> DataFrame:
+    """score, token_id (its first), num_tokens, rows: how many token rows have the score, and how many of them begin their supervised tokens otherwise (``astray``)."""
+    report = validate_score_tokens(tokenizer, scores, require_single)
+    every = rows.sparkSession.createDataFrame([(r["score"], int(r["token_ids"][0]), r["num_tokens"]) for r in report], "score string, token_id int, num_tokens int")
+    first = F.get(F.filter("labels", lambda x: x != IGNORED_LABEL), F.lit(0))
+    counts = rows.groupBy(F.col("target_score").cast("string").alias("score"), first.alias("first")).agg(F.count("*").alias("n"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    joined = every.join(counts, "score", "left")
+    return joined.groupBy("score", "token_id", "num_tokens").agg(n("n").alias("rows"), n(F.when(~F.col("first").eqNullSafe(F.col("token_id")), F.col("n"))).alias("astray"))
+
+
 def takes_thinking(tokenizer) -> bool:
     """Whether the template can be called with a thinking mode."""
     call = getattr(tokenizer, "apply_chat_template", None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeweave.functions.scalar import IGNORED_LABEL, length_bucket
-from gradeweave.operators import filters, metrics, packs, scoring, splits, tokens, training
+from gradeweave.operators import batches, filters, metrics, packs, scoring, splits, tokens, training
 from gradeweave.operators.filters import DISTRIBUTION_COLUMNS
 from gradeweave.plans import views as V
 
@@ -231,9 +231,9 @@ def length_buckets(spark, sf_dir):
     return m.groupBy(length_bucket(F.col("response_token_length"), V.BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('max_response_tokens 4096 is not below max_seq_length 3072'), ('prompt budget -1024 is below 1024 tokens')) as w(warning)")
+@query(RS + "select 'max_response_tokens 4096 is not below max_seq_length 3072' as warning, count(*) filter (where response_token_length between 3072 and 4096) as rows from m union all select 'prompt budget -1024 is below 1024 tokens', count(*) filter (where response_token_length <= 4096 and prompt_token_length - response_token_length > -1024) from m")
 def length_warnings(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in filters.length_warnings(3072, 4096)], "warning string")
+    return filters.warned_rows(V.measured(spark, sf_dir), 3072, 4096)
 
 
 # --- splits and samples
@@ -383,10 +383,25 @@ def padded_batch(spark, sf_dir):
     return p.select(_ID, "batch", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
 
-@query("select * from (values ('1', 49, 1), ('2', 50, 1), ('3', 51, 1), ('4', 52, 1), ('5', 53, 1)) as s(score, token_id, num_tokens)")
+@query(RS + "select s.score, s.token_id, 1 as num_tokens, count(k.example_id) as rows, cast(0 as bigint) as astray from (values ('1', 49), ('2', 50), ('3', 51), ('4', 52), ('5', 53)) as s(score, token_id) left join k on cast(k.target_score as varchar) = s.score group by s.score, s.token_id")
 def score_tokenization(spark, sf_dir):
-    report = tokens.validate_score_tokens(tokens.CodePoints(), ["1", "2", "3", "4", "5"], True)
-    return spark.createDataFrame([(r["score"], r["token_ids"][0], r["num_tokens"]) for r in report], "score string, token_id int, num_tokens int")
+    return tokens.score_token_use(_tokenised(spark, sf_dir), tokens.CodePoints(), require_single=True)
+
+
+_GROUPED = """, o as (select example_id, sequence_length as length, row_number() over (order by md5('42:' || example_id), example_id) - 1 as spot from k),
+g as (select example_id, length, row_number() over (order by spot // 800, length desc, spot) - 1 as place from o)
+"""
+
+
+@query(RS + _GROUPED + "select example_id, length, place, place // 16 as batch from g")
+def length_grouped_batches(spark, sf_dir):
+    return batches.length_grouped(V.kept(spark, sf_dir), 16, length="sequence_length")
+
+
+@query(RS + _GROUPED + ", b as (select count(*) as n, sum(length) as tokens, max(length) * count(*) as held from g group by place // 16) select cast(sum(n) as bigint) as rows, count(*) as batches, cast(sum(tokens) as bigint) as tokens, round(1 - cast(sum(tokens) as double) / cast(sum(held) as double), 9) as padding from b")
+def length_grouped_padding(spark, sf_dir):
+    found = batches.padding_share(batches.length_grouped(V.kept(spark, sf_dir), 16, length="sequence_length"))
+    return found.withColumn("padding", F.round("padding", 9))
 
 
 class BracketTokenizer(tokens.CodePoints):

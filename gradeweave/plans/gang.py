@@ -8,7 +8,7 @@ allocation.
 
 The trainer is a function of (rank, batches): ``batches`` are Arrow batches of
 the rank's rows, and what it returns (a mapping) is the rank's result as JSON.
-Ranks may have one row more or less than others; ``rank.steps`` is the number
+Ranks may have one row (in length groups: one batch) more or less than others; ``rank.steps`` is the number
 of batches that all of them take, so that collective steps don't wait for a
 rank that has none left.
 """
@@ -62,14 +62,41 @@ class Rank:
         return {k: str(v) for k, v in out.items()}
 
 
-def dealt(rows: DataFrame, ranks: int) -> DataFrame:
-    """Rows in ``ranks`` partitions that differ by few rows, kept so that a stage that starts again finds the same."""
-    return held(rows.repartition(ranks))
-
-
-def run(rows: DataFrame, ranks: int, trainer: Callable[[Rank, Iterator[pa.RecordBatch]], Mapping | None], batch_size: int = 1) -> DataFrame:
-    """One row a rank: rank, world_size, rows, steps, attempt, result (JSON). The stage runs when the result is asked for."""
-    shares = dealt(rows, ranks)
+def dealt(rows: DataFrame, ranks: int, place: str | None = None, batch_size: int = 1) -> DataFrame:
+    """Rows in ``ranks`` partitions, kept so that a stage that starts again finds the same.
+
+    They differ by few rows; with a column ``place`` (from 0, without gaps)
+    batches of places go to the ranks in turn, so that the batches of a step
+    stand next to each other, and each rank has its rows in order.
+    """
+    if place is None:
+        return held(rows.repartition(ranks))
+    turn = F.pmod(F.floor(F.col(place) / batch_size), F.lit(ranks)).cast("int")
+    return held(rows.repartitionById(ranks, turn).sortWithinPartitions(place).drop(place))
+
+
+def in_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``, the last one smaller, wherever Arrow's own batches end."""
+    rest: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        at = 0
+        while batch.num_rows - at >= size - have:
+            yield pa.concat_batches([*rest, batch.slice(at, size - have)])
+            rest, at, have = [], at + size - have, 0
+        if at < batch.num_rows:
+            rest.append(batch.slice(at))
+            have += batch.num_rows - at
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def run(rows: DataFrame, ranks: int, trainer: Callable[[Rank, Iterator[pa.RecordBatch]], Mapping | None], batch_size: int = 1, place: str | None = None) -> DataFrame:
+    """One row a rank: rank, world_size, rows, steps, attempt, result (JSON). The stage runs when the result is asked for.
+
+    ``place`` is a column that says in what order ranks read (see ``dealt``).
+    """
+    shares = dealt(rows, ranks, place, batch_size)
     sizes = {r[0]: r[1] for r in shares.groupBy(F.spark_partition_id().alias("rank")).count().collect()}  # a row a rank
     planned = [sizes.get(k, 0) for k in range(ranks)]
     steps = math.ceil(max(planned) / batch_size)
@@ -86,11 +113,9 @@ def run(rows: DataFrame, ranks: int, trainer: Callable[[Rank, Iterator[pa.Record
 
         def counted() -> Iterator[pa.RecordBatch]:
             nonlocal read
-            for batch in batches:
-                for at in range(0, batch.num_rows, batch_size):
-                    part = batch.slice(at, batch_size)
-                    read += part.num_rows
-                    yield part
+            for batch in in_batches(batches, batch_size):
+                read += batch.num_rows
+                yield batch
 
         mine = counted()
         result = trainer(me, mine) or {}

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from gradeweave.functions.digests import stable_json_hash
 from gradeweave.functions.scalar import length_bucket
-from gradeweave.operators import filters, metrics, packs, scoring, splits, targets, tokens, training
+from gradeweave.operators import batches, filters, metrics, packs, scoring, splits, targets, tokens, training
 from gradeweave.plans import config as C
 from gradeweave.plans import gang, trainer
 from gradeweave.plans.runtime import git_commit, package_versions, world_size
-from gradeweave.sources import documents, tables
+from gradeweave.sources import documents, parts, tables
 from gradeweave.sources.reports import write_report
 from gradeweave.sources.tables import held
 
@@ -33,17 +33,19 @@ def fingerprint(spark: SparkSession, config: dict, tokenizer=None, files: list |
     """What the prepared rows depend on: configuration, tokenizer and the source's files by path, size and time. Versions are noted, not hashed."""
     path = config["data"]["path"]
     files = tables.listing(spark, path) if files is None else files
-    parts = {
-        "version": 2, "path": path, "files": files, "columns": config["data"]["columns"], "filters": config["data"]["filters"], "split": config["split"], "prompt": config["prompt"], "objective": config["training"]["objective"],
+    known = {
+        "version": 3, "path": path, "files": files, "columns": config["data"]["columns"], "filters": config["data"]["filters"], "split": config["split"], "prompt": config["prompt"], "objective": config["training"]["objective"],
         "max_seq_length": config["training"]["max_seq_length"], "allowed_scores": scoring.sorted_scores(config["inference"]["allowed_scores"]), "binary_threshold": config["inference"]["binary_threshold"],
         "model": config["model"].get("model_name_or_path"), "tokenizer": tokenizer_identity(tokenizer),
     }
-    return {"parts": parts, "hash": stable_json_hash(parts), "package_versions": package_versions()}
+    return {"parts": known, "hash": stable_json_hash(known), "package_versions": package_versions()}
 
 
 def measured(spark: SparkSession, config: dict, tokenizer=None) -> DataFrame:
     """Source to targets and lengths. Lengths of real tokenizers come after the cheap filter."""
-    df = targets.load_targets(tables.read_source(spark, config["data"]["path"]), config["data"]["columns"], config["inference"]["binary_threshold"])
+    data = config["data"]
+    source = tables.read_source(spark, data["path"], data.get("schema"), data.get("multi_line", True)).withColumn("__file", F.col("_metadata.file_path"))
+    df = targets.load_targets(source, {**data["columns"], parts.SOURCE_FILE: "__file"}, config["inference"]["binary_threshold"])
     df = tokens.with_response_lengths(df, tokenizer)
     return tokens.with_sequence_lengths(df, config["prompt"]["system_prompt"], config["training"]["objective"], tokenizer)
 
@@ -123,27 +125,32 @@ def eval_rows(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def token_table(spark: SparkSession, config: dict, name: str, tokenizer=None) -> DataFrame:
-    """Token rows of a split, kept by a fingerprint that covers the rows' content; a table that can't be read is made anew."""
+    """Token rows of a split, kept by source file: only rows of files whose kept rows changed are encoded again.
+
+    Packs depend on all rows in order, so they are made from the kept token
+    rows, anew if any file changed. A table that can't be read is made anew.
+    """
     tokenizer = tokens.chat_tokenizer(tokenizer, config)
     rows = tables.read_split(spark, C.prepared_dir(config), name)
     tr, system = config["training"], config["prompt"]["system_prompt"]
-    digest = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    key = stable_json_hash([name, digest.n, str(digest.h), config["prompt"], tr["objective"], tr["max_seq_length"], tr["packing"], tokenizer_identity(tokenizer)])[:16]
+    overflow = config["data"]["filters"]["on_sequence_overflow"]
+    key = stable_json_hash([name, config["prompt"], tr["objective"], tr["max_seq_length"], overflow, tokenizer_identity(tokenizer)])[:16]
     path = f"{C.run_dir(config)}/tokenized/{name}_{key}"
-
-    def made() -> DataFrame:
-        out = tokens.token_rows(rows, system, tr["objective"], tr["max_seq_length"], config["data"]["filters"]["on_sequence_overflow"], tokenizer)
-        return packs.packed(out, tr["max_seq_length"]) if tr["packing"] else out
-
-    if tr["cache_tokenized_datasets"] and tables.exists(spark, f"{path}/_SUCCESS"):
+    again = not tr["cache_tokenized_datasets"]
+    encode = lambda part: tokens.token_rows(part, system, tr["objective"], tr["max_seq_length"], overflow, tokenizer, ["unit"])
+    kept, now = parts.derived(rows, path, encode, again)
+    if not tr["packing"]:
+        return kept
+    packed = f"{path}_packs_{stable_json_hash(now)[:16]}"
+    if not again and tables.exists(spark, f"{packed}/_SUCCESS"):
         try:
-            kept = spark.read.parquet(path)
-            kept.count()  # reads every file's footer
-            return kept
+            found = spark.read.parquet(packed)
+            found.count()
+            return found
         except Exception:  # a file is damaged or gone
-            spark.catalog.refreshByPath(path)
-    made().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+            spark.catalog.refreshByPath(packed)
+    packs.packed(kept, tr["max_seq_length"]).write.mode("overwrite").parquet(packed)
+    return spark.read.parquet(packed)
 
 
 def train_data(spark: SparkSession, config: dict, prepared: DataFrame, finalist: bool = False, tokenizer=None) -> dict:
@@ -169,18 +176,33 @@ def train_data(spark: SparkSession, config: dict, prepared: DataFrame, finalist:
     return arguments
 
 
-def train(spark: SparkSession, config: dict, prepared: DataFrame, trainer_function, ranks: int, finalist: bool = False, tokenizer=None) -> list[dict]:
-    """The data half, then the external trainer on ``ranks`` ranks of one barrier stage; each rank's result is kept with the run."""
+def train(spark: SparkSession, config: dict, prepared: DataFrame, trainer_function, ranks: int, finalist: bool = False, tokenizer=None, epoch: int = 0) -> list[dict]:
+    """The data half, then the external trainer on ``ranks`` ranks of one barrier stage; each rank's result is kept with the run.
+
+    With ``group_by_length`` ranks read rows of like length together, in an
+    order that seed and ``epoch`` decide.
+    """
+    tr = config["training"]
     train_data(spark, config, prepared, finalist, tokenizer)
     names = [s for s in splits.SPLITS if finalist or s == "train"]
     have = {r["split"] for r in prepared.select("split").distinct().collect()}
     rows = functools.reduce(DataFrame.unionByName, [token_table(spark, config, s, tokenizer) for s in names if s in have])
-    out = gang.run(rows, ranks, trainer_function, config["training"]["per_device_train_batch_size"]).orderBy("rank")
+    size, place = tr["per_device_train_batch_size"], None
+    if tr["train_sampling_strategy"] == "group_by_length":
+        rows, place = _by_length(rows, size * ranks, int(tr.get("seed", config["project"].get("seed", 42))), epoch), "place"
+    out = gang.run(rows, ranks, trainer_function, size, place).orderBy("rank")
     found = [r.asDict() for r in out.collect()]  # a row a rank
     documents.write_json(f"{C.run_dir(config)}/rank_results.json", found)
     return found
 
 
+def _by_length(rows: DataFrame, batch_size: int, seed: int, epoch: int) -> DataFrame:
+    """Token rows or packs with ``place``; a step's batches on all ranks are one batch here."""
+    key = "pack_id" if "pack_id" in rows.columns else "example_id"
+    places = batches.length_grouped(rows, batch_size, seed, epoch, key)
+    return rows.join(places.select(key, "place"), key)
+
+
 def predict(spark: SparkSession, config: dict, name: str, scorer, tokenizer=None) -> DataFrame:
     rows = tables.read_split(spark, C.prepared_dir(config), name)
     inf = config["inference"]
@@ -231,9 +253,9 @@ def held_out_folds(spark: SparkSession, config: dict, tokenizer=None, scorer=Non
     rows = spark.read.parquet(shared)
     kept = held(rows.where("stage = 3").select("model_id", "example_id"))
     cuts = splits.fold_cuts(kept, s["lomo_validation_fraction"], s["lomo_validation_max_examples"], s["lomo_validation_seed"]).collect()  # a row a model
-    parts = {}
+    each = {}
     for r in splits.fold_counts(kept, cuts, s["lomo_validation_seed"]).collect() if cuts else []:  # a row a pair of models, as the reports have
-        parts.setdefault(r.fold, []).append(r)
+        each.setdefault(r.fold, []).append(r)
     lengths = [r.asDict() for r in filters.length_statistics(rows.where("stage = 3")).collect()]
     found, out = {c.model_id: c for c in cuts}, []
     for model in splits.models_of(rows):
@@ -249,7 +271,7 @@ def held_out_folds(spark: SparkSession, config: dict, tokenizer=None, scorer=Non
         _settings(c, tokenizer)
         tables.remove(spark, C.prepared_dir(c))
         documents.write_json(f"{C.prepared_dir(c)}/{tables.FOLD}", {"shared": shared, "model": model, "rank": cut.rank, "key": cut.key, "seed": s["lomo_validation_seed"]})
-        report = {"test": (cut.test, [model]), **{name: (sum(p[name] for p in parts[model]), sorted(p.model_id for p in parts[model] if p[name] and p.model_id is not None)) for name in ("train", "validation")}}
+        report = {"test": (cut.test, [model]), **{name: (sum(p[name] for p in each[model]), sorted(p.model_id for p in each[model] if p[name] and p.model_id is not None)) for name in ("train", "validation")}}
         documents.write_json(f"{run}/split_report.json", [{"split": n, "examples": report[n][0], "models": json.dumps(report[n][1], separators=(",", ":")), "num_models": len(report[n][1])} for n in splits.SPLITS])
         documents.write_json(f"{run}/dataset_filtering_report.json", funnel)
         documents.write_json(f"{run}/length_statistics.json", lengths)

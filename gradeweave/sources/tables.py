@@ -16,8 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_source(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet or CSV source by its suffix."""
+def read_source(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A Parquet or CSV source by its suffix.
+
+    CSV is read twice to find its types unless ``schema`` gives them, and a
+    file is one task as long as values may hold line breaks (``multi_line``).
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in ("parquet", "csv"):
         raise ValueError(f"unsupported source: {path}")
@@ -25,7 +29,7 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+    return spark.read.csv(path, schema=schema, header=True, inferSchema=schema is None, multiLine=multi_line, escape='"')
 
 
 def held(df: DataFrame) -> DataFrame:

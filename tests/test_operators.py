@@ -620,3 +620,45 @@ def test_metrics_compile_and_read_rows_once(spark):
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("Range (") == 1 and "count_if" not in physical
     assert {r.group_g: r.confidence_p50 for r in metrics.grouped_metrics(rows, "g").collect()} == {"0": 0.5, "1": 0.5}
+
+
+def test_length_groups(spark):
+    from gradeweave.operators import batches
+
+    rows = spark.range(500).selectExpr("concat('k', id) as example_id", "cast(pmod(id * 7919, 1000) as int) as length")
+    got = batches.length_grouped(rows, 8, mega=10)
+    a = got.orderBy("place").collect()
+    assert [r.place for r in a] == list(range(500)) and len({r.example_id for r in a}) == 500 and all(r.batch == r.place // 8 for r in a)
+    for at in range(0, 500, 80):  # longest first within a mega-batch
+        assert [r.length for r in a[at : at + 80]] == sorted((r.length for r in a[at : at + 80]), reverse=True)
+    again = batches.length_grouped(rows.repartition(5), 8, mega=10).orderBy("place").collect()
+    other = batches.length_grouped(rows, 8, epoch=1, mega=10).orderBy("place").collect()
+    assert again == a and other != a and {r.example_id for r in other} == {r.example_id for r in a}
+    plain = rows.selectExpr("example_id", "length", "monotonically_increasing_id() as place").coalesce(1)
+    before = one(batches.padding_share(plain.withColumn("batch", F.expr("substring(example_id, 2) div 8"))))
+    after = one(batches.padding_share(got))
+    assert after["rows"] == 500 and after["batches"] == 63 and after["tokens"] == before["tokens"] and after["padding"] < before["padding"] / 3
+    empty = batches.length_grouped(rows.limit(0), 8)
+    assert empty.count() == 0 and one(batches.padding_share(empty))["padding"] == 0
+    nulls = spark.createDataFrame([("a", None), ("b", 3)], "example_id string, length int")
+    assert [r.example_id for r in batches.length_grouped(nulls, 1).orderBy("place").collect()] == ["b", "a"]
+    with pytest.raises(ValueError):
+        batches.length_grouped(rows, 0)
+
+
+def test_warnings_and_score_tokens_of_rows(spark):
+    df = spark.createDataFrame([(10, 15), (5, 30), (12, 90)], "response_token_length int, prompt_token_length int")
+    got = {r.warning.split()[0]: r.rows for r in filters.warned_rows(df, 10, 10, 5).collect()}
+    assert got == {"max_response_tokens": 1, "prompt": 2}
+    assert filters.warned_rows(df, 9000, 10).count() == 0
+    rows = spark.createDataFrame([(1, [-100, 49, -100]), (1, [-100, 50]), (2, [-100])], "target_score int, labels array<int>")
+    got = {r.score: (r.token_id, r.rows, r.astray) for r in tokens.score_token_use(rows, tokens.CodePoints()).collect()}
+    assert got == {"1": (49, 2, 1), "2": (50, 1, 1), "3": (51, 0, 0), "4": (52, 0, 0), "5": (53, 0, 0)}
+
+
+def test_the_end_token_pads_where_there_is_no_other():
+    class Inner(tokens.CodePoints):
+        eos_token_id, pad_token_id, padding_side = 7, None, "left"
+
+    chat = tokens.ChatTokenizer(Inner())
+    assert chat.pad_token_id == 7 and chat.padding_side == "left"

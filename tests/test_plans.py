@@ -401,3 +401,125 @@ def test_rank_of_a_later_attempt():
 
     rank = gang.Rank(2, 4, ["a:1", "b:1", "a:2", "a:3"], 1, 5, "7")
     assert rank.local_rank == 1 and rank.environment()["MASTER_PORT"] == "29501" and rank.environment()["CUDA_VISIBLE_DEVICES"] == "7"
+
+
+class Logging:
+    """Code points that note how many prompts were encoded."""
+
+    eos_token_id = pad_token_id = 0
+
+    def __init__(self, path):
+        self.path, self.name_or_path = path, "logging"
+
+    def encode(self, texts):
+        with open(self.path, "a") as f:
+            f.writelines("prompt\n" for t in texts if "### QUESTION" in t and len(t) > 40)
+        return [list(map(ord, t)) for t in texts]
+
+
+@pytest.mark.parametrize("packing", [False, True])
+def test_one_changed_file_is_encoded_again(spark, tmp_path, packing):
+    names = "question string, ground_truth string, response string, score_a int, score_b int, model_id string, benchmark string, task string, instance_id string"
+    folder, log = f"{tmp_path}/source.parquet", f"{tmp_path}/log"
+
+    def file(name, rows):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/one")
+        os.makedirs(folder, exist_ok=True)
+        found = next(f for f in os.listdir(f"{tmp_path}/one") if f.endswith(".parquet"))
+        os.replace(f"{tmp_path}/one/{found}", f"{folder}/{name}.parquet")
+
+    def rows(file, answer, n=4):
+        return [(f"q{file}", "r", f"{answer}{k}", 3, 3, "m1", "b", "t", f"{file}-{k}") for k in range(n)]
+
+    def table(c):
+        open(log, "w").close()
+        pipeline.prepare(spark, c, Logging(log))
+        open(log, "w").close()
+        kept = pipeline.token_table(spark, c, "train", Logging(log)).collect()
+        ids = [x for r in kept for x in r.input_ids]
+        with open(log) as f:
+            return kept, "".join(map(chr, ids)), sum(1 for _ in f)
+
+    file("other", [("q", "r", "a", 3, 3, m, "b", "t", m) for m in ("m2", "m3")])
+    for k in range(3):
+        file(k, rows(k, "a"))
+    c = settings(tmp_path, folder)
+    c["training"]["packing"] = packing
+    kept, text, encoded = table(c)
+    assert encoded == 12 and (packing or len(kept) == 12)
+    assert table(c)[1:] == (text, 0) or packing  # nothing is encoded twice
+    file(1, rows(1, "changed"))
+    kept, text, encoded = table(c)
+    assert encoded == 4 and text.count("changed") == 4 and text.count("### QUESTION") == 12
+    os.remove(f"{folder}/2.parquet")
+    file(3, rows(3, "new", 2))
+    kept, text, encoded = table(c)
+    assert encoded == 2 and text.count("### QUESTION") == 10 and "q2" not in text and text.count("new") == 2
+    under = [d for d, _, files in os.walk(f"{tmp_path}/run/tokenized") if "unit=" in d]
+    assert len(under) == 3  # what is gone is removed
+    c["training"]["cache_tokenized_datasets"] = False
+    assert table(c)[2] == 10
+
+
+def test_units_without_rows_and_without_files(spark, tmp_path):
+    from gradeweave.sources import parts
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "source_file string, x int")
+    calls = []
+
+    def make(df):
+        calls.append(1)
+        return df.where("x > 2").select("x", "unit")
+
+    kept, now = parts.derived(rows, f"{tmp_path}/k", make)
+    assert [r.x for r in kept.collect()] == [3] and len(now) == 2 and len(calls) == 1
+    assert parts.derived(rows, f"{tmp_path}/k", make)[1] == now and len(calls) == 1  # a file without rows isn't asked again
+    assert parts.derived(rows.where("x = 1"), f"{tmp_path}/k", make)[0].count() == 0
+    assert parts.derived(rows.limit(0), f"{tmp_path}/e", make)[0].columns == ["x"]
+    kept, now = parts.derived(rows.drop("source_file"), f"{tmp_path}/n", make)
+    assert len(now) == 1 and kept.count() == 1
+
+
+def test_ranks_read_batches_of_like_length(spark):
+    from gradeweave.operators import batches
+    from gradeweave.plans import gang
+
+    rows = spark.range(101).selectExpr("id as example_id", "cast(pmod(id * 37, 64) + 1 as int) as length")
+    placed = rows.join(batches.length_grouped(rows, 8, mega=4).select("example_id", "place"), "example_id")
+
+    def trainer(rank, given):
+        return {"batches": [[b.column("example_id").to_pylist(), b.schema.names] for b in given]}
+
+    out = gang.run(placed, 2, trainer, 4, "place").orderBy("rank").collect()
+    order = [r.example_id for r in placed.orderBy("place").collect()]
+    for r in out:
+        found = json.loads(r.result)["batches"]
+        assert [ids for ids, _ in found] == [order[at : at + 4] for at in range(4 * r.rank, 101, 8)]
+        assert all(names == ["example_id", "length"] for _, names in found)
+
+
+def test_batches_cross_arrow_batches():
+    import pyarrow as pa
+
+    from gradeweave.plans import gang
+
+    made = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 3), (3, 3), (3, 4), (4, 13), (13, 14))]
+    assert [b.column("x").to_pylist() for b in gang.in_batches(iter(made), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12, 13]]
+    assert list(gang.in_batches(iter([]), 4)) == []
+
+
+def test_csv_with_a_schema_is_read_in_parts(spark, tmp_path):
+    with open(f"{tmp_path}/s.csv", "w") as f:
+        f.write("a,b\n" + "1,x\n" * 5000)
+    schema = "a int, b string"
+    df = tables.read_source(spark, f"{tmp_path}/s.csv", schema, False)
+    assert df.schema.simpleString() == "struct<a:int,b:string>" and df.count() == 5000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert tables.read_source(spark, f"{tmp_path}/s.csv", schema, False).rdd.getNumPartitions() > 1
+        assert tables.read_source(spark, f"{tmp_path}/s.csv", schema, True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
