@@ -57,8 +57,11 @@ FULL = 1_000_000
 BLOCK = 2048
 #: Sets of a bucket in one row.
 LIST = 4096
-#: Chance that a shingle of one set is in another of its band, for the cost.
-COMMON = 0.05
+#: Chance that a shingle of one set is in an unlinked other, for the cost: about
+#: four times the mean of 200,000 random pairs (0.0015 at three words, 0.0012 at
+#: five). It decides how many sets a band holds before a larger index pays, not
+#: what is found.
+COMMON = 0.005
 _U = np.uint64
 
 
@@ -109,8 +112,8 @@ def bands(largest: int, percent: int) -> list[Band]:
     return out
 
 
-def allocate(band: Band, sets: int, kinds: Sequence[str] = ("one", "two", "near")) -> Band:
-    """The band with its cheapest index, for so many sets."""
+def allocate(band: Band, sets: int, kinds: Sequence[str] = ("one", "two", "near"), common: float = COMMON) -> Band:
+    """The band with its cheapest index, for so many sets of shingles so common."""
     made = []
     for kind in kinds:
         if kind == "one":
@@ -129,7 +132,7 @@ def allocate(band: Band, sets: int, kinds: Sequence[str] = ("one", "two", "near"
             m, skip = (band.most + 2) // 2, 0
             tokens = band.low / m - 1
         b = Band(band.low, band.high, band.most, kind, m, skip)
-        made.append((b.signatures() * (1 + 4 * sets * COMMON ** max(tokens, 0.5)), b))
+        made.append((b.signatures() * (1 + 4 * sets * common ** max(tokens, 0.5)), b))
     return min(made, key=lambda x: x[0])[1]
 
 
@@ -394,7 +397,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
     return materialize(met.select("sid", "pivot", "cell", "role", "tokens").transform(arrow_map, _compared(percent), "a bigint, b bigint"), "jaccard-links")
 
 
-def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True) -> DataFrame:
+def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True, common: float = COMMON) -> DataFrame:
     """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable), text_id, first_text_id and, with ``degrees``, n_links.
 
     Keys may repeat: ``text_id`` is a hash of the row's text, and key and
@@ -419,7 +422,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     # one row for each band: as many as the logarithm of the largest size
     count = {r["band"]: r["count"] for r in sets.groupBy(F.size(F.filter(lows, lambda x: x <= F.col("n"))).alias("band")).count().collect()}
     held = [count.get(k + 1, 0) + count.get(k, 0) for k in range(len(plan))]
-    plan = [allocate(b, n, kinds) for b, n in zip(plan, held)]
+    plan = [allocate(b, n, kinds, common) for b, n in zip(plan, held)]
     total = sum(b.signatures() * n for b, n in zip(plan, held) if b.most)
     parts = int(max(shuffle_partitions(spark), total // FULL))
     blocks = docs.select("text").transform(arrow_map, _index(width, plan, parts), "part int, block binary").repartition(parts, "part")
