@@ -22,7 +22,10 @@ exact verification turns ties into links and components follow; a second pass
 then compares, by a 128-bin histogram whose L1 distance is a lower
 bound of the difference, only sets of a bucket that are still in different
 components, in blocks, and verifies what the bound leaves. So no link between
-different texts is lost: pairs not verified are already connected. Where the
+different texts is lost: pairs not verified are already connected. Before the
+sets themselves travel to be verified, a sketch with more bins, which follow
+the size of the set, gives a tighter bound of the same kind: 128 bins tell
+nothing of sets of some thousand shingles. Where the
 number of links is asked for, the second pass takes all pairs of a bucket,
 connected or not; that work grows with the square of a group of near copies.
 
@@ -50,6 +53,8 @@ from gradeweave.llm.graph import components
 from gradeweave.llm.sieve import sieve
 
 BINS = 128
+#: Bins of a sketch: one a token up to so many, then one for four tokens.
+FINE = 1024
 SLICE = 2 << 20
 #: Signatures in a partition, about.
 FULL = 1_000_000
@@ -88,6 +93,22 @@ def histogram(s: np.ndarray) -> bytes:
     return (np.bincount((s >> _U(57)).astype(np.int64), minlength=BINS) & 255).astype(np.uint8).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The set's size in four bytes, then its histogram with a power of two of bins by that size."""
+    bits = (max(BINS, min(len(s), FINE), -(-len(s) // 4)) - 1).bit_length()
+    bins = np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) & 255
+    return np.uint32(len(s)).astype("<u4").tobytes() + bins.astype(np.uint8).tobytes()
+
+
+def near_sketches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets of these sketches can link; the finer one is folded to the other's bins."""
+    both = int(a[:4].view("<u4")[0]) + int(b[:4].view("<u4")[0])
+    a, b = a[4:], b[4:]
+    size = min(len(a), len(b))
+    d = a.reshape(size, -1).sum(axis=1, dtype=np.uint8) - b.reshape(size, -1).sum(axis=1, dtype=np.uint8)
+    return int(np.minimum(d, -d).sum(dtype=np.int64)) * (100 + percent) <= (100 - percent) * both
+
+
 @dataclass(frozen=True)
 class Band:
     """Sizes low to high; at most ``most`` tokens between linked sets whose larger is in it."""
@@ -166,7 +187,8 @@ def _sizes(width: int):
             for batch in rows_by_bytes(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], names=["key", "text_id", "n", "sid", "bins"]
+                    [batch.column("key"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
+                    names=["key", "text_id", "n", "sid", "bins", "fine"],
                 )
 
     return run
@@ -355,33 +377,43 @@ def _requests(pairs: DataFrame) -> DataFrame:
     return met.withColumn("role", F.lit(1)).unionByName(pivots.withColumn("role", F.lit(0)))
 
 
-def _compared(percent: int):
-    """Per cell, the sets that link with its pivot; rows come sorted by cell and role."""
+def _compared(column: str, links):
+    """Per cell, the sets that link with its pivot by ``column``, a list or bytes; rows come sorted by cell and role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mine = None, None
         for batch in batches:
             sid, pivot, cell, role = (batch.column(c).to_numpy() for c in ("sid", "pivot", "cell", "role"))
-            tokens = batch.column("tokens")
-            flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+            values = batch.column(column)
+            if pa.types.is_binary(values.type):
+                each = (np.frombuffer(x, np.uint8) for x in values.to_pylist())
+            else:
+                flat, at = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
+                each = (flat[a:b] for a, b in zip(at[:-1], at[1:]))
             found = []
-            for i in range(len(sid)):
-                own = flat[at[i] : at[i + 1]]
+            for i, own in enumerate(each):
                 if role[i] == 0:
                     now, mine = (pivot[i], cell[i]), own.copy()
-                elif (pivot[i], cell[i]) == now:
-                    both = len(np.intersect1d(mine, own, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(own) - both):
-                        found.append((min(sid[i], pivot[i]), max(sid[i], pivot[i])))
+                elif (pivot[i], cell[i]) == now and links(mine, own):
+                    found.append((min(sid[i], pivot[i]), max(sid[i], pivot[i])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by their exact sets, which are shuffled twice: to their requests, and to where they are compared."""
+def _met(pairs: DataFrame, reps: DataFrame, column: str, values, links, name: str) -> DataFrame:
+    """The pairs that link by ``column`` of ``values``, a function of a filter on keys; it is shuffled twice: to its requests, and to where it is compared."""
     asked = materialize(_requests(pairs), "jaccard-requests")
     need = materialize(asked.select("sid").distinct().join(reps, "sid").select(F.xxhash64("key").alias("h")), "jaccard-need")
+    may = sieve(need, "h")
+    parts = shuffle_partitions(pairs.sparkSession)
+    met = values(may(F.xxhash64("key"))).dropDuplicates(["sid"]).join(asked, "sid")
+    met = met.repartition(parts, "pivot", "cell").sortWithinPartitions("pivot", "cell", "role", "sid")
+    return materialize(met.select("sid", "pivot", "cell", "role", column).transform(arrow_map, _compared(column, links), "a bigint, b bigint"), name)
+
+
+def _verified(docs: DataFrame, table: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, by their exact sets; only those of pairs whose sketches are near are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -390,11 +422,14 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["sid", "tokens"])
 
-    may = sieve(need, "h")
-    sets = docs.where(may(F.xxhash64("key"))).select("text").transform(arrow_map, run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
-    parts = shuffle_partitions(docs.sparkSession)
-    met = sets.join(asked, "sid").repartition(parts, "pivot", "cell").sortWithinPartitions("pivot", "cell", "role", "sid")
-    return materialize(met.select("sid", "pivot", "cell", "role", "tokens").transform(arrow_map, _compared(percent), "a bigint, b bigint"), "jaccard-links")
+    def same(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    sketches = lambda asked: table.where(asked).select("sid", "fine")
+    near = _met(pairs, reps, "fine", sketches, lambda a, b: near_sketches(a, b, percent), "jaccard-near")
+    sets = lambda asked: docs.where(asked).select("text").transform(arrow_map, run, "sid bigint, tokens array<bigint>")
+    return _met(near, reps, "tokens", sets, same, "jaccard-links")
 
 
 def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str] = ("one", "two", "near"), key: str = "doc_id", text: str = "text", degrees: bool = True, common: float = COMMON) -> DataFrame:
@@ -412,7 +447,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     given = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = given.where("key is not null")
     named_texts = given.select("key", F.xxhash64("text").alias("text_id"), "text")
-    table = materialize(named_texts.transform(arrow_map, _sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary"), "jaccard-sizes")
+    table = materialize(named_texts.transform(arrow_map, _sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary, fine binary"), "jaccard-sizes")
     sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min(F.struct("key", "text_id")).alias("first"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
     sets = sets.select("sid", "first.key", "first", "n", "bins", "copies")
     sets = materialize(sets, "jaccard-distinct")
@@ -432,7 +467,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     members = materialize(members.join(info, "sid"), "jaccard-members")
     ties = _tied(members, info, percent, parts)
     reps = sets.select("sid", "key")
-    links = _verified(docs, reps, ties, width, percent)
+    links = _verified(docs, table, reps, ties, width, percent)
     roots = components(links)
     # what hubs left apart: buckets of three or more sets, in more than one component; for degrees each set counts as its own
     named = members.where("k > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.col("sid") if degrees else F.coalesce("root", "sid"))
@@ -449,7 +484,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     more = cut.transform(arrow_map, _across(percent), "a bigint, b bigint").distinct().join(ties, ["a", "b"], "left_anti")
     more = materialize(more, "jaccard-across")
     if more.limit(1).count():
-        links = links.unionByName(_verified(docs, reps, more, width, percent))
+        links = links.unionByName(_verified(docs, table, reps, more, width, percent))
         roots = components(links)
     named = sets.select("sid", "first").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))

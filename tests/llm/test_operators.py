@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeweave.llm import bpe, eliasfano, graph, hashing, jaccard, mixing, ngrams, quality, repeats, secrets, topk, urls, wavelet
+from gradeweave.llm.common import arrow_map
 from tests.llm import brute
 
 P = pytest.importorskip("public_tokenizers")
@@ -597,3 +598,35 @@ def test_anchors_hit_every_window():
     h = hashing.mix(np.arange(500, dtype=np.uint64) % np.uint64(37))
     at, _, _ = repeats.anchors(h, np.array([0, 500]), 50, 8)
     assert all(((at >= s) & (at <= s + 42)).any() for s in range(451))
+
+
+def test_sketches_bound_the_difference_of_large_sets():
+    r = np.random.default_rng(5)
+    draw = lambda n: np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+    view = lambda s: np.frombuffer(jaccard.sketch(s), np.uint8)
+    for n in (1, 3, 100, 600, 1024, 1500, 9000):
+        base = draw(n)
+        for part in (0, 0.05, 0.1, 0.12, 0.3):  # near copies of other sizes too, so that sketches are folded
+            for other in (np.union1d(base[int(part * n) :], draw(int(part * n))), np.union1d(base, draw(int(part * n))), base[int(part * n) :]):
+                both = len(np.intersect1d(base, other))
+                for percent in (80, 90):
+                    if 100 * both >= percent * (len(base) + len(other) - both):
+                        assert jaccard.near_sketches(view(base), view(other), percent)
+    a, b = draw(9000), draw(9000)
+    bins = np.array([np.frombuffer(jaccard.histogram(x), np.uint8) for x in (a, b)]).astype(np.int16)
+    assert jaccard._apart(bins[:1], np.array([9000]), bins[1], 9000, 80).all()  # what the histogram can't tell apart
+    assert not jaccard.near_sketches(view(a), view(b), 80)
+
+
+def test_large_unlike_sets_send_no_tokens(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(map(str, r.integers(0, 10**9, 5000)))) for i in range(4)]
+    d = spark.createDataFrame([*rows, (9, rows[0][1] + " more")], "doc_id long, text string")
+    table = d.selectExpr("doc_id as key", "0L as text_id", "text").transform(arrow_map, jaccard._sizes(5), "key bigint, text_id bigint, n bigint, sid bigint, bins binary, fine binary")
+    sid = {x.key: x.sid for x in table.collect()}
+    pairs = spark.createDataFrame([tuple(sorted((sid[a], sid[b]))) for a, b in ((0, 1), (1, 2), (2, 3), (0, 9))], "a long, b long")
+    asked, plain = [], jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda pairs, *rest: asked.append((rest[1], pairs.count())) or plain(pairs, *rest))
+    got = jaccard._verified(d.select(F.col("doc_id").alias("key"), "text"), table, table.select("sid", "key"), pairs, 5, 80).collect()
+    assert {(x.a, x.b) for x in got} == {tuple(sorted((sid[0], sid[9])))}
+    assert asked == [("fine", 4), ("tokens", 1)]
