@@ -30,6 +30,10 @@ from gradeweave.llm import hashing
 from gradeweave.llm.common import SLICE_BYTES, arrow_map, rows_by_bytes
 
 
+#: Bytes of known units that a worker of ``encode`` keeps, about; growing and sorting them takes several times as much for a moment.
+KNOWN_BYTES = 16 << 20
+
+
 def byte_characters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies.
 
@@ -248,9 +252,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(definition: str, by_units: bool = True, dtype: str = "<u4") -> Encoder:
+def worker_encoder(definition: str, by_units: bool = True, dtype: str = "<u4", most: int = 64 << 20) -> Encoder:
     """The Python worker's encoder: tasks that follow each other in a worker share what it knows."""
-    return Encoder(definition, by_units, dtype)
+    return Encoder(definition, by_units, dtype, most)
 
 
 def splits_by_units(definition: str) -> bool:
@@ -305,9 +309,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, pieces = shared.value
-        encoder = worker_encoder(definition)
+        encoder = worker_encoder(definition, most=KNOWN_BYTES)
         for whole in batches:
-            for batch in rows_by_bytes(whole, text, 2 * SLICE_BYTES):
+            for batch in rows_by_bytes(whole, text, SLICE_BYTES // 2):
                 texts = [x or "" for x in batch.column(text).to_pylist()]
                 ids = encoder(texts)
                 made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}

@@ -630,3 +630,20 @@ def test_large_unlike_sets_send_no_tokens(spark, monkeypatch):
     got = jaccard._verified(d.select(F.col("doc_id").alias("key"), "text"), table, table.select("sid", "key"), pairs, 5, 80).collect()
     assert {(x.a, x.b) for x in got} == {tuple(sorted((sid[0], sid[9])))}
     assert asked == [("fine", 4), ("tokens", 1)]
+
+
+def test_bpe_encodes_small_slices(spark, monkeypatch):
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    d = spark.createDataFrame([("a b c " * 5000,)] * 60, "text string")
+    runs, sizes, made = [], [], bpe.worker_encoder
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, run, schema: runs.append(run) or df)
+    bpe.encode(d, ranks, P.PATTERN, decoded=True)
+
+    def encoder(definition, **more):
+        assert more["most"] <= 16 << 20
+        inner = made(definition, **more)
+        return lambda texts: sizes.append(sum(map(len, texts))) or inner(texts)
+
+    monkeypatch.setattr(bpe, "worker_encoder", encoder)
+    assert sum(b.num_rows for b in runs[0](iter(d.toArrow().to_batches()))) == 60
+    assert max(sizes) <= 1 << 19
