@@ -12,6 +12,7 @@ import inspect
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ from gradeweave.operators.filters import overflow_reason
 #: Fixed value: the template argument of the thinking mode.
 THINKING = "enable_thinking"
 
+#: Characters that a Python function renders or encodes at once, however many rows its batch has.
+SLICE_CHARS = 1 << 18
+
 
 class Tokenizer(Protocol):
     eos_token_id: int | None
@@ -90,14 +94,26 @@ def render(messages: Sequence[dict], tokenizer=None, add_generation_prompt: bool
     return "\n".join([*parts, ROLE.format("assistant")] if add_generation_prompt else parts)
 
 
+def _slices(s: pd.Series) -> Iterator[pd.Series]:
+    """Rows of a batch with some ``SLICE_CHARS`` characters at most (one row at least); nulls are empty."""
+    s = s.fillna("")
+    end = s.str.len().to_numpy().cumsum()
+    at = 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        yield s.iloc[at:to]
+        at = to
+
+
 def rendered(user: Column, system_prompt: str, tokenizer: Tokenizer) -> Column:
     """Prompts by the tokenizer's own template, in Arrow batches."""
     system = {"role": "system", "content": system_prompt.strip()}
 
     @F.pandas_udf("string")
     def shown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([render([system, {"role": "user", "content": u}], tokenizer) for u in s])
+        for whole in batches:
+            for s in _slices(whole):
+                yield pd.Series([render([system, {"role": "user", "content": u}], tokenizer) for u in s])
 
     return shown(user)
 
@@ -113,8 +129,9 @@ def encoded(text: Column, tokenizer: Tokenizer | None = None) -> Column:
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(tokenizer.encode(s.fillna("").tolist()))
+        for whole in batches:
+            for s in _slices(whole):
+                yield pd.Series([np.asarray(ids, np.int32) for ids in tokenizer.encode(s.tolist())])
 
     return encode.asNondeterministic()(text)  # else a filter on the ids' number would encode once more
 
@@ -125,8 +142,9 @@ def token_count(text: Column, tokenizer: Tokenizer | None = None) -> Column:
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([len(x) for x in tokenizer.encode(s.fillna("").tolist())])
+        for whole in batches:
+            for s in _slices(whole):
+                yield pd.Series([len(x) for x in tokenizer.encode(s.tolist())])
 
     return count(text)
 

@@ -662,3 +662,34 @@ def test_the_end_token_pads_where_there_is_no_other():
 
     chat = tokens.ChatTokenizer(Inner())
     assert chat.pad_token_id == 7 and chat.padding_side == "left"
+
+
+def test_tokenizers_get_slices_of_a_batch(spark):
+    class Counting(tokens.CodePoints):
+        chat_template = "x"
+
+        def apply_chat_template(self, messages, tokenize=False, add_generation_prompt=True):
+            return messages[-1]["content"]
+
+        def encode(self, texts):
+            if len(texts) > 1 and sum(map(len, texts)) > 1 << 18:
+                raise ValueError("too much at once")
+            return super().encode(texts)
+
+    t = Counting()
+    df = spark.createDataFrame([(i, "q" * 900 * (i % 7) or None) for i in range(500)] + [(500, "z" * 300_000)], "k int, text string").coalesce(1)
+    got = df.select("k", "text", tokens.encoded(tokens.rendered(F.col("text"), "", t), t).alias("ids"), tokens.token_count(F.col("text"), Wordy(t)).alias("n")).collect()
+    assert len(got) == 501
+    assert all(x.ids == [ord(c) for c in x.text or ""] and x.n == len(x.text or "") for x in got)
+
+
+class Wordy:
+    """A tokenizer of another kind than code points."""
+
+    eos_token_id = 0
+
+    def __init__(self, inner):
+        self.inner_ = inner
+
+    def encode(self, texts):
+        return self.inner_.encode(texts)
