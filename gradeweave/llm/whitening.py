@@ -68,7 +68,8 @@ def integer_rows(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     v = F.col(f"`{vector}`")
     plain = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: F.coalesce(F.abs(c.cast("double")) <= LIMIT, F.lit(False)))
     # a NaN is greater than any bound, and so fails it
-    x = F.transform(v, lambda c: F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long"))
+    # the bound again, as a filter on x may compute it before rows are dropped
+    x = F.transform(v, lambda c: F.when(F.abs(c.cast("double")) <= LIMIT, F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long")))
     return df.where(plain).select(F.col(f"`{key}`").alias("key"), x.alias("x"))
 
 

@@ -259,6 +259,13 @@ def test_whitening_of_few_equal_and_large_vectors(spark):
     assert {r.key for r in kept} == {key, None, 5}
 
 
+def test_entries_that_no_long_holds_are_no_overflow(spark):
+    rows = [(1, [0.5, -2.0]), (2, [float("inf"), 0.0]), (3, [float("nan"), 0.0]), (4, [1e300, -1e300]), (5, [None, 1.0]), (6, [2.0**56, 0.0]), (7, [1.0]), (8, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    kept = whitening.one_length(whitening.integer_rows(df)).collect()
+    assert {r.key: r.x for r in kept} == {1: [1_000_032, 999_872], 6: [2**62 + 1_000_000, 1_000_000]}
+
+
 # --- the sieve before joins of texts
 
 
