@@ -19,10 +19,15 @@ copies meet at once. Buckets with two or more sets are the candidates.
 Buckets never expand into all pairs: a first pass ties the sets of a bucket to
 a few hubs (large buckets in cells side by side, whose hubs are tied in turn),
 exact verification turns ties into links and components follow; a second pass
-then compares, by a 128-bin histogram whose L1 distance is a lower
-bound of the difference, only sets of a bucket that are still in different
-components, in blocks, and verifies what the bound leaves. So no link between
-different texts is lost: pairs not verified are already connected. Before the
+then compares only sets of a bucket that are still in different components, and
+verifies what a bound leaves. So no link between different texts is lost: pairs
+not verified are already connected. Unlike sets of one template share hundreds
+of buckets, so the second pass first unites the buckets with the same least
+component: a set is there once, and two sets meet once, in blocks. Ties are
+bounded by a 128-bin histogram whose L1 distance is at most the difference, the
+second pass by odd sketches (Mitzenmacher, Pagh and Pham, 2014): one bit a bin,
+whether it holds an odd number of tokens, so that sets differ by as many tokens
+at least as bits. Before the
 sets themselves travel to be verified, a sketch with more bins, which follow
 the size of the set, gives a tighter bound of the same kind: 128 bins tell
 nothing of sets of some thousand shingles. Where the
@@ -53,12 +58,14 @@ from gradeweave.llm.graph import components
 from gradeweave.llm.sieve import sieve
 
 BINS = 128
+#: Bits of an odd sketch: the power of two from four times the set's size on, within these.
+BITS = 1024, 16384
 #: Bins of a sketch: one a token up to so many, then one for four tokens.
 FINE = 1024
 SLICE = 2 << 20
 #: Signatures in a partition, about.
 FULL = 1_000_000
-#: Sets of a bucket that are compared in one block with others.
+#: Sets of a bucket, or of united ones, that are compared in one block with others.
 BLOCK = 2048
 #: Sets of a bucket in one row.
 LIST = 4096
@@ -93,6 +100,12 @@ def histogram(s: np.ndarray) -> bytes:
     return (np.bincount((s >> _U(57)).astype(np.int64), minlength=BINS) & 255).astype(np.uint8).tobytes()
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """A bit a bin, by the tokens' low bits, whether the bin holds an odd number of them; half of it folds onto the other."""
+    bits = min(max(BITS[0], 1 << (4 * len(s) - 1).bit_length()), BITS[1])
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
 def sketch(s: np.ndarray) -> bytes:
     """The set's size in four bytes, then its histogram with a power of two of bins by that size."""
     bits = (max(BINS, min(len(s), FINE), -(-len(s) // 4)) - 1).bit_length()
@@ -182,12 +195,14 @@ def signatures(s: np.ndarray, band: Band, number: int) -> np.ndarray:
 
 
 def _sizes(width: int):
+    """Sizes, ids and bounds of the rows' sets; ``bins`` holds the histogram and, behind it, the odd sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in rows_by_bytes(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
+                    [batch.column("key"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) + odd_sketch(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
                     names=["key", "text_id", "n", "sid", "bins", "fine"],
                 )
 
@@ -272,6 +287,30 @@ def _apart(bins: np.ndarray, n: np.ndarray, one: np.ndarray, size: int, percent:
     return least * (100 + percent) <= (100 - percent) * both
 
 
+def _folded(odd: np.ndarray) -> list[np.ndarray]:
+    """Words of odd sketches: all folded to the shortest's length, then those longer to each next length; rows too short for one are 0 there."""
+    rows = [np.frombuffer(x, np.uint64) for x in odd.tolist()]
+    words = np.array([len(x) for x in rows])
+    out = []
+    for w in np.unique(words).tolist():
+        level = np.zeros((len(rows), w), np.uint64)
+        for i in np.flatnonzero(words >= w).tolist():
+            level[i] = np.bitwise_xor.reduce(rows[i].reshape(-1, w), axis=0)
+        out.append(level)
+    return out
+
+
+def _odd_apart(levels: list[np.ndarray], n: np.ndarray, words: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others can link with i, by the bits in which their odd sketches differ at each length that both have."""
+    for level in levels:
+        w = level.shape[1]
+        if w > words[i]:
+            break
+        least = np.bitwise_count(level[others] ^ level[i]).sum(axis=1, dtype=np.int64)
+        others = others[(words[others] < w) | (least * (100 + percent) <= (100 - percent) * (n[others] + n[i]))]
+    return others
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple]:
     """Consecutive rows of one bucket (the input is sorted by it)."""
     now, held = None, []
@@ -327,6 +366,7 @@ def _tied(members: DataFrame, info: DataFrame, percent: int, parts: int) -> Data
     """Pairs to verify: sets with the hubs of their cell, hubs with the hubs of theirs, until a bucket is one cell."""
     found, now = None, members
     while True:
+        now = now.join(info, "sid")
         cells = F.ceil(F.col("k") / BLOCK).cast("long")
         cell = F.when(cells > 1, F.xxhash64("bucket", F.pmod(F.xxhash64("sid", "bucket"), cells))).otherwise(F.col("bucket"))
         dealt = now.select(cell.alias("cell"), "bucket", cells.alias("cells"), "sid", "n", "bins").repartition(parts, "cell").sortWithinPartitions("cell", "sid")
@@ -336,20 +376,20 @@ def _tied(members: DataFrame, info: DataFrame, percent: int, parts: int) -> Data
         hubs = made.where("a = b").select("bucket", F.col("a").alias("sid"))
         if not hubs.limit(1).count():
             return materialize(found.distinct(), "jaccard-ties")
-        now = materialize(hubs.join(hubs.groupBy("bucket").agg(F.count("*").alias("k")), "bucket").join(info, "sid"), "jaccard-hubs")
+        now = materialize(hubs.join(hubs.groupBy("bucket").agg(F.count("*").alias("k")), "bucket"), "jaccard-hubs")
 
 
 def _across(percent: int):
-    """Per block of a bucket, pairs of sets in different components that may link."""
+    """Per block, pairs of sets in different components that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sid, n, bins, root, side in _groups(batches, ("bucket", "sid", "n", "bins", "root", "side")):
-            bins, a, b = _matrix(bins), [], []
+        for _, sid, n, odd, root, side in _groups(batches, ("block", "sid", "n", "odd", "root", "side")):
+            levels, words, a, b = _folded(odd), np.array([len(x) // 8 for x in odd]), [], []
             for i in np.flatnonzero(side != 1).tolist():
                 later = np.flatnonzero(root != root[i])
                 later = later[side[later] == 1] if side[i] == 0 else later[later > i]
                 if len(later):
-                    near = later[_apart(bins[later], n[later], bins[i], int(n[i]), percent)]
+                    near = _odd_apart(levels, n, words, i, later, percent)
                     a.append(np.full(len(near), sid[i]))
                     b.append(sid[near])
             yield _pairs(a, b)
@@ -449,7 +489,7 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     named_texts = given.select("key", F.xxhash64("text").alias("text_id"), "text")
     table = materialize(named_texts.transform(arrow_map, _sizes(width), "key bigint, text_id bigint, n bigint, sid bigint, bins binary, fine binary"), "jaccard-sizes")
     sets = table.where("n > 0 and key is not null").groupBy("sid").agg(F.min(F.struct("key", "text_id")).alias("first"), F.min("n").alias("n"), F.first("bins").alias("bins"), F.count("*").alias("copies"))
-    sets = sets.select("sid", "first.key", "first", "n", "bins", "copies")
+    sets = sets.select("sid", "first.key", "first", "n", F.substring("bins", 1, BINS).alias("bins"), F.substring("bins", BINS + 1, BITS[1] // 8).alias("odd"), "copies")
     sets = materialize(sets, "jaccard-distinct")
     largest = sets.agg(F.max("n")).first()[0] or 0
     plan = bands(largest, percent)
@@ -463,24 +503,24 @@ def link(df: DataFrame, width: int = 3, percent: int = 90, kinds: Sequence[str]
     blocks = docs.select("text").transform(arrow_map, _index(width, plan, parts), "part int, block binary").repartition(parts, "part")
     buckets = materialize(blocks.transform(arrow_map, _buckets, "bucket bigint, piece int, k bigint, sids array<bigint>"), "jaccard-buckets")
     info = sets.select("sid", "n", "bins")
-    members = buckets.dropDuplicates(["bucket", "piece"]).select("bucket", "k", F.explode("sids").alias("sid"))
-    members = materialize(members.join(info, "sid"), "jaccard-members")
+    members = materialize(buckets.dropDuplicates(["bucket", "piece"]).select("bucket", "k", F.explode("sids").alias("sid")), "jaccard-members")
     ties = _tied(members, info, percent, parts)
     reps = sets.select("sid", "key")
     links = _verified(docs, table, reps, ties, width, percent)
     roots = components(links)
     # what hubs left apart: buckets of three or more sets, in more than one component; for degrees each set counts as its own
     named = members.where("k > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.col("sid") if degrees else F.coalesce("root", "sid"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    named = materialize(named.join(mixed, "bucket", "left_semi"), "jaccard-mixed")
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("home"), F.max("root").alias("y")).where("home <> y").select("bucket", "home")
+    named = materialize(named.join(mixed, "bucket").select("home", "sid", "root").distinct(), "jaccard-mixed")
     cells = F.ceil(F.col("k") / BLOCK)
-    mine = F.pmod(F.xxhash64("sid", "bucket"), cells)
-    # each pair of cells of a bucket is a block of its own
+    mine = F.pmod(F.xxhash64("sid", "home"), cells)
+    # each pair of cells of a home is a block of its own
     other = F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))
-    cut = named.withColumn("mine", mine).withColumn("other", other).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    cut = named.join(named.groupBy("home").agg(F.count("*").alias("k")), "home").withColumn("mine", mine).withColumn("other", other)
+    cut = cut.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)
-    cut = cut.withColumn("side", side.cast("int")).withColumn("bucket", F.xxhash64("bucket", "lo", "hi"))
-    cut = cut.repartition(parts, "bucket").sortWithinPartitions("bucket", "sid").select("bucket", "sid", "n", "bins", "root", "side")
+    cut = cut.select(F.xxhash64("home", "lo", "hi").alias("block"), "sid", "root", side.cast("int").alias("side")).join(sets.select("sid", "n", "odd"), "sid")
+    cut = cut.repartition(parts, "block").sortWithinPartitions("block", "sid").select("block", "sid", "n", "odd", "root", "side")
     more = cut.transform(arrow_map, _across(percent), "a bigint, b bigint").distinct().join(ties, ["a", "b"], "left_anti")
     more = materialize(more, "jaccard-across")
     if more.limit(1).count():

@@ -618,6 +618,53 @@ def test_sketches_bound_the_difference_of_large_sets():
     assert not jaccard.near_sketches(view(a), view(b), 80)
 
 
+def test_odd_sketches_bound_the_difference():
+    r = np.random.default_rng(7)
+    draw = lambda n: np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+    for n in (1, 3, 200, 250, 700, 1024, 1500, 9000):
+        base = draw(n)
+        others = [x for p in (0, 0.05, 0.1, 0.12, 0.3, 1) for x in (np.union1d(base[int(p * n) :], draw(int(p * n))), np.union1d(base, draw(int(p * n))), base[int(p * n) :]) if len(x)]
+        sets = [base, *others]  # of unlike sizes, so that sketches are folded
+        odd = np.array([jaccard.odd_sketch(x) for x in sets], object)
+        size, words, levels = np.array([len(x) for x in sets]), np.array([len(x) // 8 for x in odd]), jaccard._folded(odd)
+        for percent in (80, 90):
+            for i, one in enumerate(sets):
+                near = set(jaccard._odd_apart(levels, size, words, i, np.arange(len(sets)), percent).tolist())
+                both = [len(np.intersect1d(one, x)) for x in sets]
+                assert near >= {j for j, x in enumerate(sets) if 100 * both[j] >= percent * (len(one) + len(x) - both[j])}
+    a, b = draw(3000), draw(3000)
+    odd = np.array([jaccard.odd_sketch(x) for x in (a, b)], object)
+    assert not len(jaccard._odd_apart(jaccard._folded(odd), np.array([3000, 3000]), np.array([len(x) // 8 for x in odd]), 0, np.array([1]), 80))
+
+
+def test_unlinked_sets_of_one_template_meet_once(spark, monkeypatch):
+    import random
+
+    made, across = spark.sparkContext.accumulator(0), jaccard._across
+
+    def counted(percent):
+        def run(batches):
+            for batch in across(percent)(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    rng, base, rows = random.Random(4), [f"b{i}" for i in range(800)], []
+    for i in range(24):
+        w = list(base)
+        for at in rng.sample(range(800), 14):
+            w[at] = f"c{i}_{at}"
+        rows.append((i, " ".join(w)))
+        if i % 4 == 0:
+            rows.append((100 + i, " ".join([*w[:-8], "new"])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(d, 5, 80, degrees=False).collect()}
+    assert got == brute.jaccard(rows, 5, 80) and len({c for _, c in got.values()}) > 12
+    assert made.value <= len(rows) * (len(rows) - 1) // 2  # not once a shared bucket
+
+
 def test_large_unlike_sets_send_no_tokens(spark, monkeypatch):
     r = np.random.default_rng(6)
     rows = [(i, " ".join(map(str, r.integers(0, 10**9, 5000)))) for i in range(4)]
